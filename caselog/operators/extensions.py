@@ -94,8 +94,8 @@ def generate(cases: DataFrame, seed: int = 42) -> DataFrame:
     )
 
 
-def violations(extensions: DataFrame) -> DataFrame:
-    """Rows that break a rule of the extension table, each with the broken rules."""
+def with_broken_rules(extensions: DataFrame) -> DataFrame:
+    """Add the names of the table rules each row breaks."""
     names = [name for name, _, _ in PRIORITIES]
     rules = {
         "blank application_id": F.coalesce(F.trim("application_id"), F.lit("")) == "",
@@ -106,11 +106,20 @@ def violations(extensions: DataFrame) -> DataFrame:
         "page_count below 1": ~F.coalesce(F.col("page_count") >= 1, F.lit(False)),
     }
     broken = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in rules.items()]))
-    return extensions.withColumn("broken_rules", broken).where(F.size("broken_rules") > 0)
+    return extensions.withColumn("broken_rules", broken)
+
 
+def violations(extensions: DataFrame) -> DataFrame:
+    return with_broken_rules(extensions).where(F.size("broken_rules") > 0)
 
-def validate(extensions: DataFrame) -> None:
-    """Raise when any row breaks a rule; one row is fetched as the example."""
-    bad = violations(extensions).head(1)
-    if bad:
-        raise ValueError(f"invalid extension row {bad[0].application_id!r}: {', '.join(bad[0].broken_rules)}")
+
+def checked(extensions: DataFrame) -> DataFrame:
+    """The same rows; computing one that breaks a rule raises an error."""
+    broken = F.col("broken_rules")
+    return with_broken_rules(extensions).withColumn(
+        "application_id",
+        F.when(F.size(broken) == 0, F.col("application_id")).otherwise(F.raise_error(F.concat(
+            F.lit("invalid extension of "), F.coalesce("application_id", F.lit("?")), F.lit(": "),
+            F.array_join(broken, ", "),
+        ))),
+    ).drop("broken_rules")

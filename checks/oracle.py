@@ -286,6 +286,54 @@ define("extensions", f"""SELECT application_id,
   FROM (SELECT application_id, sha256('42:' || application_id) AS h FROM log_cases)""", "log_cases")
 
 
+# ---------------------------------------------------------------- quality
+define("rough_traces", """SELECT o_orderkey AS trace_pos, CASE WHEN o_orderpriority = '1-URGENT' THEN ''
+    ELSE concat_ws('-', o_custkey, strftime(o_orderdate, '%Y%m')) END AS document_id FROM orders""")
+define("rough_events", """SELECT trace_pos, event_pos, event_id, activity, raw_time, document_id,
+    CASE WHEN raw_time NOT IN ('', 'not-a-date') THEN l_shipdate END AS parsed
+  FROM (SELECT l_orderkey AS trace_pos, l_shipdate,
+      CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+        l_extendedprice, l_discount, l_tax) AS INTEGER) AS event_pos,
+      CASE WHEN l_discount = 0 THEN '' ELSE concat_ws('-', l_orderkey, l_linenumber) END AS event_id,
+      CASE WHEN l_tax = 0 THEN ' ' ELSE l_returnflag END AS activity,
+      CASE WHEN l_quantity = 1 THEN '' WHEN l_quantity = 2 THEN 'not-a-date'
+        ELSE strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') END AS raw_time
+    FROM lineitem) JOIN rough_traces USING (trace_pos)""", "rough_traces")
+define("issues", """SELECT rule, CASE WHEN rule IN ('missing_event_id', 'duplicate_event_id', 'non_monotonic_event_time')
+      THEN 'warning' ELSE 'error' END AS severity,
+    CASE WHEN document_id = '' THEN '<missing>' ELSE document_id END AS document_id, detail, trace_pos, event_pos
+  FROM (
+    SELECT 'missing_document_id' AS rule, document_id, 'Trace concept:name is blank.' AS detail, trace_pos,
+      CAST(NULL AS INTEGER) AS event_pos FROM rough_traces WHERE document_id = ''
+    UNION ALL SELECT 'duplicate_document', document_id, 'Trace concept:name repeats.', trace_pos, NULL
+      FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY trace_pos) AS nth FROM rough_traces
+        WHERE document_id <> '') WHERE nth > 1
+    UNION ALL SELECT 'orphan_event', document_id, 'Event belongs to a trace without an identifier.', trace_pos, event_pos
+      FROM rough_events WHERE document_id = ''
+    UNION ALL SELECT 'missing_event_id', document_id, 'EventID is blank.', trace_pos, event_pos
+      FROM rough_events WHERE event_id = ''
+    UNION ALL SELECT 'duplicate_event_id', document_id, 'Repeated EventID: ' || event_id, trace_pos, event_pos
+      FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY trace_pos, event_pos) AS nth FROM rough_events
+        WHERE event_id <> '') WHERE nth > 1
+    UNION ALL SELECT 'missing_activity', document_id, 'Event concept:name is blank.', trace_pos, event_pos
+      FROM rough_events WHERE trim(activity) = ''
+    UNION ALL SELECT 'missing_timestamp', document_id, 'time:timestamp is blank.', trace_pos, event_pos
+      FROM rough_events WHERE raw_time = ''
+    UNION ALL SELECT 'invalid_timestamp', document_id, 'Unparseable timestamp: ' || raw_time, trace_pos, event_pos
+      FROM rough_events WHERE raw_time <> '' AND parsed IS NULL
+    UNION ALL SELECT 'non_monotonic_event_time', document_id, 'Event time precedes prior event time.', trace_pos, event_pos
+      FROM (SELECT *, lag(parsed) OVER (PARTITION BY trace_pos ORDER BY event_pos) AS previous FROM rough_events
+        WHERE parsed IS NOT NULL) WHERE parsed < previous)""", "rough_traces", "rough_events")
+CATALOG = """(VALUES ('missing_document_id', 'error'), ('duplicate_document', 'error'), ('orphan_event', 'error'),
+  ('missing_event_id', 'warning'), ('duplicate_event_id', 'warning'), ('missing_timestamp', 'error'),
+  ('invalid_timestamp', 'error'), ('missing_activity', 'error'), ('non_monotonic_event_time', 'warning'),
+  ('impossible_processing_duration', 'error'), ('unavailable_document_extension_fields', 'info'),
+  ('sla_consistency_not_evaluable', 'info')) AS c(rule, severity)"""
+define("quarantine", """SELECT document_id, 'quarantine_for_review' AS decision,
+    string_agg(DISTINCT rule, ';' ORDER BY rule) AS rules, trace_pos
+  FROM issues WHERE severity = 'error' GROUP BY trace_pos, document_id""", "issues")
+
+
 def oracle_sql() -> dict[str, str]:
     user_cases = "user_cases"
     q = {
@@ -428,5 +476,58 @@ def oracle_sql() -> dict[str, str]:
         "k07_version_comparison": sql("SELECT model_version, count(*) AS predictions FROM predictions GROUP BY 1", "predictions"),
         "l01_generate_extensions": sql("SELECT * FROM extensions", "extensions"),
         "l06_extension_violations": sql("SELECT count(*) AS violations FROM extensions WHERE page_count < 1 OR quality_score NOT BETWEEN 65 AND 100", "extensions"),
+        "a01_trace_scan": sql("SELECT application_id, event_count AS events FROM log_cases", "log_cases"),
+        "a02_attribute_map": sql("""SELECT application_id, 'concept:name' AS key, application_id AS value FROM log_cases
+          UNION ALL SELECT application_id, 'ApplicationType', application_type FROM log_cases
+          UNION ALL SELECT application_id, 'LoanGoal', loan_goal FROM log_cases WHERE loan_goal IS NOT NULL
+          UNION ALL SELECT application_id, 'RequestedAmount', CAST(requested_amount AS VARCHAR) FROM log_cases""", "log_cases"),
+        "a03_parse_time": sql("SELECT trace_pos, event_pos, parsed FROM rough_events", "rough_events"),
+        "a04_load_cases": sql("""SELECT application_id, application_type, coalesce(loan_goal, '') AS loan_goal,
+          requested_amount FROM log_cases""", "log_cases"),
+        "a05_load_events": sql("""SELECT event_id, application_id, activity, event_timestamp, coalesce(resource, '') AS resource,
+          coalesce(lifecycle_transition, '') AS lifecycle_transition, action, event_origin
+          FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY event_timestamp) AS nth FROM log_events)
+          WHERE nth = 1""", "log_events"),
+        "a06_case_rollup": sql("""SELECT application_id, first_event_time, last_event_time, event_count FROM log_cases""", "log_cases"),
+        "a06_case_rollup_from_events": sql("""SELECT application_id, min(event_timestamp) AS first_event_time,
+          max(event_timestamp) AS last_event_time, CAST(count(*) AS INTEGER) AS event_count
+          FROM log_events GROUP BY application_id""", "log_events"),
+        "a08_extension_upsert": sql("SELECT * EXCLUDE (lineage_tag) FROM extensions", "extensions"),
+        "a09_prediction_upsert": sql("SELECT * FROM predictions", "predictions"),
+        "a10_load_log": sql("""SELECT 'synthetic_generator_seed_42' AS source_file, 'synthetic_extension' AS load_type,
+          count(*) AS records_loaded, 'SUCCESS' AS load_status FROM log_cases""", "log_cases"),
+        "a12_csv_sink": sql("""SELECT lifecycle_transition, CAST(event_count AS VARCHAR) AS event_count,
+          CAST(applications_affected AS VARCHAR) AS applications_affected, CAST(percentage AS VARCHAR) AS percentage,
+          CAST(workflow_pct AS VARCHAR) AS workflow_pct, CAST(offer_pct AS VARCHAR) AS offer_pct,
+          CAST(application_pct AS VARCHAR) AS application_pct FROM v_lifecycle""", "v_lifecycle"),
+        "a13_parquet_sink": sql(DAILY, "log_cases"),
+        "a15_export_all": sql("""SELECT dataset, format, rows FROM (
+          SELECT 'executive_summary' AS dataset, 1 AS rows
+          UNION ALL SELECT 'application_volume_by_type', count(*) FROM v_type
+          UNION ALL SELECT 'application_volume_monthly', count(*) FROM v_monthly
+          UNION ALL SELECT 'application_volume_daily', count(DISTINCT coalesce(CAST(first_event_time AS DATE), DATE '0001-01-01')) FROM log_cases
+          UNION ALL SELECT 'activity_summary', count(*) FROM v_activity
+          UNION ALL SELECT 'resource_workload', count(*) FROM v_resource
+          UNION ALL SELECT 'lifecycle_outcomes', count(*) FROM v_lifecycle
+          UNION ALL SELECT 'loan_goal_summary', count(*) FROM v_goals
+          UNION ALL SELECT 'processing_time_distribution', count(*) FROM v_buckets), (VALUES ('csv'), ('parquet')) AS f(format)""",
+          "v_type", "v_monthly", "v_activity", "v_resource", "v_lifecycle", "v_goals", "v_buckets", "log_cases"),
+        "a17_quality_sinks": sql("SELECT * FROM quarantine", "quarantine"),
+        "c07_repeated_keys": sql("""SELECT event_id, count(*) AS rows FROM rough_events WHERE event_id <> ''
+          GROUP BY event_id HAVING count(*) > 1""", "rough_events"),
+        "i01_issues": sql("SELECT * FROM issues", "issues"),
+        "i13_rule_report": sql(f"""SELECT rule, severity, CASE WHEN severity = 'info' THEN 1 ELSE coalesce(n, 0) END AS issue_count
+          FROM {CATALOG} LEFT JOIN (SELECT rule AS r, count(*) AS n FROM issues GROUP BY 1) ON r = rule""", "issues"),
+        "i13_examples": sql("""SELECT rule, document_id, detail, severity FROM (SELECT *, row_number() OVER (
+          PARTITION BY rule ORDER BY trace_pos, event_pos NULLS FIRST, detail) AS nth FROM issues) WHERE nth <= 20""", "issues"),
+        "i14_quarantine": sql("SELECT * FROM quarantine", "quarantine"),
+        "i15_totals": sql("""SELECT (SELECT count(*) FROM rough_traces) AS traces,
+          (SELECT count(*) FROM rough_events) AS events""", "rough_traces", "rough_events"),
+    }
+    q |= {
+        "a11_mv_activity_summary": q["d14_mv_activity_summary"],
+        "a11_mv_resource_workload": q["d15_mv_resource_workload"],
+        "a11_mv_monthly_summary": q["d16_mv_monthly_summary"],
+        "a11_mv_application_type_summary": q["d17_mv_application_type_summary"],
     }
     return q

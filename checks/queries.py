@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from caselog.functions import expressions as E
 from caselog.operators import extensions as ext
-from caselog.operators import integrity
-from caselog.plans import kpis, predictive, views
-from caselog.sources import retail
+from caselog import schemas, session
+from caselog.operators import integrity, loading, quality
+from caselog.plans import jobs, kpis, predictive, views
+from caselog.sinks import export, snapshots
+from caselog.sources import retail, xes
+from checks import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +64,97 @@ def _row_counts(cases: DataFrame, events: DataFrame) -> DataFrame:
     return kpis.row_counts({**tables, **{n: views.build(n, tables) for n in named}})
 
 
+def on_traces(plan) -> Query:
+    return lambda spark, d: plan(fixtures.order_traces(spark, d))
+
+
+def on_rough_log(plan) -> Query:
+    return lambda spark, d: plan(fixtures.rough_traces(spark, d), fixtures.rough_events(spark, d))
+
+
+def on_issues(plan) -> Query:
+    return on_rough_log(lambda t, e: plan(quality.audit(t, e)))
+
+
+def _attributes(traces: DataFrame) -> DataFrame:
+    a = F.col("attributes")
+    return traces.select(
+        xes.attribute(a, "concept:name").alias("application_id"),
+        F.explode(xes.attribute_map(a)).alias("key", "value"),
+    )
+
+
+def _parsed(traces: DataFrame, events: DataFrame) -> DataFrame:
+    return events.select("trace_pos", "event_pos", xes.parse_time(F.col("raw_time")).alias("parsed"))
+
+
+def _examples(issues: DataFrame) -> DataFrame:
+    return quality.rule_report(issues).select("rule", F.inline("examples")).where(F.col("severity") != "info")
+
+
+def _materialized(name: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        root = session.scratch_path(spark, "views")
+        tables = {"cases": retail.order_cases(spark, d), "events": retail.order_events(spark, d)}
+        jobs.refresh_materialized_views(tables, root)
+        return jobs.read_materialized_view(spark, root, name)
+
+    return run
+
+
+def _extension_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Populate twice with different seeds: the second run replaces every row."""
+    root, cases = session.scratch_path(spark, "extensions"), retail.order_cases(spark, d)
+    for seed in (7, 42):
+        jobs.populate_extensions(cases, f"{root}/table", f"{root}/loads", seed)
+    stored = snapshots.read(spark, f"{root}/table", schemas.EXTENSIONS)
+    return stored.drop("created_at", "updated_at")
+
+
+def _load_log(spark: SparkSession, d: str) -> DataFrame:
+    root = session.scratch_path(spark, "loads")
+    jobs.populate_extensions(retail.order_cases(spark, d), f"{root}/table", f"{root}/loads")
+    return spark.read.parquet(f"{root}/loads").select(
+        "source_file", "load_type", "records_loaded", "load_status"
+    )
+
+
+def _prediction_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Store both versions, then the first again: its rows are replaced, the other stays."""
+    root, rows = session.scratch_path(spark, "predictions"), retail.order_predictions(spark, d)
+    for version in ("v1.0", "v2.0", "v1.0"):
+        snapshots.upsert_part(
+            rows.where(F.col("model_version") == version), root, "model_version", version,
+            ["application_id"], schemas.PREDICTIONS,
+        )
+    return snapshots.read_parts(spark, root, "model_version", schemas.PREDICTIONS).drop("created_at", "updated_at")
+
+
+def _exported(name: str, kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = session.scratch_path(spark, "export")
+        tables = {"cases": retail.order_cases(spark, d), "events": retail.order_events(spark, d)}
+        export.export_dataset(spark, tables, out, name, (kind,))
+        if kind == "parquet":
+            return spark.read.parquet(f"{out}/{name}.parquet")
+        return export.read_csv(spark, f"{out}/{name}.csv")
+
+    return run
+
+
+def _export_manifest(spark: SparkSession, d: str) -> DataFrame:
+    out = session.scratch_path(spark, "export")
+    tables = {"cases": retail.order_cases(spark, d), "events": retail.order_events(spark, d)}
+    done = export.export_all(spark, tables, out)
+    return spark.read.parquet(done["manifest"]).select("dataset", "format", "rows")
+
+
+def _quality_sinks(spark: SparkSession, d: str) -> DataFrame:
+    path = session.scratch_path(spark, "quality")
+    quality.run(fixtures.rough_traces(spark, d), fixtures.rough_events(spark, d), path)
+    return spark.read.json(f"{path}/quarantine").select("document_id", "decision", "rules", "trace_pos")
+
+
 def queries() -> dict[str, Query]:
     march, september = date(1996, 3, 15), date(1997, 9, 20)
     return {
@@ -172,4 +266,42 @@ def queries() -> dict[str, Query]:
         "l06_extension_violations": on_extensions(
             lambda x: ext.violations(x).agg(F.count(F.lit(1)).alias("violations"))
         ),
+        "a01_trace_scan": on_traces(
+            lambda t: xes.flatten_traces(t).select(F.col("document_id").alias("application_id"), "events")
+        ),
+        "a02_attribute_map": on_traces(_attributes),
+        "a03_parse_time": on_rough_log(_parsed),
+        "a04_load_cases": on_traces(
+            lambda t: loading.load_cases(t).select(
+                "application_id", "application_type", "loan_goal", "requested_amount")
+        ),
+        "a05_load_events": on_traces(lambda t: loading.load_events(t)[0]),
+        "a06_case_rollup": on_traces(
+            lambda t: loading.load_cases(t).select(
+                "application_id", "first_event_time", "last_event_time", "event_count")
+        ),
+        "a06_case_rollup_from_events": on_events(loading.case_rollup),
+        "a08_extension_upsert": _extension_upsert,
+        "a09_prediction_upsert": _prediction_upsert,
+        "a10_load_log": _load_log,
+        **{f"a11_{name}": _materialized(name) for name in views.MATERIALIZED},
+        "a12_csv_sink": _exported("lifecycle_outcomes", "csv"),
+        "a13_parquet_sink": _exported("application_volume_daily", "parquet"),
+        "a15_export_all": _export_manifest,
+        "a17_quality_sinks": _quality_sinks,
+        "c07_repeated_keys": on_rough_log(
+            lambda t, e: integrity.repeated_keys(e.where(F.col("event_id") != ""), ["event_id"])
+        ),
+        "i01_issues": on_issues(
+            lambda i: i.where(F.col("severity") != "info")
+            .select("rule", "severity", "document_id", "detail", "trace_pos", "event_pos")
+        ),
+        "i13_rule_report": on_issues(
+            lambda i: quality.rule_report(i).select("rule", "severity", "issue_count")
+        ),
+        "i13_examples": on_issues(_examples),
+        "i14_quarantine": on_issues(
+            lambda i: quality.quarantine(i).select("document_id", "decision", "rules", "trace_pos")
+        ),
+        "i15_totals": on_rough_log(quality.totals),
     }
