@@ -334,6 +334,50 @@ define("quarantine", """SELECT document_id, 'quarantine_for_review' AS decision,
   FROM issues WHERE severity = 'error' GROUP BY trace_pos, document_id""", "issues")
 
 
+# ---------------------------------------------------------------- features, metrics, scoring
+define("new_credit", """SELECT e.* FROM extensions e JOIN log_cases USING (application_id)
+  WHERE application_type = 'New credit'""", "extensions", "log_cases")
+PARTS = """CAST(hour(first_event_time) AS INTEGER) AS submission_hour,
+  CAST(isodow(first_event_time) - 1 AS INTEGER) AS submission_day_of_week,
+  CAST(month(first_event_time) AS INTEGER) AS submission_month"""
+WEEKEND = "CASE WHEN isodow(first_event_time) >= 6 THEN 1 WHEN first_event_time IS NOT NULL THEN 0 END AS is_weekend"
+DAYS_EXPR = f"({MICROS} / 8.64e10)"
+
+
+def _case_features(join: str, page: str, quality: str, sla: str) -> str:
+    return f"""SELECT application_id, application_type, loan_goal,
+      CAST(coalesce(requested_amount, 0) AS DOUBLE) AS requested_amount, first_event_time, {PARTS}, {WEEKEND},
+      document_type, {page} AS page_count, branch, operator_team, priority, {sla} AS sla_target_hours, region, channel,
+      CAST({quality} AS DOUBLE) AS quality_score
+      FROM log_cases {join} JOIN new_credit USING (application_id)"""
+
+
+def _ranked(k: str) -> str:
+    return f"""SELECT application_id, application_type AS label, {k} FROM (SELECT *, row_number() OVER (PARTITION BY application_type
+      ORDER BY CAST('0x' || substr(sha256('42:' || application_id), 1, 15) AS BIGINT), application_id) AS nth,
+      count(*) OVER (PARTITION BY application_type) AS size FROM log_cases)"""
+
+
+define("truth", f"""SELECT application_id, {DAYS_EXPR} AS y, CASE WHEN {DAYS_EXPR} > 1000 THEN 1 ELSE 0 END AS label,
+    risk_class, CAST(risk_probability AS DOUBLE) AS s, CAST(predicted_processing_days AS DOUBLE) AS f
+  FROM log_cases JOIN predictions USING (application_id)
+  WHERE model_version = 'v1.0' AND first_event_time IS NOT NULL""", "log_cases", "predictions")
+define("score_groups", """SELECT s, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n
+  FROM truth GROUP BY s""", "truth")
+define("running", """SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS fp
+  FROM score_groups""", "score_groups")
+define("confusion", """SELECT CAST(count(*) FILTER (label = 1 AND risk_class = 1) AS DOUBLE) AS tp,
+    count(*) FILTER (label = 0 AND risk_class = 1) AS fp, count(*) FILTER (label = 1 AND risk_class = 0) AS fn
+  FROM truth""", "truth")
+METRICS_SQL = """SELECT (SELECT round(sum(n * (tp - p / 2.0)) / (CAST(sum(p) AS DOUBLE) * sum(n)), 4) FROM running) AS roc_auc,
+    (SELECT round(sum(CAST(p AS DOUBLE) * tp / (tp + fp)) / sum(p), 4) FROM running) AS pr_auc,
+    (SELECT round(2 * tp / (2 * tp + fp + fn), 4) FROM confusion) AS f1_score,
+    (SELECT round(tp / (tp + fp), 4) FROM confusion) AS precision, (SELECT round(tp / (tp + fn), 4) FROM confusion) AS recall,
+    (SELECT round(avg(abs(y - f)), 4) FROM truth) AS mae_days,
+    (SELECT round(sqrt(avg((y - f) * (y - f))), 4) FROM truth) AS rmse_days,
+    (SELECT round(1 - avg((y - f) * (y - f)) / var_pop(y), 4) FROM truth) AS r2_score"""
+
+
 def oracle_sql() -> dict[str, str]:
     user_cases = "user_cases"
     q = {
@@ -525,6 +569,43 @@ def oracle_sql() -> dict[str, str]:
           (SELECT count(*) FROM rough_events) AS events""", "rough_traces", "rough_events"),
     }
     q |= {
+        "m01_training_set": sql(f"""SELECT application_id, application_type, loan_goal,
+          CAST(coalesce(requested_amount, 0) AS DECIMAL(15, 2)) AS requested_amount, first_event_time, last_event_time,
+          {MICROS} / 3.6e9 AS processing_hours, {DAYS_EXPR} AS processing_days, document_type, page_count, branch,
+          operator_team, priority, sla_target_hours, region, channel, quality_score, error_flag, rejection_flag
+          FROM log_cases JOIN new_credit USING (application_id)""", "log_cases", "new_credit"),
+        "m05_features_and_targets": sql(f"""SELECT application_id, CAST(requested_amount AS DOUBLE) AS requested_amount, {PARTS},
+          page_count, CAST(quality_score AS DOUBLE) AS quality_score, sla_target_hours, application_type, loan_goal,
+          document_type, branch, operator_team, priority, region, channel, {DAYS_EXPR} AS processing_days,
+          round(ln(1 + {DAYS_EXPR}), 9) AS log_processing_days,
+          CASE WHEN {DAYS_EXPR} > (SELECT {avg(f'sum({MICROS})', f'count({MICROS})')} / 8.64e10 FROM log_cases) THEN 1 ELSE 0 END AS is_sla_breach_operational,
+          CASE WHEN {DAYS_EXPR} > (SELECT quantile_cont({DAYS_EXPR}, 0.5) FROM log_cases) THEN 1 ELSE 0 END AS is_sla_breach_median,
+          CASE WHEN {MICROS} / 3.6e9 > sla_target_hours THEN 1 ELSE 0 END AS is_sla_breach_strict
+          FROM log_cases JOIN extensions USING (application_id)""", "log_cases", "extensions"),
+        "m06_training_threshold": sql(f"""SELECT round(quantile_cont({DAYS_EXPR}, 0.5), 6) AS median,
+          round(avg({DAYS_EXPR}), 6) AS mean FROM log_cases""", "log_cases"),
+        "m07_stratified_split": sql(_ranked("CASE WHEN nth <= round(size * 0.2) THEN 'test' ELSE 'train' END AS part"), "log_cases"),
+        "m13_folds": sql(_ranked("CAST((nth - 1) % 5 AS INTEGER) AS fold"), "log_cases"),
+        "m14_metrics": sql(METRICS_SQL, "truth", "running", "confusion"),
+        "p01_scoring_input": sql(_case_features("LEFT", "coalesce(page_count, 1)", "coalesce(quality_score, 85.0)",
+          "coalesce(sla_target_hours, 48)"), "log_cases", "new_credit"),
+        "p03_skip_reasons": sql("""SELECT application_id, risk_class, risk_probability, predicted_processing_days,
+          CASE WHEN nth > 1 THEN 'Duplicate application ID in input batch'
+            WHEN risk_probability > 1 THEN 'risk_probability must be between 0.0 and 1.0, got ' || CAST(risk_probability AS VARCHAR)
+            WHEN predicted_processing_days < 0 THEN 'predicted_processing_days must be nonnegative, got ' || CAST(predicted_processing_days AS VARCHAR)
+          END AS reason
+          FROM (SELECT application_id, CAST(risk_class AS INTEGER) AS risk_class,
+            round(CAST(risk_probability AS DOUBLE) + 0.25, 4) AS risk_probability,
+            round(CAST(predicted_processing_days AS DOUBLE) - 5, 2) AS predicted_processing_days,
+            row_number() OVER (PARTITION BY application_id ORDER BY model_version) AS nth FROM predictions)""", "predictions"),
+        "p06_score_job": sql("""SELECT application_id, 'v1.0' AS model_version, 'GradientBoostedTrees' AS model_type
+          FROM log_cases""", "log_cases"),
+        "r01_case_features": sql(_case_features("", "page_count", "quality_score", "sla_target_hours"), "log_cases", "new_credit"),
+        "r03_batch_lookup": sql("""SELECT c_custkey AS position, CAST(c_custkey AS VARCHAR) AS application_id,
+          CASE WHEN n.application_id IS NULL THEN 'ERROR' ELSE 'SUCCESS' END AS status,
+          CASE WHEN n.application_id IS NULL
+            THEN concat('Application ID ', chr(39), c_custkey, chr(39), ' not found in database.') END AS error
+          FROM customer LEFT JOIN new_credit n ON n.application_id = CAST(c_custkey AS VARCHAR)""", "new_credit"),
         "a11_mv_activity_summary": q["d14_mv_activity_summary"],
         "a11_mv_resource_workload": q["d15_mv_resource_workload"],
         "a11_mv_monthly_summary": q["d16_mv_monthly_summary"],

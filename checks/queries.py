@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from caselog.functions import expressions as E
 from caselog.operators import extensions as ext
 from caselog import schemas, session
-from caselog.operators import integrity, loading, quality
-from caselog.plans import jobs, kpis, predictive, views
+from caselog.operators import features, integrity, loading, metrics, quality
+from caselog.operators import model as ml
+from caselog.plans import jobs, kpis, predictive, scoring, views
 from caselog.sinks import export, snapshots
 from caselog.sources import retail, xes
 from checks import fixtures
@@ -155,6 +156,123 @@ def _quality_sinks(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.json(f"{path}/quarantine").select("document_id", "decision", "rules", "trace_pos")
 
 
+BREACH, DAYS, LOG_DAYS = "is_sla_breach_median", "processing_days", "log_processing_days"
+# Boosting rounds of the trained checks; the default of the model is higher.
+ROUNDS = 10
+
+
+def _new_credit(cases: DataFrame) -> DataFrame:
+    """Extensions for one application type only, so that some cases have none."""
+    return ext.generate(cases.where(F.col("application_type") == "New credit"))
+
+
+def _prepared(cases: DataFrame) -> DataFrame:
+    return features.prepare(features.training_set(cases, ext.generate(cases)))
+
+
+def _targets(cases: DataFrame) -> DataFrame:
+    return _prepared(cases).withColumn(LOG_DAYS, F.round(LOG_DAYS, 9))
+
+
+def _threshold(cases: DataFrame) -> DataFrame:
+    known = views.case_durations(cases)
+    return cases.sparkSession.range(1).select(*[
+        F.round(F.lit(features.training_threshold(known, "processing_days", s)), 6).alias(s) for s in ("median", "mean")
+    ])
+
+
+def _labelled(cases: DataFrame) -> DataFrame:
+    return cases.select("application_id", F.col("application_type").alias("label"))
+
+
+def _split(cases: DataFrame) -> DataFrame:
+    train, test = features.stratified_split(_labelled(cases), "label")
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+def _scored_truth(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Fixed predictions next to what happened."""
+    known = views.case_durations(cases).where(F.col("processing_days").isNotNull())
+    return known.join(predictions.where(F.col("model_version") == "v1.0"), "application_id").withColumn(
+        "label", (F.col("processing_days") > 1000).cast("int")
+    )
+
+
+def _metrics(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    return metrics.evaluate(
+        _scored_truth(cases, predictions), "label", "risk_probability", "risk_class",
+        "processing_days", "predicted_processing_days",
+    )
+
+
+def _trained(cases: DataFrame, subset: str = "full", rounds: int = ROUNDS) -> tuple[ml.RiskModel, DataFrame, DataFrame]:
+    train, test = features.stratified_split(_prepared(cases), BREACH)
+    return ml.RiskModel(subset, rounds=rounds).fit(train, BREACH, LOG_DAYS), train, test
+
+
+def _one_row(spark: SparkSession, values: dict[str, float]) -> DataFrame:
+    return spark.range(1).select(*[F.lit(v).cast("double").alias(k) for k, v in values.items()])
+
+
+def _predict(cases: DataFrame) -> DataFrame:
+    model, _, test = _trained(cases)
+    return model.predict(test).select("application_id", *ml.RESULTS)
+
+
+def _evaluate(subset: str) -> Query:
+    def run(cases: DataFrame) -> DataFrame:
+        model, _, test = _trained(cases, subset)
+        return _one_row(cases.sparkSession, model.evaluate(test, BREACH, DAYS))
+
+    return on_cases(run)
+
+
+def _cross_validate(cases: DataFrame) -> DataFrame:
+    return _one_row(cases.sparkSession, ml.RiskModel("real", rounds=3).cross_validate(_prepared(cases), BREACH, DAYS, 3))
+
+
+def _saved_model(cases: DataFrame) -> DataFrame:
+    model, _, test = _trained(cases, "real", 3)
+    path = model.save(session.scratch_path(cases.sparkSession, "model"))
+    return ml.RiskModel.load(path).predict(test).select("application_id", *ml.RESULTS)
+
+
+def _dummy(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    rows = _scored_truth(cases, predictions).select("application_id", "label", DAYS)
+    guess = ml.dummy_predictions(rows, rows, "label", DAYS)
+    return metrics.evaluate(guess, "label", "risk_probability", "risk_class", DAYS, "predicted_processing_days")
+
+
+def _skip_reasons(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Fixed predictions pushed out of range in places, both versions in one batch."""
+    batch = predictions.select(
+        "application_id", "model_version", F.col("risk_class").cast("int").alias("risk_class"),
+        (F.col("risk_probability").cast("double") + 0.25).alias("risk_probability"),
+        (F.col("predicted_processing_days").cast("double") - 5).alias("predicted_processing_days"),
+    )
+    return scoring.with_reasons(batch, "v9", "fixture", ["model_version"]).drop("model_version", "model_type")
+
+
+def _score_job(spark: SparkSession, d: str) -> DataFrame:
+    cases = retail.order_cases(spark, d)
+    model, _, _ = _trained(cases, rounds=3)
+    path = session.scratch_path(spark, "predictions")
+    for _ in range(2):
+        scoring.score_cases(cases, _new_credit(cases), model, "v1.0", path)
+    return scoring.read_predictions(spark, path).select("application_id", "model_version", "model_type")
+
+
+def _lookup(spark: SparkSession, d: str) -> DataFrame:
+    cases = retail.order_cases(spark, d)
+    model, _, _ = _trained(cases, rounds=3)
+    asked = retail.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("position"), F.col("c_custkey").cast("string").alias("application_id")
+    )
+    return scoring.predict_batch(model, cases, _new_credit(cases), asked).select(
+        "position", "application_id", "status", "error"
+    )
+
+
 def queries() -> dict[str, Query]:
     march, september = date(1996, 3, 15), date(1997, 9, 20)
     return {
@@ -304,4 +422,21 @@ def queries() -> dict[str, Query]:
             lambda i: quality.quarantine(i).select("document_id", "decision", "rules", "trace_pos")
         ),
         "i15_totals": on_rough_log(quality.totals),
+        "m01_training_set": on_cases(lambda c: features.training_set(c, _new_credit(c))),
+        "m05_features_and_targets": on_cases(_targets),
+        "m06_training_threshold": on_cases(_threshold),
+        "m07_stratified_split": on_cases(_split),
+        "m13_folds": on_cases(lambda c: features.with_folds(_labelled(c), "label")),
+        "m14_metrics": on_scores(_metrics),
+        "m16_dummy_baseline": on_scores(_dummy),
+        "m12_fit_predict": on_cases(_predict),
+        "m13_cross_validate": on_cases(_cross_validate),
+        "m15_save_load": on_cases(_saved_model),
+        "m17_ablation_real": _evaluate("real"),
+        "m17_ablation_full": _evaluate("full"),
+        "p01_scoring_input": on_cases(lambda c: scoring.scoring_input(c, _new_credit(c))),
+        "p03_skip_reasons": on_scores(_skip_reasons),
+        "p06_score_job": _score_job,
+        "r01_case_features": on_cases(lambda c: features.case_features(c, _new_credit(c), known_only=True)),
+        "r03_batch_lookup": _lookup,
     }
