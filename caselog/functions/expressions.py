@@ -43,6 +43,13 @@ def pct(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.when(whole != 0, part.cast("double") * F.lit(100.0) / whole), digits)
 
 
+def share(part: Column, whole: Column) -> Column:
+    """Share in percent as the prediction reports state it: ties go to the even digit, and
+    an empty whole gives 0."""
+    whole = whole.cast("double")
+    return F.coalesce(F.bround(F.when(whole != 0, part.cast("double") / whole * F.lit(100.0)), 2), F.lit(0.0))
+
+
 def mean(total: Column, n: Column, digits: int | None = None) -> Column:
     """Quotient of an exact sum and a count, as double; NULL for an empty group."""
     value = F.when(n > 0, total.cast("double") / n.cast("double"))

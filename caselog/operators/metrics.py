@@ -35,8 +35,8 @@ def ranking_metrics(
         F.sum("p").alias("P"), F.sum("n").alias("N"),
     )
     return sums.select(
-        F.round(F.col("won") / F.nullif(d("P") * d("N"), F.lit(0.0)), 4).alias("roc_auc"),
-        F.round(F.col("precision") / F.nullif(d("P"), F.lit(0.0)), 4).alias("pr_auc"),
+        F.bround(F.col("won") / F.nullif(d("P") * d("N"), F.lit(0.0)), 4).alias("roc_auc"),
+        F.bround(F.col("precision") / F.nullif(d("P"), F.lit(0.0)), 4).alias("pr_auc"),
     )
 
 
@@ -47,7 +47,7 @@ def classification_metrics(df: DataFrame, label: str, predicted: str) -> DataFra
         F.count_if(yes & said).alias("tp"), F.count_if(~yes & said).alias("fp"), F.count_if(yes & ~said).alias("fn")
     )
     tp, fp, fn = (F.col(x).cast("double") for x in ("tp", "fp", "fn"))
-    ratio = lambda a, b: F.round(F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0)), 4)
+    ratio = lambda a, b: F.bround(F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0)), 4)
     return c.select(
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1_score"),
         ratio(tp, tp + fp).alias("precision"),
@@ -59,9 +59,9 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One row: MAE, RMSE and R²."""
     y, e = F.col(actual).cast("double"), F.col(actual).cast("double") - F.col(predicted).cast("double")
     return df.where(e.isNotNull()).agg(
-        F.round(F.avg(F.abs(e)), 4).alias("mae_days"),
-        F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse_days"),
-        F.round(1 - F.avg(e * e) / F.nullif(F.var_pop(y), F.lit(0.0)), 4).alias("r2_score"),
+        F.bround(F.avg(F.abs(e)), 4).alias("mae_days"),
+        F.bround(F.sqrt(F.avg(e * e)), 4).alias("rmse_days"),
+        F.bround(1 - F.avg(e * e) / F.nullif(F.var_pop(y), F.lit(0.0)), 4).alias("r2_score"),
     )
 
 

@@ -88,7 +88,7 @@ def prediction_coverage(
         n.alias("total_applications"),
         s.alias("applications_with_predictions"),
         F.greatest(n - s, F.lit(0)).alias("applications_without_predictions"),
-        F.coalesce(E.pct(s, n), F.lit(0.0)).alias("coverage_percentage"),
+        E.share(s, n).alias("coverage_percentage"),
         _version(version),
     )
 
@@ -107,7 +107,7 @@ def risk_distribution(
             "predicted_risk_class",
             E.risk_label(F.col("predicted_risk_class")).alias("predicted_risk_label"),
             "count",
-            E.pct(F.col("count"), F.col("_all")).alias("percentage"),
+            E.share(F.col("count"), F.col("_all")).alias("percentage"),
             _version(model_version),
         )
         .orderBy(F.col("predicted_risk_class").asc_nulls_last())
@@ -132,7 +132,7 @@ def risk_probability_bands(
         counts.select(total.alias("_all"), F.explode(rows).alias("r"))
         .select(
             "r.probability_band", "r.count",
-            F.coalesce(E.pct(F.col("r.count"), F.col("_all")), F.lit(0.0)).alias("percentage"),
+            E.share(F.col("r.count"), F.col("_all")).alias("percentage"),
             _version(model_version),
         )
         .orderBy("probability_band")
@@ -147,7 +147,7 @@ def predicted_processing_time_summary(
     days = F.col("predicted_processing_days")
     values = _scored(cases, predictions, model_version).groupBy(days).agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
-    zero = lambda c: F.round(F.coalesce(c.cast("double"), F.lit(0.0)), 2)
+    zero = lambda c: F.bround(F.coalesce(c.cast("double"), F.lit(0.0)), 2)
     known = F.when(days.isNotNull(), n)
     return (
         values.agg(
@@ -185,7 +185,7 @@ def prediction_error_summary(
         )
     )
     n = F.col("n")
-    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 2)
+    zero = lambda c: F.bround(F.coalesce(c, F.lit(0.0)), 2)
     return measured.select(
         n.alias("evaluated_count"),
         zero(E.mean(F.col("abs"), n)).alias("mae_days"),

@@ -30,7 +30,7 @@ MANIFEST = T.StructType([
 Tables = dict[str, DataFrame]
 
 # Dataset -> (report function, builder), in export order.
-DATASETS: dict[str, tuple[str, Callable[[Tables], DataFrame]]] = {
+DATASETS: dict[str, tuple[str, Callable[..., DataFrame]]] = {
     "executive_summary": ("executive_summary", lambda t: kpis.executive_summary(t["cases"], t["events"])),
     "application_volume_by_type": (
         "application_volume_by_type", lambda t: kpis.application_volume_by_type(t["cases"])),
@@ -39,7 +39,8 @@ DATASETS: dict[str, tuple[str, Callable[[Tables], DataFrame]]] = {
     "application_volume_daily": (
         "application_volume_over_time", lambda t: kpis.application_volume_over_time(t["cases"], "daily")),
     "activity_summary": ("activity_summary", lambda t: kpis.activity_summary(t["events"])),
-    "resource_workload": ("resource_workload", lambda t: kpis.resource_workload(t["events"])),
+    "resource_workload": (
+        "resource_workload", lambda t, limit=None: kpis.resource_workload(t["events"], limit)),
     "lifecycle_outcomes": ("lifecycle_outcome_summary", lambda t: kpis.lifecycle_outcome_summary(t["events"])),
     "loan_goal_summary": ("loan_goal_summary", lambda t: kpis.loan_goal_summary(t["cases"])),
     "processing_time_distribution": (
@@ -114,11 +115,12 @@ def export(
 
 
 def export_dataset(
-    spark: SparkSession, tables: Tables, out: str, name: str, formats: Sequence[str] = FORMATS
+    spark: SparkSession, tables: Tables, out: str, name: str, formats: Sequence[str] = FORMATS, **options
 ) -> list[dict[str, Any]]:
+    """Export one dataset; ``options`` go to its report (``limit`` of the resources)."""
     check.one_of(name, tuple(DATASETS), "dataset")
     source, build = DATASETS[name]
-    return export(spark, build(tables), out, name, formats, source)
+    return export(spark, build(tables, **options), out, name, formats, source)
 
 
 def export_all(

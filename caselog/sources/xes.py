@@ -101,27 +101,31 @@ def parse_time(text: Column) -> Column:
     )
 
 
-def read_traces(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """One row per trace: source file, position in it, attributes, events in file order.
+# Options of the XML source: values are kept as written, namespaces are ignored.
+OPTIONS = {
+    "rowTag": "trace", "mode": "FAILFAST", "ignoreSurroundingSpaces": "false", "ignoreNamespace": "true",
+    "inferSchema": "false",
+}
 
-    The position is taken on the unshuffled scan, where it grows along each file."""
-    raw = (
-        configure(spark).read.format("xml").schema(TRACE)
-        .option("rowTag", "trace").option("mode", mode)
-        .option("ignoreSurroundingSpaces", "false").option("ignoreNamespace", "true")
-        .option("inferSchema", "false")
-        .load(path)
-    )
+
+def place_traces(raw: DataFrame) -> DataFrame:
+    """Scanned trace elements (with their source_file) as rows with a position. It must be
+    applied before any shuffle: there the generated id grows along each file."""
     return raw.select(
-        F.col("_metadata.file_path").alias("source_file"),
+        "source_file",
         F.monotonically_increasing_id().alias("trace_pos"),
         bag().alias("attributes"),
-        F.transform(
-            F.coalesce("event", F.array().cast(TRACE["event"].dataType)), bag
-        ).alias("events"),
+        F.transform(F.coalesce("event", F.array().cast(TRACE["event"].dataType)), bag).alias("events"),
     )
 
 
+def read_traces(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """One row per trace: source file, position in it, attributes, events in file order.
+    A malformed file fails the read unless ``mode`` is given."""
+    raw = configure(spark).read.format("xml").schema(TRACE).options(**{**OPTIONS, **options}).load(path)
+    return place_traces(raw.withColumn("source_file", F.col("_metadata.file_path")))
+
+
 def flatten_traces(traces: DataFrame, keep: str = "last") -> DataFrame:
     """Trace rows with the identifier as text, without the events."""
     return traces.select(

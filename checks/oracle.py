@@ -7,6 +7,10 @@ def pct(n: str, d: str, digits: int = 2) -> str:
     return f"round(CAST({n} AS DOUBLE) * 100.0 / CAST({d} AS DOUBLE), {digits})"
 
 
+def share(n: str, d: str) -> str:
+    return f"coalesce(round_even(CAST({n} AS DOUBLE) / CAST({d} AS DOUBLE) * 100.0, 2), 0.0)"
+
+
 def avg(total: str, n: str) -> str:
     return f"CAST({total} AS DOUBLE) / CAST({n} AS DOUBLE)"
 
@@ -203,15 +207,15 @@ def _duration(cases: str, view: str) -> str:
 
 def _error(view: str, version: str, where: str = "") -> str:
     e = "CAST(processing_days_error AS DECIMAL(12, 2))"
-    return f"""SELECT count({e}) AS evaluated_count, round({avg(f'sum(abs({e}))', 'count(*)')}, 2) AS mae_days,
-      round(sqrt({avg(f'sum({e} * {e})', 'count(*)')}), 2) AS rmse_days,
-      round({avg(f'sum({e})', 'count(*)')}, 2) AS mean_error_days, {version} AS model_version
+    return f"""SELECT count({e}) AS evaluated_count, round_even({avg(f'sum(abs({e}))', 'count(*)')}, 2) AS mae_days,
+      round_even(sqrt({avg(f'sum({e} * {e})', 'count(*)')}), 2) AS rmse_days,
+      round_even({avg(f'sum({e})', 'count(*)')}, 2) AS mean_error_days, {version} AS model_version
       FROM {view} WHERE actual_processing_days IS NOT NULL AND processing_days_error IS NOT NULL {where}"""
 
 
 def _bands(view: str, version: str, where: str = "") -> str:
     return f"""SELECT band AS probability_band, coalesce(n, 0) AS count,
-      coalesce({pct('n', 'sum(n) OVER ()')}, 0.0) AS percentage, {version} AS model_version
+      {share('n', 'sum(n) OVER ()')} AS percentage, {version} AS model_version
       FROM (VALUES ('0.0 - 0.2'), ('0.2 - 0.4'), ('0.4 - 0.6'), ('0.6 - 0.8'), ('0.8 - 1.0')) AS d(band)
       LEFT JOIN (SELECT {BAND} AS b, count(*) AS n FROM {view} {where} GROUP BY 1) ON band = b"""
 
@@ -219,21 +223,21 @@ def _bands(view: str, version: str, where: str = "") -> str:
 def _distribution(view: str, version: str, where: str = "") -> str:
     return f"""SELECT CAST(risk_class AS INTEGER) AS predicted_risk_class,
       CASE WHEN risk_class = 1 THEN 'High Risk' ELSE 'Low Risk' END AS predicted_risk_label, count(*) AS count,
-      {pct('count(*)', 'sum(count(*)) OVER ()')} AS percentage, {version} AS model_version
+      {share('count(*)', 'sum(count(*)) OVER ()')} AS percentage, {version} AS model_version
       FROM {view} {where} GROUP BY risk_class"""
 
 
 def _times(view: str, version: str, where: str = "") -> str:
     d = "predicted_processing_days"
-    return f"""SELECT count(*) AS count, round({avg(f'sum({d})', 'count(*)')}, 2) AS mean_days,
-      round(CAST(quantile_cont(CAST({d} AS DOUBLE), 0.5) AS DOUBLE), 2) AS median_days,
+    return f"""SELECT count(*) AS count, round_even({avg(f'sum({d})', 'count(*)')}, 2) AS mean_days,
+      round_even(CAST(quantile_cont(CAST({d} AS DOUBLE), 0.5) AS DOUBLE), 2) AS median_days,
       CAST(min({d}) AS DOUBLE) AS min_days, CAST(max({d}) AS DOUBLE) AS max_days, {version} AS model_version
       FROM {view} {where}"""
 
 
 def _coverage(version: str, where: str = "") -> str:
     return f"""SELECT n AS total_applications, s AS applications_with_predictions,
-      greatest(n - s, 0) AS applications_without_predictions, {pct('s', 'n')} AS coverage_percentage,
+      greatest(n - s, 0) AS applications_without_predictions, {share('s', 'n')} AS coverage_percentage,
       {version} AS model_version
       FROM (SELECT count(*) AS n FROM log_cases), (SELECT count(DISTINCT application_id) AS s FROM predictions {where})"""
 
@@ -369,13 +373,13 @@ define("running", """SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER
 define("confusion", """SELECT CAST(count(*) FILTER (label = 1 AND risk_class = 1) AS DOUBLE) AS tp,
     count(*) FILTER (label = 0 AND risk_class = 1) AS fp, count(*) FILTER (label = 1 AND risk_class = 0) AS fn
   FROM truth""", "truth")
-METRICS_SQL = """SELECT (SELECT round(sum(n * (tp - p / 2.0)) / (CAST(sum(p) AS DOUBLE) * sum(n)), 4) FROM running) AS roc_auc,
-    (SELECT round(sum(CAST(p AS DOUBLE) * tp / (tp + fp)) / sum(p), 4) FROM running) AS pr_auc,
-    (SELECT round(2 * tp / (2 * tp + fp + fn), 4) FROM confusion) AS f1_score,
-    (SELECT round(tp / (tp + fp), 4) FROM confusion) AS precision, (SELECT round(tp / (tp + fn), 4) FROM confusion) AS recall,
-    (SELECT round(avg(abs(y - f)), 4) FROM truth) AS mae_days,
-    (SELECT round(sqrt(avg((y - f) * (y - f))), 4) FROM truth) AS rmse_days,
-    (SELECT round(1 - avg((y - f) * (y - f)) / var_pop(y), 4) FROM truth) AS r2_score"""
+METRICS_SQL = """SELECT (SELECT round_even(sum(n * (tp - p / 2.0)) / (CAST(sum(p) AS DOUBLE) * sum(n)), 4) FROM running) AS roc_auc,
+    (SELECT round_even(sum(CAST(p AS DOUBLE) * tp / (tp + fp)) / sum(p), 4) FROM running) AS pr_auc,
+    (SELECT round_even(2 * tp / (2 * tp + fp + fn), 4) FROM confusion) AS f1_score,
+    (SELECT round_even(tp / (tp + fp), 4) FROM confusion) AS precision, (SELECT round_even(tp / (tp + fn), 4) FROM confusion) AS recall,
+    (SELECT round_even(avg(abs(y - f)), 4) FROM truth) AS mae_days,
+    (SELECT round_even(sqrt(avg((y - f) * (y - f))), 4) FROM truth) AS rmse_days,
+    (SELECT round_even(1 - avg((y - f) * (y - f)) / var_pop(y), 4) FROM truth) AS r2_score"""
 
 
 def oracle_sql() -> dict[str, str]:
