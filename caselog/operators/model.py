@@ -14,7 +14,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -35,33 +35,49 @@ ROUNDS, RATE, DEPTH, LEAF_ROWS, BINS = 100, 0.1, 5, 20, 255
 RESULTS = ("risk_class", "risk_probability", "predicted_processing_days")
 
 
-def preprocessing(subset: str) -> list:
-    """Stages from feature columns to one vector. A category not seen in training, like a
-    missing number, does not fail: its one-hot part is all zero."""
-    numbers, names = list(features.numeric(subset)), list(features.categorical(subset))
+def _scaling(df: DataFrame, subset: str) -> SQLTransformer:
+    """Numbers to mean 0 and (population) deviation 1, from one aggregate. Missing numbers
+    do not enter the statistics and stay missing; a constant column becomes 0."""
+    names = features.numeric(subset)
+    found = df.agg(
+        *[F.avg(f"_n_{c}").alias(f"m_{c}") for c in names], *[F.stddev_pop(f"_n_{c}").alias(f"s_{c}") for c in names]
+    ).first()
+    number = lambda x: f"CAST('{x!r}' AS DOUBLE)"
+    scaled = ", ".join(
+        f"(_n_{c} - {number(found[f'm_{c}'] or 0.0)}) / {number(found[f's_{c}'] or 1.0)} AS _s_{c}" for c in names
+    )
+    return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
+
+
+def fit_preprocessing(df: DataFrame, subset: str) -> PipelineModel:
+    """From feature columns (see :func:`inputs`) to one vector: scaled numbers, then
+    one-hot categories. A category not seen in training does not fail: its part is all
+    zero; a missing number is NaN, which the trees send to one side."""
+    names = list(features.categorical(subset))
     indexed, hot = [f"_i_{c}" for c in names], [f"_v_{c}" for c in names]
-    return [
+    return Pipeline(stages=[
+        _scaling(df, subset),
         StringIndexer(inputCols=[f"_c_{c}" for c in names], outputCols=indexed, handleInvalid="keep",
                       stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
-        VectorAssembler(inputCols=[f"_n_{c}" for c in numbers], outputCol="_numbers", handleInvalid="keep"),
-        StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
-        VectorAssembler(inputCols=["_scaled", *hot], outputCol="_features", handleInvalid="keep"),
-    ]
+        VectorAssembler(inputCols=[*(f"_s_{c}" for c in features.numeric(subset)), *hot], outputCol="_features",
+                        handleInvalid="keep"),
+    ]).fit(df)
 
 
-def _inputs(df: DataFrame, subset: str) -> DataFrame:
+def inputs(df: DataFrame, subset: str) -> DataFrame:
+    """Feature columns in the types and names the preprocessing reads."""
     return df.withColumns({
         **{f"_n_{c}": F.col(c).cast("double") for c in features.numeric(subset)},
         **{f"_c_{c}": F.coalesce(F.col(c), F.lit(MISSING_CATEGORY)) for c in features.categorical(subset)},
     })
 
 
-def _together(jobs: list[Callable], parallelism: int) -> list:
+def _together(spark: SparkSession, jobs: list[Callable], parallelism: int) -> list:
     """Results of independent Spark jobs, a few of them submitted at a time: one boosting
     round leaves much of a cluster idle."""
     with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
-        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)
 
 
 class RiskModel:
@@ -93,12 +109,14 @@ class RiskModel:
         shared folder, so that the many passes of boosting read them and not the plan."""
         features.require(df.columns, self.subset)
         shared_dir(df.sparkSession)
-        rows = _inputs(df, self.subset).where(F.col(breach).isNotNull() & F.col(log_days).isNotNull())
-        prepared = Pipeline(stages=preprocessing(self.subset)).fit(rows)
+        rows = inputs(df, self.subset).where(F.col(breach).isNotNull() & F.col(log_days).isNotNull())
+        prepared = fit_preprocessing(rows, self.subset)
         vectors = prepared.transform(rows).select(
             "_features", F.col(breach).cast("double").alias("_y_class"), F.col(log_days).alias("_y_log")
         ).checkpoint()
-        trees = _together([lambda stage=stage: stage.fit(vectors) for stage in self._trees()], 2)
+        trees = _together(
+            df.sparkSession, [lambda stage=stage: stage.fit(vectors) for stage in self._trees()], 2
+        )
         self._model = PipelineModel(stages=[*prepared.stages, *trees])
         return self
 
@@ -108,7 +126,7 @@ class RiskModel:
         if self._model is None:
             raise RuntimeError(UNFITTED)
         features.require(df.columns, self.subset)
-        scored = self._model.transform(_inputs(df, self.subset))
+        scored = self._model.transform(inputs(df, self.subset))
         return scored.select(
             *df.columns,
             F.col("_class").cast("int").alias("risk_class"),
@@ -118,8 +136,8 @@ class RiskModel:
 
     def evaluate(self, df: DataFrame, breach: str, days: str) -> dict[str, float]:
         """Metrics on labelled rows, rounded to four decimals."""
-        inputs = df.select(*features.columns(self.subset), F.col(breach).alias("_label"), F.col(days).alias("_days"))
-        scored = self.predict(inputs).select("_label", "_days", *RESULTS).checkpoint()
+        rows = df.select(*features.columns(self.subset), F.col(breach).alias("_label"), F.col(days).alias("_days"))
+        scored = self.predict(rows).select("_label", "_days", *RESULTS).checkpoint()
         row = metrics.evaluate(
             scored, "_label", "risk_probability", "risk_class", "_days", "predicted_processing_days"
         ).first()
@@ -139,7 +157,7 @@ class RiskModel:
             fold_model.fit(parts.where(F.col("fold") != i), breach, "_log")
             return fold_model.evaluate(parts.where(F.col("fold") == i), breach, days)
 
-        results = _together([lambda i=i: run(i) for i in range(folds)], parallelism)
+        results = _together(df.sparkSession, [lambda i=i: run(i) for i in range(folds)], parallelism)
         wanted = ("roc_auc", "pr_auc", "f1_score", "mae_days")
         return {f"cv_mean_{m}": round(sum(r[m] for r in results) / folds, 4) for m in wanted}
 

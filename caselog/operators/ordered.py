@@ -21,6 +21,8 @@ from caselog.session import shared_dir
 
 HOT_ROWS = 2_000_000
 BROADCAST_KEYS = 100_000
+# Most slices the hot groups are cut into; beyond that slices grow (their sort spills).
+MAX_SLICES = 20_000
 
 
 def _shuffle_width(df: DataFrame) -> int:
@@ -107,18 +109,21 @@ def neighbours(
     lags: dict[str, str] | None = None,
     leads: dict[str, str] | None = None,
     hot_rows: int | None = HOT_ROWS,
+    sizes_of: DataFrame | None = None,
 ) -> DataFrame:
     """Add the row number and the values of the previous and next row of each group.
 
     ``lags`` and ``leads`` map a new column to the column it takes from the neighbour.
     ``order_by`` must order the rows of a group completely; NULLs come last.
-    ``hot_rows=None`` promises that no group is too large for a task and saves the count.
+    Group sizes are counted first, on ``sizes_of`` if given: a frame with at least the same
+    rows per key that is cheaper to read. ``hot_rows=None`` promises that no group is too
+    large for a task and saves the count.
     """
     lags, leads = lags or {}, leads or {}
     order = [F.col(c).asc_nulls_last() for c in order_by]
     if hot_rows is None:
         return _windowed(df, keys, order, position, lags, leads)
-    hot = hot_groups(df, keys, hot_rows)
+    hot = hot_groups(df if sizes_of is None else sizes_of, keys, hot_rows)
     found = hot.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
     if not found.groups:
         return _windowed(df, keys, order, position, lags, leads)
@@ -129,7 +134,7 @@ def neighbours(
     is_hot = _same("d", "h", keys)
     cold_rows = df.alias("d").join(hot_keys.alias("h"), is_hot, "left_anti")
     hot_part = df.alias("d").join(hot_keys.alias("h"), is_hot, "left_semi")
-    parts = max(_shuffle_width(df), -(-4 * found.rows // hot_rows))
+    parts = max(_shuffle_width(df), min(-(-found.rows // hot_rows), MAX_SLICES))
     return _windowed(cold_rows, keys, order, position, lags, leads).unionByName(
         _sliced(hot_part, keys, order_by, position, lags, leads, parts)
     )

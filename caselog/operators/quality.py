@@ -1,8 +1,8 @@
 """Non-destructive quality rules over traces and events.
 
 Issues are selected, never removed from the data. Rules about one row share one pass;
-"seen before" is an aggregate joined back to the repeated keys only, and "previous time"
-uses the skew-aware neighbours.
+"seen before" meets the rows with the repeated keys only, and "previous time" uses the
+skew-aware neighbours. The log is read several times, so it should be a stored one.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselog.operators import ordered
+from caselog.session import shared_dir
 from caselog.sources import xes
 
 EXAMPLES_PER_RULE = 20
@@ -65,17 +66,22 @@ def _exploded(rows: DataFrame, tests: list[tuple[Column, Column]]) -> DataFrame:
 
 
 def _repeats(rows: DataFrame, key: str, position: tuple[str, ...]) -> DataFrame:
-    """Rows whose key occurs at an earlier position. Only keys that repeat are joined
-    back; counting them merges map-side, and the join side they meet is one row per key,
-    which adaptive execution can split or broadcast."""
-    at = F.struct(*position)
+    """Rows whose key occurs at an earlier position.
+
+    Counting keys hashes short rows and merges map-side. Only the keys that repeat are
+    kept (stored in the shared folder) and met with the rows again; as long as they are
+    few they are broadcast, so a key that fills the log is never gathered by a shuffle.
+    Beyond that they are joined by shuffle, one row per key against the log."""
+    shared_dir(rows.sparkSession)
     rows = rows.where(F.col(key) != "")
-    firsts = (
-        rows.groupBy(key)
-        .agg(F.min(at).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > 1).drop("_n")
+    repeated = (
+        rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(key).checkpoint()
     )
-    return rows.join(firsts, key).where(at > F.col("_first")).drop("_first")
+    few = repeated.count() <= ordered.BROADCAST_KEYS
+    small = F.broadcast if few else (lambda df: df)
+    at = F.struct(*position)
+    firsts = rows.join(small(repeated), key, "left_semi").groupBy(key).agg(F.min(at).alias("_first"))
+    return rows.join(small(firsts), key).where(at > F.col("_first")).drop("_first")
 
 
 def _backwards(events: DataFrame, hot_rows: int | None) -> DataFrame:
@@ -83,7 +89,8 @@ def _backwards(events: DataFrame, hot_rows: int | None) -> DataFrame:
     times are left out first, so the previous row is the previous readable time."""
     timed = events.where(F.col("_time").isNotNull()).select("document_id", *EVENT, "_time")
     return ordered.neighbours(
-        timed, list(TRACE), ["event_pos"], lags={"_previous": "_time"}, hot_rows=hot_rows
+        timed, list(TRACE), ["event_pos"], lags={"_previous": "_time"}, hot_rows=hot_rows,
+        sizes_of=events.select(*TRACE),
     ).where(F.col("_time") < F.col("_previous"))
 
 

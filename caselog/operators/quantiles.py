@@ -21,23 +21,18 @@ def exact_quantile(df: DataFrame, column: str, q: float = 0.5, exact_values: int
     driver.
     """
     values = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
-    total = values.count()
-    if total == 0:
+    stats = lambda rows: rows.agg(F.count("x"), F.approx_count_distinct("x")).first()
+    inside, (size, distinct) = values, stats(values)
+    if size == 0:
         return None
-    rank = q * (total - 1)
+    rank = q * (size - 1)
     low_rank, high_rank = math.floor(rank), math.ceil(rank)
     low, high, below = -math.inf, math.inf, 0
-    while True:
-        inside = values.where((F.col("x") >= low) & (F.col("x") <= high))
-        size, distinct = inside.agg(F.count("x"), F.approx_count_distinct("x")).first()
-        if distinct <= exact_values:
-            break
-        at = (rank - below) / max(size - 1, 1)
-        margin = 4.0 / ACCURACY
-        bounds = inside.agg(
+    while distinct > exact_values:
+        at, margin = (rank - below) / max(size - 1, 1), 4.0 / ACCURACY
+        new_low, new_high = inside.agg(
             F.percentile_approx("x", [max(at - margin, 0.0), min(at + margin, 1.0)], ACCURACY)
         ).first()[0]
-        new_low, new_high = bounds
         under, upto = values.agg(
             F.count_if(F.col("x") < new_low), F.count_if(F.col("x") <= new_high)
         ).first()
@@ -45,12 +40,11 @@ def exact_quantile(df: DataFrame, column: str, q: float = 0.5, exact_values: int
         if under > low_rank or upto <= high_rank or (new_low, new_high) == (low, high):
             break
         low, high, below = new_low, new_high, under
+        inside = values.where((F.col("x") >= low) & (F.col("x") <= high))
+        size, distinct = stats(inside)
     # Pre-aggregated to one row per value, so the buffer holds distinct values only.
     counts = inside.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    size = counts.agg(F.sum("n")).first()[0]
-    if size == 1:
-        return float(counts.first()["x"])
-    ends = [(low_rank - below) / (size - 1), (high_rank - below) / (size - 1)]
+    ends = [(r - below) / max(size - 1, 1) for r in (low_rank, high_rank)]
     at_low, at_high = counts.agg(
         F.percentile("x", F.array(*[F.lit(e) for e in ends]), F.col("n"))
     ).first()[0]

@@ -176,15 +176,16 @@ def executive_summary(cases: DataFrame, events: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("e", "en", "us", "usn")],
         types.alias("types"),
     )
+    # (activity, resource) groups are few next to the events, so both distinct counts run on them.
     pairs = events.groupBy("activity", "resource").agg(F.count(F.lit(1)).alias("n"))
-    activities = pairs.groupBy("activity").agg(F.sum("n").alias("n")).agg(
-        F.sum("n").alias("total_events"), F.count(F.lit(1)).alias("distinct_activities"),
-    )
-    resources = pairs.where(F.col("resource").isNotNull()).select("resource").distinct().agg(
-        F.count(F.lit(1)).alias("distinct_resources")
+    unnamed = F.coalesce(F.max(F.col("activity").isNull().cast("bigint")), F.lit(0))
+    event_totals = pairs.agg(
+        F.sum("n").alias("total_events"),
+        (F.countDistinct("activity") + unnamed).alias("distinct_activities"),
+        F.countDistinct("resource").alias("distinct_resources"),
     )
     return (
-        case_totals.crossJoin(F.broadcast(activities)).crossJoin(F.broadcast(resources))
+        case_totals.crossJoin(F.broadcast(event_totals))
         .select(
             F.coalesce("total_applications", F.lit(0)).alias("total_applications"),
             F.coalesce("total_events", F.lit(0)).alias("total_events"),
@@ -290,7 +291,7 @@ def activity_type_rollup(events: DataFrame) -> DataFrame:
             F.sum("unique_applications").alias("total_apps"),
         )
     )
-    return views.with_total(grouped, "_all", "total_events").select(
+    return views.with_sum(grouped, "_all", "total_events").select(
         "activity_type", "activities", "total_events", "total_apps",
         E.pct(F.col("total_events"), F.col("_all")).alias("pct_events"),
     ).orderBy("activity_type")
@@ -352,7 +353,7 @@ def chart_feeds(
 ) -> dict[str, DataFrame]:
     """The frames behind the nine standard charts; drawing is left to the consumer."""
     outcomes = lifecycle_outcome_summary(events)
-    shares = views.with_total(
+    shares = views.with_sum(
         outcomes.select("lifecycle_transition", "event_count"), "_all", "event_count"
     ).select(
         "lifecycle_transition", "event_count", E.pct(F.col("event_count"), F.col("_all"), 1).alias("share"),

@@ -102,7 +102,7 @@ def risk_distribution(
         .agg(F.count(F.lit(1)).alias("count"))
     )
     return (
-        views.with_total(counted, "_all", "count")
+        views.with_sum(counted, "_all", "count")
         .select(
             "predicted_risk_class",
             E.risk_label(F.col("predicted_risk_class")).alias("predicted_risk_label"),

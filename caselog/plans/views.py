@@ -6,7 +6,7 @@ are one-row aggregates, the only thing broadcast here.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselog.functions import expressions as E
@@ -23,13 +23,20 @@ def _micros() -> Column:
     return E.elapsed_micros(F.col("first_event_time"), F.col("last_event_time"))
 
 
-def with_total(grouped: DataFrame, total: str, part: str) -> DataFrame:
-    """Attach the sum of ``part`` over all rows: a one-row aggregate of the same grouped
-    rows (its shuffle is reused), instead of a window that would gather them in one task."""
-    whole = grouped.agg(F.sum(part).alias(total))
+def with_count(grouped: DataFrame, total: str, source: DataFrame) -> DataFrame:
+    """Attach the number of source rows, a one-row aggregate. On a stored table it needs no
+    column and is answered from file metadata, so the groups are not computed twice and
+    never gathered in one task."""
+    whole = source.agg(_n().alias(total))
     return grouped.crossJoin(F.broadcast(whole))
 
 
+def with_sum(grouped: DataFrame, total: str, part: str) -> DataFrame:
+    """Attach the sum of ``part`` over all rows. Only for groups with a fixed, small number
+    of values (buckets, classes, types): they meet in one task."""
+    return grouped.withColumn(total, F.sum(part).over(Window.partitionBy(F.lit(0))))
+
+
 def event_counts_by_case(events: DataFrame) -> DataFrame:
     """The six per-case event counts in one aggregation."""
     step, name = F.col("lifecycle_transition"), F.col("activity")
@@ -88,7 +95,7 @@ def _activity_counts(events: DataFrame, lifecycle: bool) -> DataFrame:
         F.countDistinct("application_id").alias("unique_applications"),
         *([F.count_if(step == s).alias(f"_{s}") for s in LIFECYCLE] if lifecycle else []),
     )
-    return with_total(counted, "_all", "event_count")
+    return with_count(counted, "_all", events)
 
 
 def _by_count(df: DataFrame, key: str, n: str = "event_count") -> DataFrame:
@@ -109,20 +116,25 @@ def activity_summary(events: DataFrame) -> DataFrame:
 
 
 def _resource_counts(events: DataFrame, times: bool) -> DataFrame:
-    """Two narrow aggregations instead of one with two distinct counts: that one would
-    triple every row, while the (resource, activity) pairs here collapse map-side."""
+    """Two narrow aggregations instead of one with two distinct counts, which would triple
+    every row. The (resource, activity) counts collapse map-side and serve the event
+    counts, the distinct activities and (over the same shuffle) the total; the
+    (resource, case) pairs are the one large shuffle."""
     known = events.where(F.col("resource").isNotNull())
-    pairs = known.groupBy("resource", "application_id").agg(
-        _n().alias("n"),
-        *([F.min("event_timestamp").alias("t0"), F.max("event_timestamp").alias("t1")] if times else []),
+    activities = known.groupBy("resource", "activity").agg(_n().alias("n"))
+    counts = activities.groupBy("resource").agg(
+        F.sum("n").alias("event_count"), F.count("activity").alias("unique_activities")
     )
+    pairs = known.groupBy("resource", "application_id")
+    pairs = pairs.agg(
+        F.min("event_timestamp").alias("t0"), F.max("event_timestamp").alias("t1")
+    ) if times else known.select("resource", "application_id").distinct()
     handled = pairs.groupBy("resource").agg(
-        F.sum("n").alias("event_count"),
         F.count("application_id").alias("applications_handled"),
         *([F.min("t0").alias("first_event"), F.max("t1").alias("last_event")] if times else []),
     )
-    activities = known.groupBy("resource").agg(F.countDistinct("activity").alias("unique_activities"))
-    return with_total(handled, "_all", "event_count").join(activities, "resource")
+    total = activities.agg(F.sum("n").alias("_all"))
+    return counts.join(handled, "resource").crossJoin(F.broadcast(total))
 
 
 def resource_workload(events: DataFrame) -> DataFrame:
@@ -211,7 +223,7 @@ def lifecycle_transition_metrics(events: DataFrame) -> DataFrame:
         F.count_if(E.begins(name, "A")).alias("_a"),
     )
     return _by_count(
-        with_total(counted, "_all", "event_count")
+        with_count(counted, "_all", events)
         .where(F.col("lifecycle_transition").isNotNull())
         .select(
             "lifecycle_transition", "event_count", "applications_affected",
@@ -232,7 +244,7 @@ def event_origin_metrics(events: DataFrame) -> DataFrame:
         F.countDistinct("activity").alias("unique_activities")
     )
     return _by_count(
-        with_total(counted, "_all", "event_count").join(activities, "event_origin").select(
+        with_count(counted, "_all", events).join(activities, "event_origin").select(
             "event_origin", "event_count", "applications_affected", "unique_activities",
             E.pct(F.col("event_count"), F.col("_all")).alias("percentage"),
         ),
@@ -309,7 +321,7 @@ def processing_time_buckets(cases: DataFrame) -> DataFrame:
         F.count("event_count").alias("_events_n"),
     )
     return (
-        with_total(counted, "_all", "application_count")
+        with_sum(counted, "_all", "application_count")
         .select(
             "bucket", "application_count",
             E.pct(F.col("application_count"), F.col("_all")).alias("percentage"),

@@ -50,6 +50,13 @@ def write_traces(cases: DataFrame, events: DataFrame, path: str, files: int | No
     ).save(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back, as a parsed log is staged before use."""
+    path = session.scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def order_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order log written as gzip XES files and read back as traces."""
     path = session.scratch_path(spark, "xes")
@@ -84,4 +91,4 @@ def rough_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(q == 1, "").when(q == 2, "not-a-date")
         .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("raw_time"),
     )
-    return placed.join(rough_traces(spark, sf_dir), "trace_pos")
+    return stored(placed.join(rough_traces(spark, sf_dir), "trace_pos"), "rough")

@@ -572,7 +572,33 @@ def oracle_sql() -> dict[str, str]:
         "i15_totals": sql("""SELECT (SELECT count(*) FROM rough_traces) AS traces,
           (SELECT count(*) FROM rough_events) AS events""", "rough_traces", "rough_events"),
     }
+    names = ("executive_summary", "application_volume_by_type", "application_volume_monthly", "application_volume_daily",
+             "activity_summary", "resource_workload", "lifecycle_outcomes", "loan_goal_summary", "processing_time_distribution")
+    listed = ", ".join(f"('{n}')" for n in names)
+    feature_list = """CAST(requested_amount AS DOUBLE) AS requested_amount, {parts}, page_count,
+      CAST(quality_score AS DOUBLE) AS quality_score, sla_target_hours, application_type, loan_goal, document_type, branch,
+      operator_team, priority, region, channel""".format(parts=PARTS)
+    numbers = ("requested_amount", "submission_hour", "submission_day_of_week", "submission_month", "page_count",
+               "quality_score", "sla_target_hours")
+    scaled = ", ".join(
+        f"round((CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / coalesce(nullif(stddev_pop(CAST({c} AS DOUBLE)) OVER (), 0), 1), 6) AS {c}"
+        for c in numbers)
     q |= {
+        "a14_executive_summary": q["j13_executive_summary"],
+        "a14_application_volume_by_type": q["j03_application_volume_by_type"],
+        "a14_application_volume_monthly": q["j04_volume_monthly"],
+        "a14_application_volume_daily": q["j04_volume_daily"],
+        "a14_activity_summary": q["j08_activity_summary"],
+        "a14_resource_workload": q["j09_resource_workload"],
+        "a14_lifecycle_outcomes": q["j10_lifecycle_outcome_summary"],
+        "a14_loan_goal_summary": q["j11_loan_goal_summary"],
+        "a14_processing_time_distribution": sql("SELECT * FROM v_buckets", "v_buckets"),
+        "a16_export_listing": f"""SELECT dataset, format, true AS stored FROM (VALUES {listed}) AS d(dataset),
+          (VALUES ('csv'), ('parquet')) AS f(format)""",
+        "r01_features_of_case": sql(f"""SELECT {feature_list} FROM log_cases JOIN extensions USING (application_id)
+          WHERE application_id = '1'""", "log_cases", "extensions"),
+        "m08_preprocessing": sql(f"""SELECT application_id, {scaled}, 8 AS flags FROM (
+          SELECT application_id, {feature_list} FROM log_cases JOIN extensions USING (application_id))""", "log_cases", "extensions"),
         "m01_training_set": sql(f"""SELECT application_id, application_type, loan_goal,
           CAST(coalesce(requested_amount, 0) AS DECIMAL(15, 2)) AS requested_amount, first_event_time, last_event_time,
           {MICROS} / 3.6e9 AS processing_hours, {DAYS_EXPR} AS processing_days, document_type, page_count, branch,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,6 +144,13 @@ def _exported(name: str, kind: str) -> Query:
     return run
 
 
+def _export_listing(spark: SparkSession, d: str) -> DataFrame:
+    out = session.scratch_path(spark, "export")
+    tables = {"cases": retail.order_cases(spark, d), "events": retail.order_events(spark, d)}
+    export.export_all(spark, tables, out)
+    return export.list_exports(spark, out).select("dataset", "format", (F.col("size_bytes") > 0).alias("stored"))
+
+
 def _export_manifest(spark: SparkSession, d: str) -> DataFrame:
     out = session.scratch_path(spark, "export")
     tables = {"cases": retail.order_cases(spark, d), "events": retail.order_events(spark, d)}
@@ -167,13 +175,26 @@ def _new_credit(cases: DataFrame) -> DataFrame:
 
 
 def _prepared(cases: DataFrame) -> DataFrame:
-    return features.prepare(features.training_set(cases, ext.generate(cases)))
+    return features.prepare(fixtures.stored(features.training_set(cases, ext.generate(cases)), "training"))
 
 
 def _targets(cases: DataFrame) -> DataFrame:
     return _prepared(cases).withColumn(LOG_DAYS, F.round(LOG_DAYS, 9))
 
 
+def _preprocessed(cases: DataFrame) -> DataFrame:
+    """Scaled numbers and the number of set category flags of each case."""
+    rows = ml.inputs(_prepared(cases), "full")
+    vectors = ml.fit_preprocessing(rows, "full").transform(rows)
+    every = vector_to_array("_features")
+    numbers = features.numeric("full")
+    flags = F.aggregate(F.slice(every, len(numbers) + 1, 1000), F.lit(0.0), lambda a, x: a + x)
+    return vectors.select(
+        "application_id", *[F.when(~F.isnan(every[i]), F.round(every[i], 6)).alias(c) for i, c in enumerate(numbers)],
+        flags.cast("int").alias("flags"),
+    )
+
+
 def _threshold(cases: DataFrame) -> DataFrame:
     known = views.case_durations(cases)
     return cases.sparkSession.range(1).select(*[
@@ -405,7 +426,11 @@ def queries() -> dict[str, Query]:
         **{f"a11_{name}": _materialized(name) for name in views.MATERIALIZED},
         "a12_csv_sink": _exported("lifecycle_outcomes", "csv"),
         "a13_parquet_sink": _exported("application_volume_daily", "parquet"),
+        **{f"a14_{name}": _exported(name, "parquet") for name in export.DATASETS if name != "executive_summary"},
+        "a14_executive_summary": lambda spark, d: _exported("executive_summary", "parquet")(spark, d)
+        .drop("application_types"),
         "a15_export_all": _export_manifest,
+        "a16_export_listing": _export_listing,
         "a17_quality_sinks": _quality_sinks,
         "c07_repeated_keys": on_rough_log(
             lambda t, e: integrity.repeated_keys(e.where(F.col("event_id") != ""), ["event_id"])
@@ -424,6 +449,7 @@ def queries() -> dict[str, Query]:
         "i15_totals": on_rough_log(quality.totals),
         "m01_training_set": on_cases(lambda c: features.training_set(c, _new_credit(c))),
         "m05_features_and_targets": on_cases(_targets),
+        "m08_preprocessing": on_cases(_preprocessed),
         "m06_training_threshold": on_cases(_threshold),
         "m07_stratified_split": on_cases(_split),
         "m13_folds": on_cases(lambda c: features.with_folds(_labelled(c), "label")),
@@ -437,6 +463,7 @@ def queries() -> dict[str, Query]:
         "p01_scoring_input": on_cases(lambda c: scoring.scoring_input(c, _new_credit(c))),
         "p03_skip_reasons": on_scores(_skip_reasons),
         "p06_score_job": _score_job,
+        "r01_features_of_case": on_cases(lambda c: scoring.features_of_case(c, ext.generate(c), "1")),
         "r01_case_features": on_cases(lambda c: features.case_features(c, _new_credit(c), known_only=True)),
         "r03_batch_lookup": _lookup,
     }
