@@ -162,7 +162,9 @@ def stratified_split(
     """Train and test parts with the same label shares; the same seed gives the same parts
     for any partitioning."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = _shuffled_rank(df, label, key, seed, hot_rows).join(F.broadcast(sizes), label)
+    ranked = _shuffled_rank(df, label, key, seed, hot_rows).alias("r").join(
+        F.broadcast(sizes.alias("s")), F.col(f"r.{label}").eqNullSafe(F.col(f"s.{label}"))
+    ).select("r.*", "_size")
     is_test = F.col("_nth") <= F.round(F.col("_size") * test_share)
     part = lambda test: ranked.where(test).select(*df.columns)
     return part(~is_test), part(is_test)

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselog.operators import ordered
-from caselog.session import shared_dir
+from caselog.session import scratch_path, shared_dir
 from caselog.sources import xes
+from caselog.sources.paths import delete
 
 EXAMPLES_PER_RULE = 20
 MISSING = "<missing>"
@@ -216,11 +217,18 @@ def run(
     traces: DataFrame, events: DataFrame, path: str, hot_rows: int | None = ordered.HOT_ROWS
 ) -> QualityTables:
     """Audit a log and write issues, rule report, quarantine list and totals below ``path``.
-    The issues are stored first, so report and quarantine do not scan the log again."""
+
+    The columns the rules read are stored first, so a log parsed from files is parsed
+    once; the issues are stored as well, and report and quarantine read those."""
     spark = traces.sparkSession
-    audit(traces, events, hot_rows).write.mode("overwrite").parquet(f"{path}/issues")
+    staged = scratch_path(spark, "audit")
+    traces.select(*TRACE, "document_id").write.parquet(f"{staged}/traces")
+    events.select(*EVENT, "document_id", "event_id", "activity", "raw_time").write.parquet(f"{staged}/events")
+    t, e = spark.read.parquet(f"{staged}/traces"), spark.read.parquet(f"{staged}/events")
+    audit(t, e, hot_rows).write.mode("overwrite").parquet(f"{path}/issues")
+    totals(t, e).write.mode("overwrite").json(f"{path}/totals")
+    delete(spark, staged)
     issues = spark.read.parquet(f"{path}/issues")
     rule_report(issues).write.mode("overwrite").json(f"{path}/rule_report")
     quarantine(issues).write.mode("overwrite").json(f"{path}/quarantine")
-    totals(traces, events).write.mode("overwrite").json(f"{path}/totals")
     return QualityTables(issues, rule_report(issues), quarantine(issues), spark.read.json(f"{path}/totals"))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from caselog import schemas
 from caselog.operators import extensions as ext
+from caselog.operators import loading
 from caselog.plans import views
+from caselog.session import scratch_path
 from caselog.sinks import snapshots
+from caselog.sources.paths import delete, exists
 
 
 def _now() -> datetime:
@@ -32,6 +35,37 @@ def record_load(
     row.write.mode("append").parquet(path)
 
 
+class LoadResult(NamedTuple):
+    cases: int
+    events: int
+    rejected: int
+
+
+def load_log(traces: DataFrame, root: str, fail_on_bad_time: bool = False) -> LoadResult:
+    """Add a log to the case and event tables below ``root``; returns the stored rows.
+
+    Known events are left alone and known cases keep their attributes, so loading a log
+    twice changes nothing. Events with an unreadable time go to ``rejected``, which holds
+    those of the last load. The traces are stored first and parsed from files once."""
+    spark = traces.sparkSession
+    staged = scratch_path(spark, "traces")
+    traces.write.parquet(staged)
+    loaded = loading.load(spark.read.parquet(staged), fail_on_bad_time)
+    cases, events, rejected = f"{root}/cases", f"{root}/events", f"{root}/rejected"
+    new = loaded.events
+    if exists(spark, events):
+        new = loading.new_events(spark.read.parquet(events), new)
+    new.write.mode("append").parquet(events)
+    known = snapshots.current(spark, cases)
+    snapshots.write(
+        loading.merge_cases(spark.read.parquet(known), loaded.cases) if known else loaded.cases, cases
+    )
+    loaded.rejected.write.mode("overwrite").parquet(rejected)
+    delete(spark, staged)
+    stored = (snapshots.current(spark, cases), events, rejected)
+    return LoadResult(*[spark.read.parquet(p).count() for p in stored])
+
+
 def store_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "application_id") -> None:
     """Store a table clustered by case. Tables with the same number of buckets are counted
     per case, ordered per case and joined on the case without a shuffle. Rows are first

@@ -15,6 +15,7 @@ from caselog.operators import features, ordered
 from caselog.operators.model import RiskModel
 from caselog.session import scratch_path
 from caselog.sinks import snapshots
+from caselog.sources.paths import delete
 
 DUPLICATE = "Duplicate application ID in input batch"
 
@@ -101,7 +102,7 @@ def score_cases(
         snapshots.upsert_part(
             rows, predictions_path, "model_version", version, ["application_id"], schemas.PREDICTIONS
         )
-    snapshots.delete(spark, staged)
+    delete(spark, staged)
     return ScoringResult(total, 0 if dry_run else total - bad, bad)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from caselog.functions import validation as check
 from caselog.plans import kpis
-from caselog.sinks import snapshots
+from caselog.sources.paths import delete
 
 FORMATS = ("csv", "parquet")
 CSV = {"header": True, "encoding": "UTF-8", "escape": '"'}
@@ -108,7 +108,7 @@ def export(
         if rows is None:
             rows = df.count() if kind == "parquet" else read_csv(spark, path).count()
             if rows == 0:
-                snapshots.delete(spark, path)
+                delete(spark, path)
                 raise ValueError("data is empty, nothing to export")
         results.append(_written(spark, name, path, kind, rows, source))
     return results

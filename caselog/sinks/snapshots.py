@@ -16,38 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caselog.session import configure
+from caselog.sources.paths import delete, directories, exists
 
 PREFIX = "snapshot="
 KEEP = 2
 
 
-def _fs(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    p = hadoop.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p, hadoop.Path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, p, _ = _fs(spark, path)
-    fs.delete(p, True)
-
-
-def children(spark: SparkSession, path: str, prefix: str) -> list[str]:
-    fs, p, _ = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    return sorted(n for n in names if n.startswith(prefix))
-
-
 def _finished(spark: SparkSession, path: str) -> bool:
-    fs, _, make = _fs(spark, path)
-    return fs.exists(make(path + "/_SUCCESS"))
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def current(spark: SparkSession, path: str) -> str | None:
     """Directory of the newest finished snapshot, None when there is none."""
-    for name in reversed(children(spark, path, PREFIX)):
+    for name in reversed(directories(spark, path, PREFIX)):
         if _finished(spark, f"{path}/{name}"):
             return f"{path}/{name}"
     return None
@@ -55,11 +36,11 @@ def current(spark: SparkSession, path: str) -> str | None:
 
 def write(df: DataFrame, path: str, keep: int = KEEP) -> str:
     """Store a snapshot and drop those older than the last ``keep``."""
-    spark, names = df.sparkSession, children(df.sparkSession, path, PREFIX)
+    spark, names = df.sparkSession, directories(df.sparkSession, path, PREFIX)
     number = int(names[-1].removeprefix(PREFIX)) + 1 if names else 1
     target = f"{path}/{PREFIX}{number:08d}"
     df.write.parquet(target)
-    finished = [n for n in children(spark, path, PREFIX) if _finished(spark, f"{path}/{n}")]
+    finished = [n for n in directories(spark, path, PREFIX) if _finished(spark, f"{path}/{n}")]
     for name in finished[:-keep]:
         delete(spark, f"{path}/{name}")
     return target
@@ -113,7 +94,7 @@ def part_path(path: str, column: str, value: str) -> str:
 def read_parts(spark: SparkSession, path: str, column: str, schema: T.StructType) -> DataFrame:
     """All parts of a table that keeps one snapshot series per value of ``column``. The
     column is a partition column, so a filter on it prunes directories."""
-    found = [current(configure(spark), f"{path}/{name}") for name in children(spark, path, f"{column}=")]
+    found = [current(configure(spark), f"{path}/{name}") for name in directories(spark, path, f"{column}=")]
     found = [f for f in found if f]
     if not found:
         return spark.createDataFrame([], schema)

@@ -1,10 +1,30 @@
-"""Questions about paths on any file system Spark can reach."""
+"""Paths on any file system Spark can reach."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as its object."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
+
+
+def directories(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names of the directories below a path that start with a prefix, sorted."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return sorted(n for n in names if n.startswith(prefix))

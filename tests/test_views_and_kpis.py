@@ -10,45 +10,42 @@ from caselog.sources import retail
 from helpers import at, cases, dicts, events
 
 
-def one(spark, value, fn, kind="string"):
-    return spark.createDataFrame([(value,)], f"x {kind}").select(fn(F.col("x"))).first()[0]
+def each(spark, table, fn, kind="string"):
+    """Results of a column function for the inputs of a (input, wanted) table."""
+    df = spark.createDataFrame([(i, value) for i, (value, _) in enumerate(table)], f"i int, x {kind}")
+    return [r[0] for r in df.orderBy("i").select(fn(F.col("x"))).collect()]
 
 
-@pytest.mark.parametrize("name, want", [
-    ("W_x", "Workflow"), ("Wait", "Workflow"), ("W", "Other"), ("O_x", "Offer"), ("A_x", "Application"),
-    ("a_x", "Other"), ("", "Other"), (None, "Other"), ("W\n", "Workflow"),
-])
-def test_activity_type_reads_underscore_as_any_character(spark, name, want):
-    assert one(spark, name, E.activity_type) == want
+def wanted(table):
+    return [want for _, want in table]
+
+
+def test_activity_type_reads_underscore_as_any_character(spark):
+    table = [("W_x", "Workflow"), ("Wait", "Workflow"), ("W", "Other"), ("O_x", "Offer"), ("A_x", "Application"),
+             ("a_x", "Other"), ("", "Other"), (None, "Other"), ("W\n", "Workflow")]
     like = F.expr("CASE WHEN x LIKE 'W_%' THEN 'Workflow' WHEN x LIKE 'O_%' THEN 'Offer' "
                   "WHEN x LIKE 'A_%' THEN 'Application' ELSE 'Other' END")
-    assert one(spark, name, lambda _: like) == want
+    assert each(spark, table, E.activity_type) == wanted(table) == each(spark, table, lambda _: like)
 
 
-@pytest.mark.parametrize("name, want", [
-    ("O_Created", "Created"), ("O_Create Offer", "Created"), ("O_Sent (online only)", "Sent"),
-    ("O_Sent (mail and online)", "Sent"), ("O_Accepted", "Accepted"), ("O_Returned", "Returned"),
-    ("O_Refused", "Refused"), ("O_Cancelled", "Cancelled"), ("O_Else", "Other"),
-])
-def test_offer_status(spark, name, want):
-    assert one(spark, name, E.offer_status) == want
+def test_offer_status(spark):
+    table = [("O_Created", "Created"), ("O_Create Offer", "Created"), ("O_Sent (online only)", "Sent"),
+             ("O_Sent (mail and online)", "Sent"), ("O_Accepted", "Accepted"), ("O_Returned", "Returned"),
+             ("O_Refused", "Refused"), ("O_Cancelled", "Cancelled"), ("O_Else", "Other")]
+    assert each(spark, table, E.offer_status) == wanted(table)
 
 
-@pytest.mark.parametrize("hours, want", [
-    (0, "< 1 hour"), (0.999, "< 1 hour"), (1, "1-24 hours"), (24, "1-7 days"), (167.9, "1-7 days"),
-    (168, "1-4 weeks"), (719.9, "1-4 weeks"), (720, "> 4 weeks"), (None, "> 4 weeks"),
-])
-def test_duration_bucket(spark, hours, want):
-    micros = None if hours is None else int(hours * 3.6e9)
-    assert one(spark, micros, E.duration_bucket, "bigint") == want
+def test_duration_bucket(spark):
+    table = [(0, "< 1 hour"), (0.999, "< 1 hour"), (1, "1-24 hours"), (24, "1-7 days"), (167.9, "1-7 days"),
+             (168, "1-4 weeks"), (719.9, "1-4 weeks"), (720, "> 4 weeks"), (None, "> 4 weeks")]
+    micros = [(None if hours is None else int(hours * 3.6e9), want) for hours, want in table]
+    assert each(spark, micros, E.duration_bucket, "bigint") == wanted(table)
 
 
-@pytest.mark.parametrize("p, want", [
-    ("0", 0), ("0.1999", 0), ("0.2", 1), ("0.4", 2), ("0.6", 3), ("0.8", 4), ("1.0", 4), ("1.01", None), ("-0.1", None),
-])
-def test_probability_band(spark, p, want):
-    got = one(spark, p, lambda x: E.probability_band(x.cast("decimal(6,4)")))
-    assert got == (None if want is None else E.PROBABILITY_BANDS[want][2])
+def test_probability_band(spark):
+    table = [("0", 0), ("0.1999", 0), ("0.2", 1), ("0.4", 2), ("0.6", 3), ("0.8", 4), ("1.0", 4), ("1.01", None), ("-0.1", None)]
+    got = each(spark, table, lambda x: E.probability_band(x.cast("decimal(6,4)")))
+    assert got == [None if i is None else E.PROBABILITY_BANDS[i][2] for _, i in table]
 
 
 def test_week_across_new_year_gives_two_rows(spark):

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselog.operators import loading, quality
+from caselog.plans import jobs
+from caselog.sinks import snapshots
 from caselog.sources import xes
 from caselog.streaming import staging
 
@@ -113,7 +115,7 @@ def test_repeated_attribute_key(log):
     assert bags.select(xes.attribute_map(F.col("e"), "last")["EventID"]).first()[0] == "2"
 
 
-@pytest.mark.parametrize("text, want", [
+TIMES = [
     ("2016", None), ("", None), ("not-a-date", None), ("2016-13-01", None), ("2016-02-30", None),
     ("2016-01-01T25:00", None), ("2016-0101", None), ("2016-W54-1", None), ("2015-W53-8", None),
     ("2016-01-01", "2016-01-01"), ("20160101", "2016-01-01"), ("2016-01-01T10", "2016-01-01T10:00"),
@@ -124,11 +126,13 @@ def test_repeated_attribute_key(log):
     ("2016-01-01T10:00:00-0130", "2016-01-01T11:30"), ("2016-01-01T10:00+02", "2016-01-01T08:00"),
     ("2016-W01-1", "2016-01-04"), ("2015W537", "2016-01-03"), ("2015-W53", "2015-12-28"),
     ("2016-W01-1T06:30", "2016-01-04T06:30"),
-])
-def test_parse_time(spark, text, want):
-    df = spark.createDataFrame([(text,)], "t string")
-    got = df.select(xes.parse_time(F.col("t"))).first()[0]
-    assert got == (at(want) if want else None)
+]
+
+
+def test_parse_time(spark):
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(TIMES)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(xes.parse_time(F.col("t"))).collect()]
+    assert got == [at(want) if want else None for _, want in TIMES]
 
 
 def test_loading_rules(log):
@@ -156,12 +160,21 @@ def test_loading_rules(log):
         loading.load(traces, fail_on_bad_time=True).events.collect()
 
 
-def test_repeated_load_adds_nothing(log):
-    traces = log(trace("A", event("e1"), event("e2", time="2016-01-02")), trace("B"))
-    loaded = loading.load(traces)
-    assert loading.new_events(loaded.events, loaded.events).count() == 0
-    again = loading.merge_cases(loaded.cases, loaded.cases)
-    assert sorted(again.collect()) == sorted(loaded.cases.collect())
+def test_repeated_load_adds_nothing(spark, log, tmp_path):
+    root = str(tmp_path / "tables")
+    stored = lambda: {r.application_id: r for r in spark.read.parquet(snapshots.current(spark, f"{root}/cases")).collect()}
+    kind = lambda name: attr("ApplicationType", name)
+    traces = log(trace("A", event("e1"), event("e2", time="2016-01-02"), more=kind("New credit")), trace("B"),
+                 trace("A", event("e3", time="?")))
+    for _ in range(2):
+        assert jobs.load_log(traces, root) == (2, 2, 1)
+    before = stored()
+    more = log(trace("A", event("e1"), event("e4", time="2016-02-02"), more=kind("Limit raise")), trace("C"),
+               trace("B", event("", time="2016-02-02")))
+    assert jobs.load_log(more, root) == (3, 3, 0)
+    after = stored()
+    assert after["A"].application_type == "New credit" and after["A"].last_event_time == at("2016-02-02")
+    assert after["B"] == before["B"]
 
 
 def test_malformed_file_fails(spark, tmp_path):
