@@ -617,6 +617,13 @@ def oracle_sql() -> dict[str, str]:
         "m07_stratified_split": sql(_ranked("CASE WHEN nth <= round(size * 0.2) THEN 'test' ELSE 'train' END AS part"), "log_cases"),
         "m13_folds": sql(_ranked("CAST((nth - 1) % 5 AS INTEGER) AS fold"), "log_cases"),
         "m14_metrics": sql(METRICS_SQL, "truth", "running", "confusion"),
+        "m16_dummy_baseline": sql("""SELECT CAST(0.5 AS DOUBLE) AS roc_auc, round_even(p, 4) AS pr_auc,
+          round_even(CASE WHEN p > 0.5 THEN 2 * p / (1 + p) ELSE 0.0 END, 4) AS f1_score,
+          round_even(CASE WHEN p > 0.5 THEN p ELSE 0.0 END, 4) AS precision, CAST(CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS recall,
+          (SELECT round_even(avg(abs(y - m)), 4) FROM truth) AS mae_days,
+          (SELECT round_even(sqrt(avg((y - m) * (y - m))), 4) FROM truth) AS rmse_days,
+          (SELECT round_even(1 - avg((y - m) * (y - m)) / var_pop(y), 4) FROM truth) AS r2_score
+          FROM (SELECT CAST(avg(label) AS DOUBLE) AS p, quantile_cont(y, 0.5) AS m FROM truth)""", "truth"),
         "p01_scoring_input": sql(_case_features("LEFT", "coalesce(page_count, 1)", "coalesce(quality_score, 85.0)",
           "coalesce(sla_target_hours, 48)"), "log_cases", "new_credit"),
         "p03_skip_reasons": sql("""SELECT application_id, risk_class, risk_probability, predicted_processing_days,
