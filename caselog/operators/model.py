@@ -8,10 +8,7 @@ of its days. Everything fitted is one PipelineModel, so scoring is one pass.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -21,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselog.operators import features, metrics
-from caselog.session import shared_dir
+from caselog.session import shared_dir, together
 from caselog.sources.paths import exists
 
 MODEL_TYPE = "GradientBoostedTrees"
@@ -73,13 +70,6 @@ def inputs(df: DataFrame, subset: str) -> DataFrame:
     })
 
 
-def _together(spark: SparkSession, jobs: list[Callable], parallelism: int) -> list:
-    """Results of independent Spark jobs, a few of them submitted at a time: one boosting
-    round leaves much of a cluster idle."""
-    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
-        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)
-
-
 class RiskModel:
     """``fit`` on a frame of features and targets, then ``predict``, ``evaluate``, ``save``."""
 
@@ -114,7 +104,7 @@ class RiskModel:
         vectors = prepared.transform(rows).select(
             "_features", F.col(breach).cast("double").alias("_y_class"), F.col(log_days).alias("_y_log")
         ).checkpoint()
-        trees = _together(
+        trees = together(
             df.sparkSession, [lambda stage=stage: stage.fit(vectors) for stage in self._trees()], 2
         )
         self._model = PipelineModel(stages=[*prepared.stages, *trees])
@@ -157,7 +147,7 @@ class RiskModel:
             fold_model.fit(parts.where(F.col("fold") != i), breach, "_log")
             return fold_model.evaluate(parts.where(F.col("fold") == i), breach, days)
 
-        results = _together(df.sparkSession, [lambda i=i: run(i) for i in range(folds)], parallelism)
+        results = together(df.sparkSession, [lambda i=i: run(i) for i in range(folds)], parallelism)
         wanted = ("roc_auc", "pr_auc", "f1_score", "mae_days")
         return {f"cv_mean_{m}": round(sum(r[m] for r in results) / folds, 4) for m in wanted}
 

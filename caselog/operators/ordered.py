@@ -77,7 +77,7 @@ def _sliced(df: DataFrame, keys, order_by, position, lags, leads, parts) -> Data
             F.max_by(ends, rank).alias("_last"),
         )
         .select(
-            "_slice", *keys,
+            "_slice", *keys, "_n",
             (F.sum("_n").over(across) - F.col("_n")).alias("_before"),
             F.lag("_last").over(across).alias("_prev"),
             F.lead("_first").over(across).alias("_next"),
@@ -86,12 +86,11 @@ def _sliced(df: DataFrame, keys, order_by, position, lags, leads, parts) -> Data
     numbered = rows.select(
         "*",
         F.row_number().over(local).alias("_rn"),
-        F.count(F.lit(1)).over(Window.partitionBy("_slice", *keys)).alias("_size"),
         *[F.lag(c).over(local).alias(f"_lag_{name}") for name, c in lags.items()],
         *[F.lead(c).over(local).alias(f"_lead_{name}") for name, c in leads.items()],
     )
     joined = numbered.alias("r").join(F.broadcast(borders.alias("b")), _same("r", "b", ["_slice", *keys]))
-    first, last = F.col("r._rn") == 1, F.col("r._rn") == F.col("r._size")
+    first, last = F.col("r._rn") == 1, F.col("r._rn") == F.col("b._n")
     return joined.select(
         *[F.col(f"r.{c}") for c in df.columns],
         *([(F.col("r._rn") + F.col("b._before")).cast("bigint").alias(position)] if position else []),
