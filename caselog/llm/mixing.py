@@ -111,7 +111,8 @@ def mix(
     their own. Columns other than doc_id, text and source are not read.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), order.alias("_order"))
+    sized = docs.select(
+        "doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), order.alias("_order"))
     # the row number tells equal ids apart and lets the ranges cut between them
     sized = sized.withColumn("_tie", F.monotonically_increasing_id())
     placed = ordered(sized, [F.col("source").asc_nulls_last(), F.col("_order"), F.col("_tie")], "mix-order")
@@ -123,7 +124,7 @@ def mix(
     streams = running(placed, _start=F.col("size")).join(
         sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))
     ).select(
-        "doc_id", "size", "source_no", "source_size", "target", F.col(PLACE).alias("key"),
+        "doc_id", "text_hash", "source", "size", "source_no", "source_size", "target", F.col(PLACE).alias("key"),
         (F.col("_start") - F.col("source_base")).alias("start"))
     streams = stored(streams, "mix-streams")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
@@ -142,3 +143,26 @@ def taken(mixed: Mix) -> DataFrame:
     sums = mixed.rows.groupBy("key").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     return mixed.documents.join(sums, "key", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+#: Splits a text before every word but the first, keeping all its characters.
+_BEFORE_WORDS = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
+
+
+def applied(docs: DataFrame, mixed: Mix) -> DataFrame:
+    """The mix as documents: a row for each pass over a document, all columns of ``docs``.
+
+    A pass takes a source's blocks in order, so a document is taken whole, or not at all, but
+    for the one at which the last pass over its source ends: that keeps the words taken.
+    Rows equal in id, source and text take their other columns from one of them.
+    """
+    taken_words = mixed.rows.groupBy("key", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_words"))
+    passes = taken_words.join(mixed.documents.select(
+        "key", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("size").alias("_size")), "key")
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash", "source"])
+    same = (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    head = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
+    rest = F.split(F.substring("text", F.length(head) + 1, F.length("text")), _BEFORE_WORDS)
+    cut = F.concat(head, F.array_join(F.slice(rest, 1, F.col("_words")), ""))
+    out = hashed.join(passes, same).withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(cut))
+    return out.select(*docs.columns)
