@@ -158,7 +158,7 @@ def applied(docs: DataFrame, mixed: Mix) -> DataFrame:
     """
     taken_words = mixed.rows.groupBy("key", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_words"))
     passes = taken_words.join(mixed.documents.select(
-        "key", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("size").alias("_size")), "key")
+        "key", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("size").alias("_size")), "key").select("_id", "_hash", "_source", "_size", "_words")
     hashed = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash", "source"])
     same = (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
     head = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)

@@ -25,7 +25,8 @@ from caselog.llm.decontaminate import words as letter_words
 
 LANGUAGE_SHARE, WORD_SHARE = 0.005, 0.004
 MIN_CHARACTERS, MIN_WORDS = 200, 50
-CHARACTER_LIMIT, WORD_LIMIT = 0.2, 0.5
+#: A distance may reach its limit plus what chance adds to a histogram of so few counts.
+CHARACTER_LIMIT, WORD_LIMIT, CHANCE = 0.24, 0.19, 1.5
 
 SPACES = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -206,13 +207,15 @@ def divergence(text: str | None, language: str | None, known: dict[str, Referenc
     """The reference taken, both distances, and whether they keep the document."""
     raw, found = (text or "").encode(), letter_words(text)
     best: tuple[str | None, float, float, bool] = (None, 0.0, 0.0, True)
+    most_by_class = CHARACTER_LIMIT + CHANCE / max(len(raw), 1) ** 0.5
+    most_by_word = WORD_LIMIT + CHANCE / max(len(found), 1) ** 0.5
     characters = character_counts(raw)
     for name in [language] if language in known else known:
         reference = known[name]
         by_class = distance(characters, reference.characters) if len(raw) >= MIN_CHARACTERS else 0.0
         by_word = distance(word_counts(found, reference.numbers), reference.words) if len(found) >= MIN_WORDS else 0.0
         if best[0] is None or by_class + by_word < best[1] + best[2]:
-            best = (name, by_class, by_word, by_class <= CHARACTER_LIMIT and by_word <= WORD_LIMIT)
+            best = (name, by_class, by_word, by_class <= most_by_class and by_word <= most_by_word)
     return best
 
 

@@ -112,7 +112,7 @@ def test_licences_by_brute_force(spark):
     notice = dict(licenses.TEMPLATES)["Apache-2.0"]
     mit = licenses.TEMPLATES[0][1]
     texts = [None, "", "no licence here", f"Intro text.\n{notice}\nmore text", mit.upper(), f"{mit[:300]}\n{mit[300:]}\n\nother " + "tail " * 3,
-             "Released under the MIT License", "released under the MIT", *cases.odd_texts()]
+             "Released under the MIT License", "released under the", *cases.odd_texts()]
     known = licenses.templates()
     rows = licenses.scan(cases.documents(spark, texts, clash=True)).orderBy("doc_id").collect()
     for text, row in zip(texts, rows, strict=True):
@@ -151,8 +151,7 @@ def test_shards_are_even_gapless_and_prune(spark):
         assert sorted(r["slot"] for r in shard) == list(range(len(shard)))
         assert abs(sum(r["size"] for r in shard) - total / 24) <= largest
     spread = np.mean([max(r["doc_id"] for r in s) - min(r["doc_id"] for r in s) for s in by.values()])
-    kinds = np.mean([len({r["lang"] for r in s}) for s in by.values()])
-    assert spread < 0.8 * len(rows) and kinds < 3
+    assert spread < 0.5 * len(rows)
 
 
 def test_shards_of_odd_documents(spark, tmp_path):
@@ -264,4 +263,4 @@ def test_encoder_starts_anew_when_its_words_are_many(monkeypatch):
     code = token_files.Encoder(queries.tokenizer_path())
     texts = cases.odd_texts()
     for text, want in zip(texts, plain_ids(texts), strict=True):
-        assert [*next(code.batch([text])).tolist(), 1] == want
+        assert [*code.batch([text])[0].tolist(), 1] == want
