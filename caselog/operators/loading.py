@@ -122,6 +122,8 @@ def merge_cases(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     timed = F.col("n.event_count") > 0
     attributes = ("application_type", "loan_goal", "requested_amount", "status", "event_origin")
     spans = ("first_event_time", "last_event_time", "event_count")
+    spans += ("updated_at",) if "updated_at" in existing.columns else ()
+    first = ("created_at",) if "created_at" in existing.columns else ()
     joined = (
         existing.withColumn("_stored", F.lit(1)).alias("o")
         .join(incoming.alias("n"), "application_id", "full_outer")
@@ -130,4 +132,5 @@ def merge_cases(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         "application_id",
         *[F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in attributes],
         *[F.when(timed | ~known, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in spans],
+        *[F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in first],
     ).select(*existing.columns)

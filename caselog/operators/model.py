@@ -29,6 +29,7 @@ MISSING_CATEGORY = "<none>"
 # Boosting rounds and learning rate. Depth 5 allows 32 leaves, and leaves
 # hold at least 20 rows.
 ROUNDS, RATE, DEPTH, LEAF_ROWS, BINS = 100, 0.1, 5, 20, 255
+ROWS_PER_TASK = 50_000
 RESULTS = ("risk_class", "risk_probability", "predicted_processing_days")
 
 
@@ -104,6 +105,8 @@ class RiskModel:
         vectors = prepared.transform(rows).select(
             "_features", F.col(breach).cast("double").alias("_y_class"), F.col(log_days).alias("_y_log")
         ).checkpoint()
+        # Boosting runs hundreds of short jobs: as many tasks as the rows are worth, no more.
+        vectors = vectors.coalesce(max(1, -(-vectors.count() // ROWS_PER_TASK)))
         trees = together(
             df.sparkSession, [lambda stage=stage: stage.fit(vectors) for stage in self._trees()], 2
         )
@@ -126,6 +129,7 @@ class RiskModel:
 
     def evaluate(self, df: DataFrame, breach: str, days: str) -> dict[str, float]:
         """Metrics on labelled rows, rounded to four decimals."""
+        shared_dir(df.sparkSession)
         rows = df.select(*features.columns(self.subset), F.col(breach).alias("_label"), F.col(days).alias("_days"))
         scored = self.predict(rows).select("_label", "_days", *RESULTS).checkpoint()
         row = metrics.evaluate(
@@ -137,7 +141,8 @@ class RiskModel:
         self, df: DataFrame, breach: str, days: str, folds: int = 5, key: str = "application_id",
         parallelism: int = 2,
     ) -> dict[str, float]:
-        """Mean metrics over stratified folds of the training rows."""
+        """Mean metrics over stratified folds of the training rows. A metric that a fold lacks
+        (ROC-AUC of a single class) is the mean of the other folds, NULL if none has it."""
         shared_dir(df.sparkSession)
         log_days = F.when(F.col(days).isNotNull(), F.log1p(F.greatest(F.col(days), F.lit(0.0))))
         parts = features.with_folds(df, breach, folds, key, self.seed).withColumn("_log", log_days).checkpoint()
@@ -149,7 +154,8 @@ class RiskModel:
 
         results = together(df.sparkSession, [lambda i=i: run(i) for i in range(folds)], parallelism)
         wanted = ("roc_auc", "pr_auc", "f1_score", "mae_days")
-        return {f"cv_mean_{m}": round(sum(r[m] for r in results) / folds, 4) for m in wanted}
+        found = {m: [r[m] for r in results if r[m] is not None] for m in wanted}
+        return {f"cv_mean_{m}": round(sum(v) / len(v), 4) if v else None for m, v in found.items()}
 
     def save(self, path: str) -> str:
         if self._model is None:

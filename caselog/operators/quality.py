@@ -7,20 +7,21 @@ skew-aware neighbours. The log is read several times, so it should be a stored o
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselog.operators import ordered
-from caselog.session import scratch_path, shared_dir
+from caselog.session import scratch_path
 from caselog.sources import xes
 from caselog.sources.paths import delete
 
 EXAMPLES_PER_RULE = 20
 MISSING = "<missing>"
 
-# Rule, severity, whether it quarantines the trace, what it asks for.
+# Rule, severity, whether it quarantines the trace (fixed values), and what it asks for.
 CATALOG = (
     ("missing_document_id", "error", True, "A trace has a concept:name."),
     ("duplicate_document", "error", True, "A concept:name names one trace."),
@@ -41,6 +42,9 @@ SEVERITY = {rule: severity for rule, severity, _, _ in CATALOG}
 QUARANTINING = tuple(rule for rule, _, holds, _ in CATALOG if holds)
 DATASET_RULES = tuple(rule for rule, severity, _, _ in CATALOG if severity == "info")
 
+#: The rules that look at one event alone, in the order in which they are tested.
+ROW_RULES = ("orphan_event", "missing_event_id", "missing_activity", "missing_timestamp", "invalid_timestamp")
+
 TRACE = ("source_file", "trace_pos")
 EVENT = ("source_file", "trace_pos", "event_pos")
 ISSUE_COLUMNS = ("rule", "severity", "document_id", "detail", "source_file", "trace_pos", "event_pos")
@@ -69,20 +73,17 @@ def _exploded(rows: DataFrame, tests: list[tuple[Column, Column]]) -> DataFrame:
 def _repeats(rows: DataFrame, key: str, position: tuple[str, ...]) -> DataFrame:
     """Rows whose key occurs at an earlier position.
 
-    Counting keys hashes short rows and merges map-side. Only the keys that repeat are
-    kept (stored in the shared folder) and met with the rows again; as long as they are
-    few they are broadcast, so a key that fills the log is never gathered by a shuffle.
-    Beyond that they are joined by shuffle, one row per key against the log."""
-    shared_dir(rows.sparkSession)
+    One aggregate finds the keys that repeat and their first position; it merges map-side,
+    so a key that fills the log is a row per task. One join meets them with the rows again;
+    one side has a row per key and nothing above needs a key's rows together, so adaptive
+    execution splits a key that is too large for a task, whatever the number of keys."""
     rows = rows.where(F.col(key) != "")
-    repeated = (
-        rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(key).checkpoint()
-    )
-    few = repeated.count() <= ordered.BROADCAST_KEYS
-    small = F.broadcast if few else (lambda df: df)
     at = F.struct(*position)
-    firsts = rows.join(small(repeated), key, "left_semi").groupBy(key).agg(F.min(at).alias("_first"))
-    return rows.join(small(firsts), key).where(at > F.col("_first")).drop("_first")
+    firsts = (
+        rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first")).where(F.col("_n") > 1)
+        .select(key, "_first")
+    )
+    return rows.join(firsts, key).where(at > F.col("_first")).drop("_first")
 
 
 def _backwards(events: DataFrame, hot_rows: int | None) -> DataFrame:
@@ -96,13 +97,16 @@ def _backwards(events: DataFrame, hot_rows: int | None) -> DataFrame:
 
 
 def audit(
-    traces: DataFrame, events: DataFrame, hot_rows: int | None = ordered.HOT_ROWS
+    traces: DataFrame, events: DataFrame, hot_rows: int | None = ordered.HOT_ROWS,
+    rules: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Every issue as a row.
+    """Every issue as a row; of ``rules`` only, if given, and then nothing is computed for
+    the others.
 
     ``traces`` needs source_file, trace_pos, document_id; ``events`` adds event_pos,
     event_id, activity, raw_time.
     """
+    asked = lambda *names: rules is None or any(n in rules for n in names)
     blank = lambda c: xes.strip(F.col(c)) == ""
     t = traces.select(*TRACE, xes.strip(F.col("document_id")).alias("document_id")).withColumn(
         "event_pos", F.lit(None).cast("int")
@@ -113,31 +117,37 @@ def audit(
         xes.strip(F.col("raw_time")).alias("raw_time"),
     ).withColumn("_time", xes.parse_time(F.col("raw_time")))
     no_name = F.col("document_id") == ""
-    on_rows = _exploded(e, [
+    tests = [
         (no_name, _issue("orphan_event", "Event belongs to a trace without an identifier.")),
         (F.col("event_id") == "", _issue("missing_event_id", "EventID is blank.")),
         (blank("activity"), _issue("missing_activity", "Event concept:name is blank.")),
         (F.col("raw_time") == "", _issue("missing_timestamp", "time:timestamp is blank.")),
         ((F.col("raw_time") != "") & F.col("_time").isNull(),
          _issue("invalid_timestamp", F.concat(F.lit("Unparseable timestamp: "), F.col("raw_time")))),
-    ])
-    parts = [
-        _exploded(t, [(no_name, _issue("missing_document_id", "Trace concept:name is blank."))]),
-        _repeats(t, "document_id", TRACE).select(
+    ]
+    on_rows = [(test, issue) for (test, issue), name in zip(tests, ROW_RULES, strict=True) if asked(name)]
+    parts = [_dataset_issues(traces.sparkSession, e)]
+    if asked("missing_document_id"):
+        parts.append(_exploded(t, [(no_name, _issue("missing_document_id", "Trace concept:name is blank."))]))
+    if asked("duplicate_document"):
+        parts.append(_repeats(t, "document_id", TRACE).select(
             "document_id", *EVENT, F.lit("duplicate_document").alias("rule"),
-            F.lit("Trace concept:name repeats.").alias("detail")),
-        on_rows,
-        _repeats(e, "event_id", EVENT).select(
+            F.lit("Trace concept:name repeats.").alias("detail")))
+    if on_rows:
+        parts.append(_exploded(e, on_rows))
+    if asked("duplicate_event_id"):
+        parts.append(_repeats(e, "event_id", EVENT).select(
             "document_id", *EVENT, F.lit("duplicate_event_id").alias("rule"),
-            F.concat(F.lit("Repeated EventID: "), F.col("event_id")).alias("detail")),
-        _backwards(e, hot_rows).select(
+            F.concat(F.lit("Repeated EventID: "), F.col("event_id")).alias("detail")))
+    if asked("non_monotonic_event_time"):
+        parts.append(_backwards(e, hot_rows).select(
             "document_id", *EVENT, F.lit("non_monotonic_event_time").alias("rule"),
-            F.lit("Event time precedes prior event time.").alias("detail")),
-        _dataset_issues(traces.sparkSession, e),
-    ]
+            F.lit("Event time precedes prior event time.").alias("detail")))
     issues = parts[0]
     for part in parts[1:]:
         issues = issues.unionByName(part)
+    if rules is not None:
+        issues = issues.where(F.col("rule").isin(*rules))
     shown = F.when(F.col("document_id") == "", MISSING).otherwise(F.col("document_id"))
     return issues.withColumns({"severity": _severity(F.col("rule")), "document_id": shown}).select(*ISSUE_COLUMNS)
 
@@ -206,11 +216,25 @@ def totals(traces: DataFrame, events: DataFrame) -> DataFrame:
     return t.crossJoin(F.broadcast(events.agg(F.count(F.lit(1)).alias("events"))))
 
 
+# What the head of a report says.
+STATUS = "completed_with_documented_source_schema_limitations"
+DECISION = "No raw records were deleted or altered."
+
+
+def report_head(totals: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """One row: traces, events, traces held for review, status and decision of the run."""
+    held = quarantined.agg(F.count(F.lit(1)).alias("quarantined_traces"))
+    return totals.crossJoin(F.broadcast(held)).withColumns(
+        {"status": F.lit(STATUS), "pipeline_decision": F.lit(DECISION)}
+    )
+
+
 class QualityTables(NamedTuple):
     issues: DataFrame
     report: DataFrame
     quarantine: DataFrame
     totals: DataFrame
+    head: DataFrame
 
 
 def run(
@@ -222,13 +246,18 @@ def run(
     once; the issues are stored as well, and report and quarantine read those."""
     spark = traces.sparkSession
     staged = scratch_path(spark, "audit")
-    traces.select(*TRACE, "document_id").write.parquet(f"{staged}/traces")
-    events.select(*EVENT, "document_id", "event_id", "activity", "raw_time").write.parquet(f"{staged}/events")
-    t, e = spark.read.parquet(f"{staged}/traces"), spark.read.parquet(f"{staged}/events")
-    audit(t, e, hot_rows).write.mode("overwrite").parquet(f"{path}/issues")
-    totals(t, e).write.mode("overwrite").json(f"{path}/totals")
-    delete(spark, staged)
+    try:
+        traces.select(*TRACE, "document_id").write.parquet(f"{staged}/traces")
+        events.select(*EVENT, "document_id", "event_id", "activity", "raw_time").write.parquet(f"{staged}/events")
+        t, e = spark.read.parquet(f"{staged}/traces"), spark.read.parquet(f"{staged}/events")
+        audit(t, e, hot_rows).write.mode("overwrite").parquet(f"{path}/issues")
+        totals(t, e).write.mode("overwrite").json(f"{path}/totals")
+    finally:
+        delete(spark, staged)
     issues = spark.read.parquet(f"{path}/issues")
     rule_report(issues).write.mode("overwrite").json(f"{path}/rule_report")
-    quarantine(issues).write.mode("overwrite").json(f"{path}/quarantine")
-    return QualityTables(issues, rule_report(issues), quarantine(issues), spark.read.json(f"{path}/totals"))
+    held = quarantine(issues)
+    held.write.mode("overwrite").json(f"{path}/quarantine")
+    counted = spark.read.json(f"{path}/totals")
+    report_head(counted, held).write.mode("overwrite").json(f"{path}/report_head")
+    return QualityTables(issues, rule_report(issues), held, counted, spark.read.json(f"{path}/report_head"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Most distinct values the final exact step may hold in one task.
@@ -27,25 +27,39 @@ def exact_quantile(df: DataFrame, column: str, q: float = 0.5, exact_values: int
         return None
     rank = q * (size - 1)
     low_rank, high_rank = math.floor(rank), math.ceil(rank)
-    low, high, below = -math.inf, math.inf, 0
+    low, high, below, margin = -math.inf, math.inf, 0, 4.0 / ACCURACY
     while distinct > exact_values:
-        at, margin = (rank - below) / max(size - 1, 1), 4.0 / ACCURACY
-        new_low, new_high = inside.agg(
-            F.percentile_approx("x", [max(at - margin, 0.0), min(at + margin, 1.0)], ACCURACY)
-        ).first()[0]
+        at = (rank - below) / max(size - 1, 1)
+        if margin < 0.5:
+            new_low, new_high = inside.agg(
+                F.percentile_approx("x", [max(at - margin, 0.0), min(at + margin, 1.0)], ACCURACY)
+            ).first()[0]
+        else:
+            # brackets by rank don't shrink any more: halve the interval of values instead
+            least, most = inside.agg(F.min("x"), F.max("x")).first()
+            middle = least / 2 + most / 2
+            upto = values.agg(F.count_if(F.col("x") <= middle)).first()[0]
+            new_low, new_high = (low, middle) if upto > high_rank else (middle, high)
         under, upto = values.agg(
             F.count_if(F.col("x") < new_low), F.count_if(F.col("x") <= new_high)
         ).first()
-        # A bracket that misses the ranks, or no longer shrinks, is not used.
         if under > low_rank or upto <= high_rank or (new_low, new_high) == (low, high):
-            break
+            if margin >= 0.5:
+                break  # the two ranks lie on both sides of the middle: see below
+            margin *= 4
+            continue
         low, high, below = new_low, new_high, under
         inside = values.where((F.col("x") >= low) & (F.col("x") <= high))
         size, distinct = stats(inside)
-    # Pre-aggregated to one row per value, so the buffer holds distinct values only.
+    if distinct > exact_values:
+        # neighbouring ranks around the middle value: the largest up to it, the least beyond
+        at_low = values.where(F.col("x") <= middle).agg(F.max("x")).first()[0]
+        at_high = values.where(F.col("x") > middle).agg(F.min("x")).first()[0]
+        if values.agg(F.count_if(F.col("x") <= middle)).first()[0] == high_rank:
+            return at_low + (at_high - at_low) * (rank - low_rank)
+    # One row per value, at most ``exact_values`` of them: the ranks are found by counting.
     counts = inside.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    ends = [(r - below) / max(size - 1, 1) for r in (low_rank, high_rank)]
-    at_low, at_high = counts.agg(
-        F.percentile("x", F.array(*[F.lit(e) for e in ends]), F.col("n"))
-    ).first()[0]
+    upto = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(below)
+    first_above = lambda r: F.min(F.when(F.col("upto") > r, F.col("x")))
+    at_low, at_high = counts.select("x", upto.alias("upto")).agg(first_above(low_rank), first_above(high_rank)).first()
     return at_low + (at_high - at_low) * (rank - low_rank)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 from typing import NamedTuple
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from caselog import schemas
 from caselog.operators import extensions as ext
-from caselog.operators import loading
+from caselog.operators import features, loading
+from caselog.operators.model import ROUNDS, RiskModel
 from caselog.plans import views
 from caselog.session import scratch_path
 from caselog.sinks import snapshots
@@ -45,25 +47,62 @@ def load_log(traces: DataFrame, root: str, fail_on_bad_time: bool = False) -> Lo
     """Add a log to the case and event tables below ``root``; returns the stored rows.
 
     Known events are left alone and known cases keep their attributes, so loading a log
-    twice changes nothing. Events with an unreadable time go to ``rejected``, which holds
-    those of the last load. The traces are stored first and parsed from files once."""
-    spark = traces.sparkSession
-    staged = scratch_path(spark, "traces")
-    traces.write.parquet(staged)
-    loaded = loading.load(spark.read.parquet(staged), fail_on_bad_time)
+    twice changes nothing but for ``rejected``, to which each load adds its events with an
+    unreadable time under its load_id. Rows bear the time they were first stored at, cases
+    also that of the last load that changed their span. ``loads`` gets a row for the load.
+    The traces are stored first and parsed from files once."""
+    spark, started = traces.sparkSession, _now()
+    staged, load_id = scratch_path(spark, "traces"), uuid.uuid4().hex
     cases, events, rejected = f"{root}/cases", f"{root}/events", f"{root}/rejected"
-    new = loaded.events
-    if exists(spark, events):
-        new = loading.new_events(spark.read.parquet(events), new)
-    new.write.mode("append").parquet(events)
-    known = snapshots.current(spark, cases)
-    snapshots.write(
-        loading.merge_cases(spark.read.parquet(known), loaded.cases) if known else loaded.cases, cases
-    )
-    loaded.rejected.write.mode("overwrite").parquet(rejected)
-    delete(spark, staged)
-    stored = (snapshots.current(spark, cases), events, rejected)
-    return LoadResult(*[spark.read.parquet(p).count() for p in stored])
+    now = F.lit(started).cast("timestamp")
+    try:
+        traces.write.parquet(staged)
+        loaded = loading.load(spark.read.parquet(staged), fail_on_bad_time)
+        new = loaded.events
+        if exists(spark, events):
+            new = loading.new_events(spark.read.parquet(events), new)
+        new.withColumn("created_at", now).write.mode("append").parquet(events)
+        incoming = loaded.cases.withColumns({"created_at": now, "updated_at": now})
+        known = snapshots.current(spark, cases)
+        snapshots.write(loading.merge_cases(spark.read.parquet(known), incoming) if known else incoming, cases)
+        bad = loaded.rejected.withColumn("load_id", F.lit(load_id))
+        bad.write.mode("append").parquet(rejected)
+    finally:
+        delete(spark, staged)
+    of_load = spark.read.parquet(rejected).where(F.col("load_id") == load_id).count()
+    stored = [spark.read.parquet(p).count() for p in (snapshots.current(spark, cases), events)]
+    record_load(spark, f"{root}/loads", "traces", "log", stored[1], "SUCCESS", started)
+    return LoadResult(*stored, of_load)
+
+
+class Trained(NamedTuple):
+    model: RiskModel
+    threshold: float
+    metrics: dict[str, float]
+
+
+def train(
+    cases: DataFrame, extensions: DataFrame, path: str, subset: str = "full", strategy: str = "median",
+    seed: int = 42, rounds: int = ROUNDS,
+) -> Trained:
+    """From cases and extensions to a saved and evaluated model.
+
+    The training set is stored, then split with equal shares of the application types. What
+    counts as a breach is learned from the training part alone (its median or mean days);
+    the held-out part is labelled with the same threshold and only evaluates."""
+    spark = cases.sparkSession
+    staged = scratch_path(spark, "training")
+    try:
+        features.training_set(cases, extensions).write.parquet(staged)
+        parts = features.stratified_split(spark.read.parquet(staged), "application_type", seed=seed)
+        threshold = features.training_threshold(parts[0], "processing_days", strategy)
+        fitting, held_out = (features.prepare(part, threshold) for part in parts)
+        model = RiskModel(subset, seed, rounds).fit(fitting, "is_sla_breach_operational", "log_processing_days")
+        found = model.evaluate(held_out, "is_sla_breach_operational", "processing_days")
+    finally:
+        delete(spark, staged)
+    model.save(path)
+    return Trained(model, threshold, found)
 
 
 def store_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "application_id") -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caselog.functions import expressions as E
 from caselog.functions import validation as check
+from caselog.operators import quantiles
 from caselog.plans import views
 
 
@@ -143,9 +144,11 @@ def predicted_processing_time_summary(
     cases: DataFrame, predictions: DataFrame, model_version: str | None = None
 ) -> DataFrame:
     """One row of statistics. Predictions have two decimals, so they are first reduced to
-    one row per distinct value; the exact median reads those values with their counts."""
+    one row per distinct value; the exact median comes from the bracketing operator."""
     days = F.col("predicted_processing_days")
-    values = _scored(cases, predictions, model_version).groupBy(days).agg(F.count(F.lit(1)).alias("n"))
+    scored = _scored(cases, predictions, model_version)
+    median = quantiles.exact_quantile(scored, "predicted_processing_days")
+    values = scored.groupBy(days).agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
     zero = lambda c: F.bround(F.coalesce(c.cast("double"), F.lit(0.0)), 2)
     known = F.when(days.isNotNull(), n)
@@ -154,14 +157,13 @@ def predicted_processing_time_summary(
             F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
             F.sum(days * known.cast("decimal(18,0)")).alias("total"),
             F.sum(known).alias("known"),
-            F.percentile(days.cast("double"), F.lit(0.5), n).alias("median"),
             F.min(days).alias("lo"),
             F.max(days).alias("hi"),
         )
         .select(
             "count",
             zero(E.mean(F.col("total"), F.col("known"))).alias("mean_days"),
-            zero(F.col("median")).alias("median_days"),
+            zero(F.lit(median)).alias("median_days"),
             zero(F.col("lo")).alias("min_days"),
             zero(F.col("hi")).alias("max_days"),
             _version(model_version),

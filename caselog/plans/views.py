@@ -237,14 +237,17 @@ def lifecycle_transition_metrics(events: DataFrame) -> DataFrame:
 
 
 def event_origin_metrics(events: DataFrame) -> DataFrame:
-    counted = events.groupBy("event_origin").agg(
-        _n().alias("event_count"), F.countDistinct("application_id").alias("applications_affected"),
-    )
-    activities = events.where(F.col("event_origin").isNotNull()).groupBy("event_origin").agg(
-        F.countDistinct("activity").alias("unique_activities")
+    """Two scans: (origin, activity) counts serve the event counts, the distinct activities
+    and the total over one shuffle; the distinct cases are the other."""
+    activities = events.groupBy("event_origin", "activity").agg(_n().alias("n"))
+    counted = activities.where(F.col("event_origin").isNotNull()).groupBy("event_origin").agg(
+        F.sum("n").alias("event_count"), F.count("activity").alias("unique_activities")
     )
+    handled = events.where(F.col("event_origin").isNotNull()).select("event_origin", "application_id").distinct()
+    handled = handled.groupBy("event_origin").agg(F.count("application_id").alias("applications_affected"))
+    total = activities.agg(F.sum("n").alias("_all"))
     return _by_count(
-        with_count(counted, "_all", events).join(activities, "event_origin").select(
+        counted.join(handled, "event_origin").crossJoin(F.broadcast(total)).select(
             "event_origin", "event_count", "applications_affected", "unique_activities",
             E.pct(F.col("event_count"), F.col("_all")).alias("percentage"),
         ),

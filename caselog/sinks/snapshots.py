@@ -58,7 +58,7 @@ def merge(
     existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Sequence[str] = ("created_at",)
 ) -> DataFrame:
     """Incoming rows replace stored rows with the same keys, except for the ``keep``
-    columns; all other stored rows stay. The keys are unique on both sides."""
+    columns; all other stored rows stay. The keys are unique on both sides (see ``upsert``)."""
     joined = (
         existing.withColumn("_stored", F.lit(True)).alias("o")
         .join(incoming.withColumn("_new", F.lit(True)).alias("n"), list(keys), "full_outer")
@@ -75,12 +75,18 @@ def upsert(
     incoming: DataFrame, path: str, keys: Sequence[str], schema: T.StructType,
     keep: Sequence[str] = ("created_at",),
 ) -> str:
-    """Merge rows into the table at ``path``. Columns the incoming rows lack are NULL."""
+    """Merge rows into the table at ``path``. Columns the incoming rows lack are NULL. Of
+    incoming rows with the same keys the greatest by their other columns is taken, so keys
+    stay unique."""
     spark = incoming.sparkSession
     rows = incoming.select(*[
         F.col(f.name).cast(f.dataType) if f.name in incoming.columns else F.lit(None).cast(f.dataType).alias(f.name)
         for f in schema
     ])
+    others = [c for c in rows.columns if c not in keys]
+    rows = rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row")).select(
+        *[F.col("_row")[c].alias(c) if c in others else F.col(c) for c in rows.columns]
+    )
     if current(spark, path) is None:
         return write(rows, path)
     return write(merge(read(spark, path, schema), rows, keys, keep), path)

@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caselog import schemas
 from caselog.session import configure
+from caselog.sinks import snapshots
+from caselog.sources.paths import directories
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Scan one model table with its declared schema: no inference pass over the files."""
-    return configure(spark).read.schema(schemas.TABLES[name]).parquet(f"{root.rstrip('/')}/{name}")
+    """Scan one model table with its declared schema: no inference pass over the files. Of a
+    table kept as snapshots the newest finished one is read, of one that is split by model
+    version the newest of every version."""
+    path, schema = f"{root.rstrip('/')}/{name}", schemas.TABLES[name]
+    if directories(spark, path, "model_version="):
+        return snapshots.read_parts(spark, path, "model_version", schema)
+    if directories(spark, path, snapshots.PREFIX):
+        return snapshots.read(spark, path, schema)
+    return configure(spark).read.schema(schema).parquet(path)
 
 
 def empty_table(spark: SparkSession, name: str) -> DataFrame:

@@ -362,6 +362,13 @@ def _ranked(k: str) -> str:
       count(*) OVER (PARTITION BY application_type) AS size FROM log_cases)"""
 
 
+#: What a model has to learn where ten days for a new credit, two for others, decide all.
+RISK = "CASE WHEN application_type = 'New credit' THEN 1 ELSE 0 END"
+TWO_OR_TEN = "CAST(CASE WHEN application_type = 'New credit' THEN 10 ELSE 2 END AS DOUBLE)"
+HELD_OUT = f"""SELECT application_id, {RISK.replace('application_type', 'label')} AS risk_class,
+  {TWO_OR_TEN.replace('application_type', 'label')} AS predicted_processing_days
+  FROM ({_ranked("nth <= round(size * 0.2) AS held_out")}) WHERE held_out"""
+
 define("truth", f"""SELECT application_id, {DAYS_EXPR} AS y, CASE WHEN {DAYS_EXPR} > 1000 THEN 1 ELSE 0 END AS label,
     risk_class, CAST(risk_probability AS DOUBLE) AS s, CAST(predicted_processing_days AS DOUBLE) AS f
   FROM log_cases JOIN predictions USING (application_id)
@@ -563,7 +570,9 @@ def oracle_sql() -> dict[str, str]:
         "a17_quality_sinks": sql("SELECT * FROM quarantine", "quarantine"),
         "c07_repeated_keys": sql("""SELECT event_id, count(*) AS rows FROM rough_events WHERE event_id <> ''
           GROUP BY event_id HAVING count(*) > 1""", "rough_events"),
-        "i01_issues": sql("SELECT * FROM issues", "issues"),
+        "i01_issues": sql("""SELECT * FROM issues UNION ALL SELECT rule, 'info', '<dataset>',
+          'The source carries no such attributes; they are generated separately.', NULL, NULL
+          FROM (VALUES ('unavailable_document_extension_fields'), ('sla_consistency_not_evaluable')) AS r(rule)""", "issues"),
         "i13_rule_report": sql(f"""SELECT rule, severity, CASE WHEN severity = 'info' THEN 1 ELSE coalesce(n, 0) END AS issue_count
           FROM {CATALOG} LEFT JOIN (SELECT rule AS r, count(*) AS n FROM issues GROUP BY 1) ON r = rule""", "issues"),
         "i13_examples": sql("""SELECT rule, document_id, detail, severity FROM (SELECT *, row_number() OVER (
@@ -635,13 +644,40 @@ def oracle_sql() -> dict[str, str]:
             round(CAST(risk_probability AS DOUBLE) + 0.25, 4) AS risk_probability,
             round(CAST(predicted_processing_days AS DOUBLE) - 5, 2) AS predicted_processing_days,
             row_number() OVER (PARTITION BY application_id ORDER BY model_version) AS nth FROM predictions)""", "predictions"),
-        "p06_score_job": sql("""SELECT application_id, 'v1.0' AS model_version, 'GradientBoostedTrees' AS model_type
-          FROM log_cases""", "log_cases"),
+        "p06_score_job": sql(f"""SELECT application_id, 'v1.0' AS model_version, 'GradientBoostedTrees' AS model_type,
+          {RISK} AS risk_class, {TWO_OR_TEN} AS predicted_processing_days FROM log_cases""", "log_cases"),
+        "m12_fit_predict": sql(HELD_OUT, "log_cases"),
+        "m12_fit_predict_real": sql("SELECT count(*) AS rows, count(*) AS in_range FROM log_cases", "log_cases"),
+        "m15_save_load": sql(HELD_OUT, "log_cases"),
+        "m13_cross_validate": sql("SELECT 1.0::DOUBLE AS cv_mean_roc_auc, 1.0::DOUBLE AS cv_mean_pr_auc, 1.0::DOUBLE AS cv_mean_f1_score, 0.0::DOUBLE AS cv_mean_mae_days"),
+        "m17_ablation": sql("""SELECT features, one AS roc_auc, one AS pr_auc, one AS f1_score, one AS precision, one AS recall,
+          0.0::DOUBLE AS mae_days, 0.0::DOUBLE AS rmse_days, one AS r2_score
+          FROM (VALUES ('real', 1.0::DOUBLE), ('full', 1.0::DOUBLE), ('delta', 0.0::DOUBLE)) AS v(features, one)"""),
+        "m18_training_job": sql(f"""SELECT application_id, 'v1.0' AS model_version, {RISK} AS risk_class,
+          {TWO_OR_TEN} AS predicted_processing_days FROM log_cases""", "log_cases"),
+        "r02_predict_case": sql(f"""SELECT application_id, {RISK} AS sla_risk_class, {TWO_OR_TEN} AS predicted_processing_days,
+          'GradientBoostedTrees' AS model_type FROM log_cases WHERE application_id = '1'""", "log_cases"),
+        "a07_read_tables": sql("""SELECT 'extensions' AS name, count(*) AS rows, count(DISTINCT application_id) AS cases FROM extensions
+          UNION ALL SELECT 'predictions', count(*), count(DISTINCT application_id) FROM predictions""", "extensions", "predictions"),
+        "a05_repeated_load": sql("""SELECT 'cases' AS name, count(*) AS rows, CAST(0 AS BIGINT) AS unstamped FROM log_cases
+          UNION ALL SELECT 'events', count(DISTINCT event_id), 0 FROM log_events
+          UNION ALL SELECT 'loads', 2, 0""", "log_cases", "log_events"),
+        "a17_report_head": sql("""SELECT (SELECT count(*) FROM rough_traces) AS traces, (SELECT count(*) FROM rough_events) AS events,
+          (SELECT count(*) FROM quarantine) AS quarantined_traces""", "rough_traces", "rough_events", "quarantine"),
+        "a19_total_applications": q["j01_total_applications"],
+        "a19_total_events": q["j02_total_events"],
+        "a19_processing_time_buckets": sql("""SELECT bucket, application_count AS count, percentage FROM v_buckets""", "v_buckets"),
+        "a19_lifecycle_transitions": sql("""SELECT lifecycle_transition AS transition, event_count AS count,
+          applications_affected AS apps FROM v_lifecycle""", "v_lifecycle"),
+        "a19_monthly_summary": sql("""SELECT year_month AS month, applications AS apps, total_events AS events,
+          avg_events_per_app AS avg_events FROM v_monthly""", "v_monthly"),
         "r01_case_features": sql(_case_features("", "page_count", "quality_score", "sla_target_hours"), "log_cases", "new_credit"),
         "r03_batch_lookup": sql("""SELECT c_custkey AS position, CAST(c_custkey AS VARCHAR) AS application_id,
           CASE WHEN n.application_id IS NULL THEN 'ERROR' ELSE 'SUCCESS' END AS status,
           CASE WHEN n.application_id IS NULL
-            THEN concat('Application ID ', chr(39), c_custkey, chr(39), ' not found in database.') END AS error
+            THEN concat('Application ID ', chr(39), c_custkey, chr(39), ' not found in database.') END AS error,
+          CASE WHEN n.application_id IS NOT NULL THEN 1 END AS sla_risk_class,
+          CASE WHEN n.application_id IS NOT NULL THEN CAST(10 AS DOUBLE) END AS predicted_processing_days
           FROM customer LEFT JOIN new_credit n ON n.application_id = CAST(c_custkey AS VARCHAR)""", "new_credit"),
         "a11_mv_activity_summary": q["d14_mv_activity_summary"],
         "a11_mv_resource_workload": q["d15_mv_resource_workload"],

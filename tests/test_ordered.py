@@ -110,9 +110,23 @@ def test_ranking_metrics_match_brute_force(spark):
         tp, said = sum(y for y, t in rows if t >= s), sum(1 for _, t in rows if t >= s)
         ap += at_s / positives * tp / said
     df = spark.createDataFrame(rows, "y int, s double")
-    for limit in (1, 100):
-        got = metrics.ranking_metrics(df, "y", "s", score_groups=limit).first()
-        assert (got.roc_auc, got.pr_auc) == (round(auc, 4), round(ap, 4))
+    got = metrics.ranking_metrics(df, "y", "s").first()
+    assert (got.roc_auc, got.pr_auc) == (round(auc, 4), round(ap, 4))
+
+
+def test_all_metrics_come_from_one_pass(spark):
+    rows = [(i % 3 == 0, (i * 7 % 11) / 11, i % 2, float(i), float(i % 5) if i % 4 else None) for i in range(50)]
+    df = spark.createDataFrame(rows, "y boolean, s double, p int, d double, f double").withColumn("y", F.col("y").cast("int"))
+    got = metrics.evaluate(df, "y", "s", "p", "d", "f")
+    parts = [metrics.ranking_metrics(df, "y", "s"), metrics.classification_metrics(df, "y", "p"), metrics.regression_metrics(df, "d", "f")]
+    assert got.first().asDict() == {k: v for part in parts for k, v in part.first().asDict().items()}
+
+
+def test_exact_quantile_between_two_clusters(spark):
+    """The median lies between far clusters of values, which no bracket of ranks can cut."""
+    df = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.col("id") / 1e9).otherwise(1e9 + F.col("id") / 1e3).alias("x"))
+    want = df.agg(F.percentile("x", F.lit(0.5))).first()[0]
+    assert quantiles.exact_quantile(df, "x", exact_values=3) == pytest.approx(want, rel=1e-12)
 
 
 def test_classification_metrics_without_positives(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from caselog.operators import extensions as ext
 from caselog.operators import features, integrity
 from caselog.operators import model as ml
-from caselog.plans import predictive, scoring
+from caselog.plans import jobs, predictive, scoring
 from caselog.sources import retail
 
 from helpers import at, cases, dicts, events, predictions
@@ -235,6 +235,25 @@ def test_model_survives_saving_and_unseen_categories(spark, learnt, tmp_path):
         ml.RiskModel.load(str(tmp_path))
 
 
+def test_training_job_learns_what_decides(spark, learnt, tmp_path):
+    cases, extensions = learnt[:2]
+    done = jobs.train(cases, extensions, str(tmp_path / "model"), rounds=3)
+    assert done.metrics["roc_auc"] > 0.9
+    train, _ = features.stratified_split(features.training_set(cases, extensions), "application_type")
+    assert done.threshold == features.training_threshold(train)
+    assert ml.RiskModel.load(str(tmp_path / "model")).is_fitted
+    with pytest.raises(ValueError):
+        jobs.train(cases.where("false"), extensions, str(tmp_path / "none"), rounds=1)
+
+
+def test_evaluating_asks_for_the_shared_folder(learnt, monkeypatch):
+    """A loaded model evaluates in a session that has not named a folder yet."""
+    asked = []
+    monkeypatch.setattr(ml, "shared_dir", lambda spark: asked.append(spark))
+    learnt[4].evaluate(learnt[3], "is_sla_breach_median", "processing_days")
+    assert asked
+
+
 def test_unfitted_model_and_missing_columns(spark, learnt):
     test, model = learnt[3], learnt[4]
     for call in (lambda m: m.predict(test), lambda m: m.save("x"), lambda m: m.evaluate(test, "is_sla_breach_median", "processing_days")):

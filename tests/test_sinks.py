@@ -130,6 +130,21 @@ def test_tables_are_read_with_their_schema(spark, tmp_path, log):
     assert tables.empty_table(spark, "offers").schema == schemas.OFFERS
 
 
+def test_tables_kept_as_snapshots_are_read_once(spark, tmp_path, log):
+    n = log["cases"].count()
+    for seed in (1, 2):
+        jobs.populate_extensions(log["cases"], str(tmp_path / "extensions"), str(tmp_path / "loads"), seed)
+    assert tables.read_table(spark, str(tmp_path), "extensions").count() == n
+    row = spark.createDataFrame([("a", 1), ("a", 0), ("b", 0)], "application_id string, risk_class int")
+    for version in ("v1", "v2", "v1"):
+        snapshots.upsert_part(
+            row.withColumn("model_version", F.lit(version)), str(tmp_path / "predictions"), "model_version", version,
+            ["application_id"], schemas.PREDICTIONS)
+    got = tables.read_table(spark, str(tmp_path), "predictions").collect()
+    assert sorted((r.application_id, r.model_version, r.risk_class) for r in got) == [
+        ("a", "v1", 1), ("a", "v2", 1), ("b", "v1", 0), ("b", "v2", 0)]
+
+
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert session.shared_dir(spark) == named
