@@ -31,10 +31,13 @@ from pyspark.sql import functions as F
 from caselog.llm.common import in_workers, partitions
 from caselog.session import scratch_path
 
-#: Words whose ids a worker keeps before it starts anew (about 200 MB).
-CACHE_WORDS = 1_000_000
-_LETTERS = re.compile(r"([A-Za-z]+)([.,;:!?|#$%&*\"()-]*)")
-_SPACES = str.maketrans("\n\t", "  ")
+#: Pieces whose ids a worker keeps before it starts anew (about 200 MB).
+CACHE_WORDS = 700_000
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*\"()-]*)")
+#: Byte-level tokenizers write a byte as the character of its number if that is printable in
+#: Latin-1, and as the next free one from 256 on otherwise.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = str.maketrans({b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)})
 
 
 def index_type(end_bytes: int) -> np.dtype:
@@ -42,59 +45,88 @@ def index_type(end_bytes: int) -> np.dtype:
     return np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("end", f"V{end_bytes}")])
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: str, *first: int):
+        self.room, self.n = np.zeros(1024, dtype), 0
+        self.extend(list(first))
+
+    def extend(self, values: list[int] | np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            self.room = np.concatenate((self.room, np.zeros(max(len(self.room), len(values)), self.room.dtype)))
+        self.room[self.n:self.n + len(values)] = values
+        self.n += len(values)
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer that drops white space and never joins across it.
 
     Such a tokenizer's ids of a text are those of its space-separated pieces in order, so
-    each piece is encoded once. A piece of ASCII letters and closing punctuation is two
-    runs for the tokenizer's splitting rule, each encoded once as well.
+    each piece is encoded once. A piece of Latin-1 letters and closing punctuation is two
+    runs for the tokenizer's splitting rule, each encoded once as well; a run of letters in
+    lower case, as its bytes are written, is all its model has to see. Any other piece is one
+    run.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.reset()
 
     def reset(self) -> None:
         self.numbers: dict[str, int] = defaultdict(itertools.count().__next__)
-        self.runs: dict[str, np.ndarray] = {}
-        self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, f"<u{self.width}")
-        self.starts = np.zeros(0, np.int64)
-
-    def _encode(self, pieces: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [np.array(e.ids, self.ids.dtype) for e in found]
+        #: Run 0 has no ids. Each piece has two runs; each run has a place and a length in ids.
+        self.runs: dict[str, int] = {"": 0}
+        self.first, self.second = _Grown("i4"), _Grown("i4")
+        self.starts, self.lengths, self.ids = _Grown("i8", 0), _Grown("i4", 0), _Grown(f"u{self.width}")
 
     def _learn(self, pieces: list[str]) -> None:
-        split = [_LETTERS.fullmatch(p) for p in pieces]
-        runs = {r.lower(): None for m in split if m for r in m.groups() if r and r.lower() not in self.runs}
-        self.runs |= zip(runs, self._encode(list(runs)), strict=True)
-        other = [p for p, m in zip(pieces, split, strict=True) if not m]
-        whole = iter(self._encode(other))
-        none = self.ids[:0]
-        new = [
-            next(whole) if not m else self.runs[m[1].lower()] if not m[2]
-            else np.concatenate((self.runs[m[1].lower()], self.runs.get(m[2], none))) for m in split
-        ]
-        self.lengths = np.concatenate((self.lengths, np.fromiter(map(len, new), np.int64, len(new))))
-        self.ids = np.concatenate((self.ids, *new))
-        self.starts = np.cumsum(self.lengths) - self.lengths
-
-    def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        first, second, ids, lengths = [], [], [], []
+        runs, tokenize, base = self.runs, self.model.tokenize, self.ids.n
+
+        def run_number(text: str, letters: bool) -> int:
+            if letters:
+                new = [t.id for t in tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+            else:
+                new = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids.extend(new)
+            lengths.append(len(new))
+            number = runs[text] = len(runs)
+            return number
+
+        for piece in pieces:
+            m = _LETTERS.fullmatch(piece)
+            letters, rest = (m[1].lower(), m[2]) if m else (piece, "")
+            number = runs.get(letters)
+            first.append(run_number(letters, bool(m)) if number is None else number)
+            number = runs.get(rest)
+            second.append(run_number(rest, False) if number is None else number)
+        self.first.extend(first)
+        self.second.extend(second)
+        sizes = np.array(lengths, np.int64)
+        self.starts.extend(base + np.cumsum(sizes) - sizes)
+        self.lengths.extend(lengths)
+        self.ids.extend(ids)
+
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self.numbers) > CACHE_WORDS:
             self.reset()
         known, number = len(self.numbers), self.numbers
-        split = [[number[w] for w in (t or "").translate(_SPACES).split(" ")] for t in texts]
+        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        counts = np.array([len(x) for x in split])
+        at = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(split)), np.int64, counts.sum())
         if len(number) > known:
             self._learn(list(itertools.islice(number, known, None)))
-        for words in split:
-            at = np.array(words, np.int64)
-            sizes = self.lengths[at]
-            ends = np.cumsum(sizes)
-            place = np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])
-            yield self.ids[place]
+        runs = np.stack((self.first.room[at], self.second.room[at]), axis=1).ravel()
+        sizes = self.lengths.room[runs].astype(np.int64)
+        ends = np.cumsum(sizes)
+        ids = self.ids.room[np.repeat(self.starts.room[runs] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        return np.split(ids, ends[2 * np.cumsum(counts)[:-1] - 1])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -151,7 +183,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> DataFr
     bases = spark.read.schema(bases.schema).parquet(f"{path}/bases")
     starts = read_index(spark, path, width).select("part", "row", "start")
     parts = partitions(spark)
-    low_bytes = F.reverse(F.substring(F.to_binary(F.lpad(F.hex("start"), F.lit(16), F.lit("0")), F.lit("hex")), 2, 7))
+    digits = F.lpad(F.hex("start"), F.lit(16), F.lit("0"))
+    low_bytes = F.to_binary(F.concat(*(F.substring(digits, 15 - 2 * i, 2) for i in range(7))), F.lit("hex"))
     (starts.repartitionByRange(parts, "part", "row").sortWithinPartitions("part", "row")
      .select(low_bytes.cast("string").alias("value"))
      .write.option("lineSep", "\0").text(f"{path}/offsets"))
