@@ -7,18 +7,21 @@ whole segments (pigeonhole):
 
 * index: a set hands out the hash of each of its non-empty segments, in its own band and, if
   a smaller partner may lie there, in the band below;
-* probe: a set X has ``|X| // 4 + 1`` units to allocate. One unit buys the exact comparison
-  of a segment. The cost of a segment is how many sets may share its subset, which falls
-  with the size of the subset, so the largest subsets are bought. Where a set has too few
-  non-empty segments, a second unit on a large one buys its one-deletion neighbourhood
-  (subsets one element smaller or larger), and the last resort are empty segments. Other sets
-  index such neighbourhoods only for the (band, segment) pairs that some set has bought.
-
-Candidates share a key. They are first verified against one member of each key (a star), so
-that a large group of near copies costs its size and not its square; sets that end up in one
-component need no further comparison. Pairs of components that still share a key are compared
-whole, block by block, by parity sketches, which bound the difference of two sets from below,
-and what remains is verified on the sets themselves.
+* probe: a set X has ``|X| // 4 + 1`` units to allocate, each on one of its segments, and a
+  similar set must agree on one of those. The cost of a segment is the number of sets that
+  share its subset, counted exactly over all sets: subsets that no other set has are free
+  and are taken first, then the rarest. A set that has units enough for free subsets alone
+  has no partner, which holds for most sets. Where a set has too few non-empty segments, a
+  second unit on a large one buys its one-deletion neighbourhood (subsets one element smaller
+  or larger), and the last resort are empty segments. Other sets index such neighbourhoods
+  only for the (band, segment) pairs that some set has bought.
+
+Candidates share a key. They are first verified against one member of each key (a star), the
+one with the fewest subsets of its own, so that a large group of near copies costs its size
+and not its square; sets that end up in one component need no further comparison. Sets of
+different components that still share a key are compared by parity sketches, which bound the
+difference of two sets from below: a block of sets with a block of sets inside one row, of
+which only survivors leave. These are verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ from caselog.llm.components import components
 from caselog.llm.shingles import run_hashes, word_hashes
 
 SHINGLE = 5
-EXACT, DELETED, VOID = 0, 1, 2
+DELETED, VOID = 1, 2
+#: How a set holds a key: to be found by, to probe with if allocation wants it, to probe with.
+INDEX, OWN, FORCED = 0, 1, 2
 #: Members of a component that are compared with others in one block.
 BLOCK = 256
 #: Bits of the bitmap of texts that have a candidate (2 MB at any size of the corpus).
@@ -88,8 +93,8 @@ def band_of(n: int) -> int:
 
 
 def n_segments(band: int) -> int:
-    """Segments of a band: one more than its largest sets may differ in, and some spare ones
-    so that empty and small subsets need not be bought."""
+    """Segments of a band: one more than its largest sets may differ in, and spare ones, so
+    that subsets which are empty or shared by chance need not be bought."""
     largest = (2 << band) - 1
     return largest // 4 + 1 + 4 + largest // 32
 
@@ -110,53 +115,46 @@ def _keys(sums: np.ndarray, segments: np.ndarray, band: int) -> np.ndarray:
     return _mixed(sums + _mixed(segments.astype(np.uint64), 0xA5A5 + band), 0x1234567)
 
 
-def allocation(n: int, segments: np.ndarray, sizes: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What a set of n elements buys: which of its subsets exactly, of which of these the
-    one-deletion neighbourhood as well, and which empty segments."""
-    units = n // 4 + 1
-    by_cost = np.argsort(-sizes, kind="stable")
-    exact = by_cost[:units]
-    units -= len(exact)
-    deleted = by_cost[:units][sizes[by_cost[:units]] >= 2] if units else by_cost[:0]
-    units -= len(deleted)
-    void = np.setdiff1d(np.arange(n_segments(band)), segments)[:units] if units else segments[:0]
-    return exact, deleted, void
+def bought(n: int, segments: np.ndarray, sizes: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a set of n elements buys beyond its non-empty segments, where these are too few:
+    the segments with a one-deletion neighbourhood, and empty segments."""
+    units = n // 4 + 1 - len(segments)
+    if units <= 0:
+        return segments[:0], segments[:0]
+    large = np.argsort(-sizes, kind="stable")[:units]
+    deleted = segments[large[sizes[large] >= 2]]
+    return deleted, np.setdiff1d(np.arange(n_segments(band)), segments)[:units - len(deleted)]
 
 
-def wanted(elements: np.ndarray) -> list[tuple[int, int, int]]:
-    """(band, segment, kind) of the neighbourhoods that a set buys; for most sets none."""
+def profile(elements: np.ndarray) -> tuple[int, list[tuple[int, int, int]]]:
+    """Non-empty segments of a set in its own band, and the (band, segment, kind) of the
+    neighbourhoods that it buys; for most sets none."""
     n = len(elements)
     if n < 4:  # a set so small is similar to none but itself
-        return []
+        return 0, []
     band = band_of(n)
     segments, _, sizes, _, _ = _subsets(elements, band)
-    if len(segments) > n // 4:
-        return []
-    _, deleted, void = allocation(n, segments, sizes, band)
-    return [(band, int(segments[i]), DELETED) for i in deleted] + [(band, int(i), VOID) for i in void]
+    deleted, void = bought(n, segments, sizes, band)
+    return len(segments), [(band, int(i), DELETED) for i in deleted] + [(band, int(i), VOID) for i in void]
 
 
 def signatures(elements: np.ndarray, asked: dict[int, dict[int, set[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set and whether it probes with each; ``asked``: band to kind to segments."""
+    """Keys of a set and how it holds each; ``asked``: band to kind to segments."""
     n = len(elements)
-    keys, probes = [], []
+    keys, holds = [], []
     if n < 4:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8)
 
-    def put(sums: np.ndarray, segments: np.ndarray, band: int, probe: np.ndarray | bool) -> None:
+    def put(sums: np.ndarray, segments: np.ndarray, band: int, forced: np.ndarray | bool, hold: int = INDEX) -> None:
         keys.append(_keys(sums, segments, band))
-        probes.append(np.broadcast_to(np.asarray(probe), len(segments)))
+        holds.append(np.where(np.broadcast_to(np.asarray(forced), len(segments)), FORCED, hold).astype(np.int8))
 
     top = band_of(n)
     bands = [top] + [top - 1] * (top > 2 and 4 * n <= 5 * ((1 << top) - 1))
     for band in bands:
         segments, sums, sizes, of, mixed = _subsets(elements, band)
-        probe, own_deleted, own_void = np.zeros(len(segments), bool), np.zeros(0, np.int64), segments[:0]
-        if band == top:
-            exact, deleted, own_void = allocation(n, segments, sizes, band)
-            probe[exact] = True
-            own_deleted = segments[deleted]
-        put(sums, segments, band, probe)
+        own_deleted, own_void = bought(n, segments, sizes, band) if band == top else (segments[:0], segments[:0])
+        put(sums, segments, band, bool(len(own_deleted) or len(own_void)), OWN if band == top else INDEX)
         around = asked.get(band)
         if not around:
             continue
@@ -167,24 +165,28 @@ def signatures(elements: np.ndarray, asked: dict[int, dict[int, set[int]]]) -> t
         empty = np.setdiff1d(np.array(sorted(around[VOID]), np.int64), segments)
         if len(empty):
             put(np.zeros(len(empty), np.uint64), empty, band, np.isin(empty, own_void))
-    return np.concatenate(keys), np.concatenate(probes)
+    return np.concatenate(keys), np.concatenate(holds)
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (the set's hash), sketch, wanted; one row a document."""
+    """doc_id, text_hash, n_shingles, node (the set's hash), sketch, segments (not empty, in
+    its own band), wanted; one row a document."""
     kind = pa.list_(pa.struct([("band", pa.int32()), ("segment", pa.int32()), ("kind", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column("text")]
-            yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
-                "n_shingles": pa.array(map(len, sets), pa.int64()), "node": pa.array(map(set_hash, sets), pa.int64()),
-                "sketch": pa.array(map(sketch, sets), pa.binary()),
-                "wanted": pa.array([[dict(zip(("band", "segment", "kind"), w, strict=True)) for w in wanted(s)] for s in sets], kind)})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sets = [shingle_set(t.as_py()) for t in batch.column("text")]
+                profiles = [profile(s) for s in sets]
+                yield pa.record_batch({
+                    "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
+                    "n_shingles": pa.array(map(len, sets), pa.int64()), "node": pa.array(map(set_hash, sets), pa.int64()),
+                    "sketch": pa.array(map(sketch, sets), pa.binary()), "segments": pa.array([p[0] for p in profiles], pa.int64()),
+                    "wanted": pa.array([[dict(zip(("band", "segment", "kind"), w, strict=True)) for w in p[1]] for p in profiles], kind)})
 
     return keyed(docs).mapInArrow(
-        run, "doc_id long, text_hash long, n_shingles long, node long, sketch binary, "
+        run, "doc_id long, text_hash long, n_shingles long, node long, sketch binary, segments long, "
         "wanted array<struct<band: int, segment: int, kind: int>>")
 
 
@@ -194,23 +196,40 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, asked: dict[int, dict[int, set[int]]]) -> DataFrame:
-    """key, node, probe: 16 bytes and a flag a signature."""
+    """key, node, hold: 17 bytes a signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
-                keys, nodes, probes = [], [], []
+                keys, nodes, holds = [], [], []
                 for text in whole.slice(at, 128).column("text"):
                     elements = shingle_set(text.as_py())
-                    key, probe = signatures(elements, asked)
+                    key, hold = signatures(elements, asked)
                     keys.append(key)
-                    probes.append(probe)
+                    holds.append(hold)
                     nodes.append(np.full(len(key), set_hash(elements), np.int64))
                 yield pa.record_batch({
                     "key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(nodes)),
-                    "probe": pa.array(np.concatenate(probes))})
+                    "hold": pa.array(np.concatenate(holds))})
+
+    return keyed(docs).select("text").mapInArrow(run, "key long, node long, hold byte")
+
 
-    return keyed(docs).select("text").mapInArrow(run, "key long, node long, probe boolean")
+def _allocated(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, node, probe, free of the keys with which some set probes, out of those (key, node,
+    hold, shared_by) that several sets hold.
+
+    Of its own keys a set holds ``segments``, of which those not here are free; it probes
+    with as many of the rarest others as it has units left."""
+    own = F.col("hold") == OWN
+    per_node = Window.partitionBy("node", "hold")
+    free = F.col("segments") - F.count("*").over(per_node)
+    rank = F.row_number().over(per_node.orderBy("shared_by", "key"))
+    probing = keys.join(nodes.select("node", "n_shingles", "segments"), "node").withColumn("free", free).withColumn(
+        "probe", (F.col("hold") == FORCED) | own & (rank <= F.floor(F.col("n_shingles") / 4) + 1 - F.col("free")))
+    # a key is held by few once chance is gone; what follows reads its rows again by a join
+    chosen = probing.filter("probe").select("key").distinct()
+    return probing.select("key", "node", "probe", F.when(own, F.col("free")).alias("free")).join(chosen, "key", "left_semi")
 
 
 def _asked(described: DataFrame) -> dict[int, dict[int, set[int]]]:
@@ -240,9 +259,11 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.record_batch({"node": batch.column("node"), "elements": pa.array(sets, pa.binary())})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sets = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
+                yield pa.record_batch({"node": batch.column("node"), "elements": pa.array(sets, pa.binary())})
 
     texts = keyed(docs).mapInArrow(run, "doc_id long, text_hash long, text string")
     key = chosen.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
@@ -291,69 +312,85 @@ def _with_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _across(keys: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in components that share a key, as far as the sketches allow.
-
-    Components are compared, not keys: the larger lies in blocks of members, and each member
-    of the smaller is compared with every block inside one row, so that only survivors
-    become rows."""
-    of = keys.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("label")).distinct()
-    several = of.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    of = stored(of.join(several, "key"), "across")
-    pairs = of.withColumnRenamed("label", "x").join(of.withColumnRenamed("label", "y"), "key").filter("x < y").select("x", "y").distinct()
-    member = nodes.join(labels, "node", "left").select(
-        F.coalesce("component", "node").alias("label"), F.col("node"), "n_shingles", "sketch")
-    pairs = stored(pairs, "component-pairs")
-    touched = pairs.select(F.col("x").alias("label")).union(pairs.select(F.col("y").alias("label"))).distinct()
-    member = stored(member.join(touched, "label"), "members")
-    sizes = member.groupBy("label").agg(F.count("*").alias("members"))
-    pairs = pairs.join(sizes.select(F.col("label").alias("x"), F.col("members").alias("m_x")), "x").join(
-        sizes.select(F.col("label").alias("y"), F.col("members").alias("m_y")), "y")
-    small, large = F.when(F.col("m_x") <= F.col("m_y"), F.col("x")).otherwise(F.col("y")), F.when(F.col("m_x") <= F.col("m_y"), F.col("y")).otherwise(F.col("x"))
-    pairs = pairs.select(small.alias("small"), large.alias("large"))
-    number = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)))
-    blocks = member.join(sizes, "label").groupBy("label", number.alias("block")).agg(
-        F.collect_list(F.struct("node", "n_shingles", "sketch")).alias("rows"))
-    queries = pairs.join(member.withColumnRenamed("label", "small"), "small").select("large", "node", "n_shingles", "sketch")
-    joined = queries.join(blocks.withColumnRenamed("label", "large"), "large").select("node", "n_shingles", "sketch", "rows")
+    """Pairs (a, b) of nodes of different components that share a key, as far as the sketches
+    allow.
+
+    The rows of a key are dealt to blocks of about ``BLOCK``: a component with more rows has
+    blocks of its own, the others share blocks. Blocks are joined with blocks, except those of
+    one component with each other, and compared inside the row."""
+    rows = keys.join(labels, "node", "left").select("key", "node", "probe", F.coalesce("component", "node").alias("label"))
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("probe").alias("probe"))
+    per_key = counts.groupBy("key").agg(
+        F.count("*").alias("labels"), F.max("probe").alias("any_probe"),
+        F.coalesce(F.sum(F.when(F.col("n") < BLOCK, F.col("n"))), F.lit(0)).alias("small"))
+    counts = counts.join(per_key.filter("labels > 1 and any_probe"), "key").select(
+        "key", "label", F.when(F.col("n") >= BLOCK, F.col("label")).alias("alone"),
+        F.ceil(F.when(F.col("n") >= BLOCK, F.col("n")).otherwise(F.col("small")) / BLOCK).alias("blocks"))
+    dealt = rows.join(counts, ["key", "label"]).join(nodes.select("node", "n_shingles", "sketch"), "node")
+    number = F.pmod(F.xxhash64(F.when(F.col("alone").isNull(), F.col("label")).otherwise(F.col("node"))), F.col("blocks"))
+    blocks = dealt.groupBy("key", "alone", number.alias("number")).agg(
+        F.max("probe").alias("probe"), F.collect_list(F.struct("node", "label", "n_shingles", "sketch")).alias("rows"))
+    blocks = stored(blocks.withColumn("block", F.struct(F.coalesce("alone", F.lit(0)).alias("alone"), "number")), "blocks")
+    x, y = (blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("alone", "block", "probe", "rows"))) for side in "xy")
+    paired = x.join(y, "key").filter("block_x <= block_y and (probe_x or probe_y) and not (alone_x <=> alone_y and alone_x is not null)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, n, bits, rows in zip(*(batch.column(c) for c in ("node", "n_shingles", "sketch", "rows")), strict=True):
-                own, n, rows = np.frombuffer(bits.as_buffer(), np.uint8), n.as_py(), rows.as_py()
-                found = []
-                for r in rows:
-                    if min(n, r["n_shingles"]) * 5 < max(n, r["n_shingles"]) * 4:
-                        continue
-                    other = np.frombuffer(r["sketch"], np.uint8)
-                    size = min(len(own), len(other))
-                    if linked(n, r["n_shingles"], np.bitwise_count(folded(own, size) ^ folded(other, size)).sum()):
-                        found.append(r["node"])
-                if found:
-                    yield pa.record_batch({"a": pa.array([a.as_py()] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
-
-    return joined.mapInArrow(run, "a long, b long")
+            for rows_x, rows_y in zip(batch.column("rows_x"), batch.column("rows_y"), strict=True):
+                for a, b in _compared(rows_x.as_py(), rows_y.as_py()):
+                    yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return paired.select("rows_x", "rows_y").mapInArrow(run, "a long, b long").distinct()
+
+
+def _compared(rows_x: list[dict], rows_y: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of two blocks that differ in component and may be linked. The sketches of a
+    block are stacked by length and folded to the shorter length of both sides."""
+    def stacks(rows: list[dict]) -> dict[int, tuple[np.ndarray, ...]]:
+        by_length: dict[int, list[dict]] = {}
+        for r in rows:
+            by_length.setdefault(len(r["sketch"]), []).append(r)
+        return {size: (
+            np.array([r["node"] for r in few]), np.array([r["label"] for r in few]), np.array([r["n_shingles"] for r in few]),
+            np.frombuffer(b"".join(r["sketch"] for r in few), np.uint8).reshape(len(few), size),
+        ) for size, few in by_length.items()}
+
+    for size_x, (node_x, label_x, n_x, bits_x) in stacks(rows_x).items():
+        for size_y, (node_y, label_y, n_y, bits_y) in stacks(rows_y).items():
+            size = min(size_x, size_y)
+            left, right = folded(bits_x.T, size).T.copy().view(np.uint64), folded(bits_y.T, size).T.copy().view(np.uint64)
+            for i in range(len(node_x)):
+                near = (label_y != label_x[i]) & (5 * np.minimum(n_y, n_x[i]) >= 4 * np.maximum(n_y, n_x[i]))
+                at = np.flatnonzero(near)
+                if len(at):
+                    differing = np.bitwise_count(right[at] ^ left[i]).sum(axis=1)
+                    at = at[linked(n_y[at], n_x[i], differing)]
+                    if len(at):
+                        yield np.minimum(node_y[at], node_x[i]), np.maximum(node_y[at], node_x[i])
 
 
 def links(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between nodes that connect all similar sets, and the components.
-
-    Every pair of similar sets is either a link or lies within one component.
-    """
+    """Pairs (a, b) that connect all similar sets (a link, or a set and the smallest of a
+    component that links made), and the components."""
     nodes = described.filter("n_shingles > 0").groupBy("node").agg(
-        F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min(F.struct("doc_id", "text_hash")).alias("row"))
+        F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("segments").alias("segments"),
+        F.min(F.struct("doc_id", "text_hash")).alias("row"))
     per_key = Window.partitionBy("key")
     keys = _signatures(docs, _asked(described)).select(
-        "key", "node", F.min("node").over(per_key).alias("lo"), F.max("node").over(per_key).alias("hi"),
-        F.max("probe").over(per_key).alias("probed"))
-    keys = stored(keys.filter("lo < hi and probed").select("key", "node", "lo").distinct(), "keys")
+        "key", "node", "hold", F.min("node").over(per_key).alias("lo"), F.max("node").over(per_key).alias("hi"),
+        F.count("*").over(per_key).alias("shared_by"))
+    keys = keys.filter("lo < hi").groupBy("key", "node").agg(
+        F.max("hold").alias("hold"), F.min("shared_by").alias("shared_by"))
+    keys = stored(_allocated(stored(keys, "shared-keys"), nodes), "keys")
     chosen = keys.select("node").distinct()
     nodes = stored(nodes.join(chosen, "node"), "nodes")
     sets = stored(_sets(docs, nodes.select("node", "row.*")), "sets")
-    star = keys.filter("node != lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
+    centers = keys.groupBy("key").agg(F.min(F.struct(F.coalesce("free", F.lit(1 << 40)), "node")).alias("c")).select("key", F.col("c.node").alias("center"))
+    star = keys.join(centers, "key").filter("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     found = stored(_verified(_near(_with_sketches(star, nodes)), sets), "star-links")
     labels = components(found, "star-components")
-    rest = _verified(_across(keys.select("key", "node"), labels, nodes), sets)
-    found = stored(found.union(rest), "links")
+    rest = _verified(_across(keys.select("key", "node", "probe"), labels, nodes), sets)
+    found = stored(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "links")
     return found, components(found, "components")
 
 

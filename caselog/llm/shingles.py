@@ -7,8 +7,8 @@ from functools import lru_cache
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
-#: Words whose hash a worker keeps before it starts anew (about 150 MB).
-CACHE_WORDS = 1_000_000
+#: Words whose hash a worker keeps before it starts anew (about 50 MB).
+CACHE_WORDS = 300_000
 
 
 class _Hashes(dict):

@@ -67,11 +67,16 @@ def test_pigeonhole_on_random_sets(monkeypatch, spare):
         if not jaccard.linked(len(x), len(y), len(x) + len(y) - 2 * both) or len(x) == both == len(y):
             continue
         asked = {}
-        for band, segment, kind in jaccard.wanted(x):
+        for band, segment, kind in jaccard.profile(x)[1]:
             asked.setdefault(band, {jaccard.DELETED: set(), jaccard.VOID: set()})[kind].add(segment)
             bought[kind] += 1
-        (kx, px), (ky, _) = jaccard.signatures(x, asked), jaccard.signatures(y, asked)
-        assert set(kx[px].tolist()) & set(ky.tolist())
+        (kx, hold), (ky, _) = jaccard.signatures(x, asked), jaccard.signatures(y, asked)
+        found = np.isin(kx, ky)
+        if (hold == jaccard.FORCED).any():
+            assert found[hold == jaccard.FORCED].any()
+        else:  # so many agree that any |X| // 4 + 1 of them hold one
+            own = hold == jaccard.OWN
+            assert own.sum() == jaccard.profile(x)[0] > len(x) // 4 and found[own].sum() >= own.sum() - len(x) // 4
     assert spare or bought[jaccard.DELETED] > 10
 
 
@@ -97,6 +102,14 @@ def test_a_large_group_of_near_copies_and_its_strays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want)) and kept.columns == docs.columns
 
 
+def test_blocks_and_components_of_any_size(spark, monkeypatch):
+    """Blocks of three: components larger than a block, and shared blocks of small ones."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    docs = cases.documents(spark, near_texts(5, 90))
+    want = cases.components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert [r["component_id"] for r in jaccard.groups(docs).orderBy("doc_id").collect()] == want
+
+
 def test_join_of_null_ids_repeats_and_nothing(spark):
     text = " ".join(cases.words(30))
     rows = [(None, text), (9, text + " more"), (9, text + " more"), (None, "alone here"), (4, None), (4, None)]
