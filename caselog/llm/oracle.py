@@ -11,15 +11,15 @@ b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bs AS (
-  SELECT item_id, least(13, len(w)) AS n, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS at FROM b WHERE len(w) > 0),
-bw AS (SELECT DISTINCT item_id, n, array_to_string(w[at:at + n - 1], ' ') AS win FROM bs),
+  SELECT item_id, least(13, len(w)) AS n, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS pos FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS win FROM bs),
 sizes AS (SELECT DISTINCT n FROM bw),
 ds AS (
-  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS at FROM d, sizes WHERE len(w) >= n),
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, sizes WHERE len(w) >= n),
 hits AS (
-  SELECT ds.doc_id, ds.at, ds.n, bw.item_id FROM
-    (SELECT doc_id, at, n, array_to_string(w[at:at + n - 1], ' ') AS win FROM ds) ds JOIN bw ON ds.win = bw.win AND ds.n = bw.n),
-words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS p FROM hits) GROUP BY doc_id),
+  SELECT ds.doc_id, ds.pos, ds.n, bw.item_id FROM
+    (SELECT doc_id, pos, n, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS win FROM ds) ds JOIN bw ON ds.win = bw.win AND ds.n = bw.n),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
