@@ -21,8 +21,6 @@ from caselog.session import shared_dir
 
 HOT_ROWS = 2_000_000
 BROADCAST_KEYS = 100_000
-# Most slices the hot groups are cut into; beyond that slices grow (their sort spills).
-MAX_SLICES = 20_000
 
 
 def _shuffle_width(df: DataFrame) -> int:
@@ -64,7 +62,8 @@ def _sliced(df: DataFrame, keys, order_by, position, lags, leads, parts) -> Data
     order = [F.col(c).asc_nulls_last() for c in order_by]
     rows = _slices(df, [F.col(k).asc_nulls_last() for k in keys] + order, parts)
     local = Window.partitionBy("_slice", *keys).orderBy(*order)
-    # One row per (slice, key): at most one per slice plus one per key, so it is safe to broadcast.
+    # One row per (slice, key): at most one per slice plus one per key. A slice is no larger
+    # than a task sorts, so the join may shuffle; Spark broadcasts the borders where they are small.
     rank = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order_by])
     border = {**lags, **leads}
     ends = F.struct(*[F.col(c).alias(name) for name, c in border.items()], F.lit(0).alias("_"))
@@ -89,7 +88,7 @@ def _sliced(df: DataFrame, keys, order_by, position, lags, leads, parts) -> Data
         *[F.lag(c).over(local).alias(f"_lag_{name}") for name, c in lags.items()],
         *[F.lead(c).over(local).alias(f"_lead_{name}") for name, c in leads.items()],
     )
-    joined = numbered.alias("r").join(F.broadcast(borders.alias("b")), _same("r", "b", ["_slice", *keys]))
+    joined = numbered.alias("r").join(borders.alias("b"), _same("r", "b", ["_slice", *keys]))
     first, last = F.col("r._rn") == 1, F.col("r._rn") == F.col("b._n")
     return joined.select(
         *[F.col(f"r.{c}") for c in df.columns],
@@ -109,20 +108,25 @@ def neighbours(
     leads: dict[str, str] | None = None,
     hot_rows: int | None = HOT_ROWS,
     sizes_of: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add the row number and the values of the previous and next row of each group.
 
     ``lags`` and ``leads`` map a new column to the column it takes from the neighbour.
     ``order_by`` must order the rows of a group completely; NULLs come last.
     Group sizes are counted first, on ``sizes_of`` if given: a frame with at least the same
-    rows per key that is cheaper to read. ``hot_rows=None`` promises that no group is too
+    rows per key that is cheaper to read. ``sizes`` has them already counted (the keys and
+    ``_n``), such as a case table's number of events. ``hot_rows=None`` promises that no group is too
     large for a task and saves the count.
     """
     lags, leads = lags or {}, leads or {}
     order = [F.col(c).asc_nulls_last() for c in order_by]
     if hot_rows is None:
         return _windowed(df, keys, order, position, lags, leads)
-    hot = hot_groups(df if sizes_of is None else sizes_of, keys, hot_rows)
+    if sizes is not None:
+        hot = sizes.select(*keys, "_n").where(F.col("_n") > hot_rows)
+    else:
+        hot = hot_groups(df if sizes_of is None else sizes_of, keys, hot_rows)
     found = hot.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
     if not found.groups:
         return _windowed(df, keys, order, position, lags, leads)
@@ -133,7 +137,7 @@ def neighbours(
     is_hot = _same("d", "h", keys)
     cold_rows = df.alias("d").join(hot_keys.alias("h"), is_hot, "left_anti")
     hot_part = df.alias("d").join(hot_keys.alias("h"), is_hot, "left_semi")
-    parts = max(_shuffle_width(df), min(-(-found.rows // hot_rows), MAX_SLICES))
+    parts = max(_shuffle_width(df), -(-found.rows // hot_rows))
     return _windowed(cold_rows, keys, order, position, lags, leads).unionByName(
         _sliced(hot_part, keys, order_by, position, lags, leads, parts)
     )

@@ -297,8 +297,11 @@ def weekly_summary(cases: DataFrame) -> DataFrame:
     )
 
 
-def event_sequence(events: DataFrame, hot_rows: int | None = ordered.HOT_ROWS) -> DataFrame:
-    """Events of a case in time order with position and neighbours."""
+def event_sequence(
+    events: DataFrame, hot_rows: int | None = ordered.HOT_ROWS, cases: DataFrame | None = None
+) -> DataFrame:
+    """Events of a case in time order with position and neighbours. ``cases``, the case table,
+    saves counting the events of each case: its event_count is read instead."""
     base = events.select(
         "event_id", "application_id", "activity", "event_timestamp", "resource",
         "lifecycle_transition", "event_origin",
@@ -309,6 +312,7 @@ def event_sequence(events: DataFrame, hot_rows: int | None = ordered.HOT_ROWS) -
         lags={"prev_activity": "activity"},
         leads={"next_activity": "activity", "_next_time": "event_timestamp"},
         hot_rows=hot_rows,
+        sizes=cases.select("application_id", F.col("event_count").alias("_n")) if cases is not None else None,
     )
     return placed.select(
         *base.columns, "event_sequence", "next_activity", "prev_activity",

@@ -97,8 +97,8 @@ PREDICTIONS = """predictions AS (
   WHERE h % 10 < share)"""
 
 LATEST = """latest AS (
-  SELECT * EXCLUDE (rank_idx) FROM (SELECT *, row_number() OVER (PARTITION BY application_id
-    ORDER BY scored_at DESC, model_version DESC) AS rank_idx FROM predictions) WHERE rank_idx = 1)"""
+  SELECT * EXCLUDE (nth_version) FROM (SELECT *, row_number() OVER (PARTITION BY application_id
+    ORDER BY scored_at DESC, model_version DESC) AS nth_version FROM predictions) WHERE nth_version = 1)"""
 
 CTES = {
     "log_events": (EVENTS, ()),
@@ -365,6 +365,8 @@ def _ranked(k: str) -> str:
 #: What a model has to learn where ten days for a new credit, two for others, decide all.
 RISK = "CASE WHEN application_type = 'New credit' THEN 1 ELSE 0 END"
 TWO_OR_TEN = "CAST(CASE WHEN application_type = 'New credit' THEN 10 ELSE 2 END AS DOUBLE)"
+PERFECT = """SELECT 1.0::DOUBLE AS roc_auc, 1.0::DOUBLE AS pr_auc, 1.0::DOUBLE AS f1_score, 1.0::DOUBLE AS precision,
+  1.0::DOUBLE AS recall, 0.0::DOUBLE AS mae_days, 0.0::DOUBLE AS rmse_days, 1.0::DOUBLE AS r2_score"""
 HELD_OUT = f"""SELECT application_id, {RISK.replace('application_type', 'label')} AS risk_class,
   {TWO_OR_TEN.replace('application_type', 'label')} AS predicted_processing_days
   FROM ({_ranked("nth <= round(size * 0.2) AS held_out")}) WHERE held_out"""
@@ -650,6 +652,8 @@ def oracle_sql() -> dict[str, str]:
         "m12_fit_predict_real": sql("SELECT count(*) AS rows, count(*) AS in_range FROM log_cases", "log_cases"),
         "m15_save_load": sql(HELD_OUT, "log_cases"),
         "m13_cross_validate": sql("SELECT 1.0::DOUBLE AS cv_mean_roc_auc, 1.0::DOUBLE AS cv_mean_pr_auc, 1.0::DOUBLE AS cv_mean_f1_score, 0.0::DOUBLE AS cv_mean_mae_days"),
+        "m17_ablation_real": sql(PERFECT),
+        "m17_ablation_full": sql(PERFECT),
         "m17_ablation": sql("""SELECT features, one AS roc_auc, one AS pr_auc, one AS f1_score, one AS precision, one AS recall,
           0.0::DOUBLE AS mae_days, 0.0::DOUBLE AS rmse_days, one AS r2_score
           FROM (VALUES ('real', 1.0::DOUBLE), ('full', 1.0::DOUBLE), ('delta', 0.0::DOUBLE)) AS v(features, one)"""),

@@ -71,6 +71,14 @@ def test_exact_quantile(spark, limit, q):
     assert quantiles.exact_quantile(df, "x", q, exact_values=limit) == pytest.approx(want, abs=1e-12)
 
 
+def test_counted_sizes_give_the_same_neighbours(spark):
+    df = spark.range(3000).select((F.sqrt("id") / 8).cast("int").alias("k"), "id")
+    sizes = df.groupBy("k").agg(F.count("*").alias("_n"))
+    ask = dict(position="p", lags={"before": "id"}, leads={"after": "id"}, hot_rows=400)
+    want = rows_of(ordered.neighbours(df, ["k"], ["id"], **ask))
+    assert rows_of(ordered.neighbours(df, ["k"], ["id"], sizes=sizes, **ask)) == want
+
+
 def test_exact_quantile_small(spark):
     one = spark.createDataFrame([(None,), (3.0,)], "x double")
     assert quantiles.exact_quantile(one, "x") == 3.0
