@@ -1,10 +1,11 @@
 """Quality rules: base counts, then divergence from language references.
 
 References are made from the corpus itself, one per language that holds at least
-``LANGUAGE_SHARE`` of all words: how its characters spread over classes and how often each of
-its common words occurs (a common word has a share of at least ``WORD_SHARE`` of the
-language's words). A document is compared with the reference of its language, or with all
-references, of which the nearest counts, if it has none. The measure is the Jensen-Shannon
+``REFERENCE_WORDS`` words, whatever its share: how its characters spread over classes and how
+often each of its common words occurs (a common word has a share of at least ``WORD_SHARE``
+of the language's words). A document is compared with the reference of its language. One that
+names no language is compared with all references, of which the nearest counts; one whose
+language has no reference is left to the base rule. The measure is the Jensen-Shannon
 distance (the root of the divergence to base 2, from 0 to 1). Short documents aren't judged,
 as their histograms are noise.
 """
@@ -17,13 +18,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselog.llm.common import in_workers
+from caselog.llm.common import in_workers, partitions, stored
 from caselog.llm.decontaminate import words as letter_words
 
-LANGUAGE_SHARE, WORD_SHARE = 0.005, 0.004
+#: Words from which a language's histograms are stable: references of this many words of
+#: sf0.1 (six draws each of en and es) rejected no document labelled good.
+REFERENCE_WORDS, WORD_SHARE = 2000, 0.004
+#: Languages whose references are made, held and broadcast at a time.
+TOGETHER = 500
 MIN_CHARACTERS, MIN_WORDS = 200, 50
 #: A distance may reach its limit plus what chance adds to a histogram of so few counts.
 CHARACTER_LIMIT, WORD_LIMIT, CHANCE = 0.24, 0.19, 1.5
@@ -131,7 +136,7 @@ def character_counts(raw: bytes) -> np.ndarray:
 
 
 def _gather(docs: DataFrame, per_batch, schema: str) -> DataFrame:
-    """Rows of ``per_batch(language, texts)`` for the languages of every batch of texts."""
+    """Rows of ``per_batch(language, texts)``, if any, for the languages of every batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,20 +146,20 @@ def _gather(docs: DataFrame, per_batch, schema: str) -> DataFrame:
                     by_language.setdefault(language, []).append(text)
             for language, texts in by_language.items():
                 columns = per_batch(language, texts)
+                if columns is None:
+                    continue
                 columns["lang"] = [language] * len(next(iter(columns.values())))
                 yield pa.record_batch({name: pa.array(columns[name]) for name in columns})
 
     return in_workers(docs).select("lang", "text").mapInArrow(run, schema)
 
 
-def references(docs: DataFrame) -> dict[str, Reference]:
-    """References of all languages, from all documents that name their language.
+def _reported(docs: DataFrame) -> DataFrame:
+    """lang, word, n: every language's total, as the empty word, and words that may be common.
 
-    Two passes. In the first every batch of texts reports the words with a quarter of the
-    share asked for, and its totals; a word that reaches the share in the whole language was
-    reported for at least three quarters of it, so at most ``4 / (3 * WORD_SHARE)`` words of
-    a language remain. The second counts those exactly. What reaches the driver is bounded by
-    ``1 / LANGUAGE_SHARE`` languages with that many words, whatever the size of the corpus.
+    Every batch of texts reports the words with a quarter of the share asked for, and its
+    totals; a word that reaches the share in the whole language was reported for at least
+    three quarters of it, so at most ``4 / (3 * WORD_SHARE)`` words of a language remain.
     """
 
     def reported(_: str, texts: list[str]) -> dict[str, list]:
@@ -167,10 +172,42 @@ def references(docs: DataFrame) -> dict[str, Reference]:
         return {"word": ["", *(w for w, _ in often)], "n": [total, *(n for _, n in often)]}
 
     sums = _gather(docs, reported, "word string, n long, lang string").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    totals = sums.filter("word = ''").select("lang", F.col("n").alias("total"))
-    all_words = totals.agg(F.sum("total")).first()[0] or 0
-    large = totals.filter(F.col("total") >= LANGUAGE_SHARE * all_words).filter("total > 0")
-    rows = sums.join(large, "lang").filter(F.col("n") >= 0.75 * WORD_SHARE * F.col("total")).collect()
+    return stored(sums, "reported-words")
+
+
+def _totals(sums: DataFrame) -> DataFrame:
+    return sums.filter("word = ''").filter(F.col("n") >= REFERENCE_WORDS).select("lang", F.col("n").alias("total"))
+
+
+def _between(column: str, first: str | None, after: str | None) -> Column:
+    out = F.col(column).isNotNull()
+    out = out if first is None else out & (F.col(column) >= F.lit(first))
+    return out if after is None else out & (F.col(column) < F.lit(after))
+
+
+def _ranges(sums: DataFrame) -> list[tuple[str | None, str | None]]:
+    """Ranges of language names, from one up to before the next, that hold all names and at
+    most ``TOGETHER`` languages with a reference each. Only the cuts reach the driver."""
+    order = _totals(sums).select("lang").repartitionByRange(partitions(sums.sparkSession), "lang").sortWithinPartitions("lang")
+    cuts = [r["lang"] for i, r in enumerate(order.toLocalIterator()) if i and i % TOGETHER == 0]
+    return list(zip([None, *cuts], [*cuts, None], strict=True))
+
+
+def references(docs: DataFrame) -> dict[str, Reference]:
+    """References of all languages, from all documents that name their language."""
+    sums = _reported(docs)
+    out: dict[str, Reference] = {}
+    for first, after in _ranges(sums):
+        out |= _references(docs, sums, first, after)
+    return out
+
+
+def _references(docs: DataFrame, sums: DataFrame, first: str | None, after: str | None) -> dict[str, Reference]:
+    """References of the languages of one range of names, by exact counts of the reported
+    words. What reaches the driver is bounded by ``TOGETHER`` languages with
+    ``4 / (3 * WORD_SHARE)`` words, whatever the size of the corpus."""
+    sums, docs = sums.filter(_between("lang", first, after)), docs.filter(_between("lang", first, after))
+    rows = sums.join(_totals(sums), "lang").filter(F.col("n") >= 0.75 * WORD_SHARE * F.col("total")).collect()
     candidates: dict[str, dict[bytes, int]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["word"])):
         numbers = candidates.setdefault(r["lang"], {})
@@ -178,10 +215,10 @@ def references(docs: DataFrame) -> dict[str, Reference]:
             numbers[r["word"].encode()] = len(numbers)
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
 
-    def counted(language: str, texts: list[str]) -> dict[str, list]:
+    def counted(language: str, texts: list[str]) -> dict[str, list] | None:
         numbers = shared.value.get(language)
         if numbers is None:
-            return {"counts": pa.array([], pa.list_(pa.int64()))}
+            return None
         counts = np.zeros(CLASSES + len(numbers) + 1, np.int64)
         for text in texts:
             counts[:CLASSES] += character_counts(text.encode())
@@ -204,13 +241,14 @@ def references(docs: DataFrame) -> dict[str, Reference]:
 
 
 def divergence(text: str | None, language: str | None, known: dict[str, Reference]) -> tuple[str | None, float, float, bool]:
-    """The reference taken, both distances, and whether they keep the document."""
+    """The reference taken, both distances, and whether they keep the document. A named
+    language without a reference takes none and keeps it."""
     raw, found = (text or "").encode(), letter_words(text)
     best: tuple[str | None, float, float, bool] = (None, 0.0, 0.0, True)
     most_by_class = CHARACTER_LIMIT + CHANCE / max(len(raw), 1) ** 0.5
     most_by_word = WORD_LIMIT + CHANCE / max(len(found), 1) ** 0.5
     characters = character_counts(raw)
-    for name in [language] if language in known else known:
+    for name in known if language is None else [language] if language in known else []:
         reference = known[name]
         by_class = distance(characters, reference.characters) if len(raw) >= MIN_CHARACTERS else 0.0
         by_word = distance(word_counts(found, reference.numbers), reference.words) if len(found) >= MIN_WORDS else 0.0
@@ -231,14 +269,35 @@ def scored(docs: DataFrame, known: dict[str, Reference] | None = None, prefix: s
     """All rows and columns with the base counts, distances and the verdict ``kept``.
 
     The added names begin with ``prefix``; columns of the input of such a name give way. Null and empty texts
-    fail the base rule. A document shorter than both minimum lengths, or a corpus in which no
-    language is named, leaves the verdict to the base rule. Rows that repeat are scored alike.
+    fail the base rule. A document shorter than both minimum lengths or of a language without
+    a reference, or a corpus in which no language has one, leaves the verdict to the base
+    rule. Rows that repeat are scored alike.
     """
-    known = references(docs) if known is None else known
+    docs = in_workers(docs).drop(*(prefix + name for name in SCORES))
+    if known is not None:
+        return _scored(docs, known, prefix)
+    sums = _reported(docs)
+    ranges = _ranges(sums)
+    if len(ranges) == 1:
+        return _scored(docs, _references(docs, sums, None, None), prefix)
+    named, unnamed = [], docs.filter("lang is null")
+    for i, (first, after) in enumerate(ranges):
+        some = _references(docs, sums, first, after)
+        named.append(_scored(docs.filter(_between("lang", first, after)), some, prefix))
+        # what names no language takes the nearest of all ranges
+        unnamed = _scored(unnamed, some, prefix, again=i > 0)
+    for part in named:
+        unnamed = unnamed.unionByName(part)
+    return unnamed
+
+
+def _scored(docs: DataFrame, known: dict[str, Reference], prefix: str, again: bool = False) -> DataFrame:
+    """Scores against some references; ``again``: the rows have scores, and the nearer count."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
     added_names = [prefix + name for name in SCORES]
-    docs = in_workers(docs).drop(*added_names)
+    own = [c for c in docs.columns if not (again and c in added_names)]
     text, lang = (docs.columns.index(c) for c in ("text", "lang"))
+    kinds = list(SCORES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -249,12 +308,20 @@ def scored(docs: DataFrame, known: dict[str, Reference] | None = None, prefix: s
                     base = base_counts(t)
                     name, by_class, by_word, near = divergence(t, language, shared.value)
                     rows.append((*base, base.failed, near and not base.failed, name, by_class, by_word))
+                if again:
+                    before = zip(*(batch.column(name).to_pylist() for name in added_names), strict=True)
+                    rows = [_nearer(old, new) for old, new in zip(before, rows, strict=True)]
                 columns = zip(*rows, strict=True) if rows else [()] * len(SCORES)
                 added = [pa.array(c, kind) for c, kind in zip(columns, SCORES.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *added_names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *added], names=[*own, *added_names])
+
+    def _nearer(old: tuple, new: tuple) -> tuple:
+        name, by_class, by_word = (kinds.index(k) for k in ("reference", "character_distance", "word_distance"))
+        nearer = new[name] is not None and (old[name] is None or new[by_class] + new[by_word] < old[by_class] + old[by_word])
+        return new if nearer else old
 
     names = ", ".join(f"{prefix}{name} {_TYPES[kind]}" for name, kind in SCORES.items())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + names
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in own) + ", " + names
     return docs.mapInArrow(run, schema)
 
 

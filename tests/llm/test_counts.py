@@ -67,6 +67,29 @@ def test_clean_documents_stay_and_junk_goes(spark, sf):
     assert got == [True] * 40 + [False] * 2
 
 
+def small_language(spark):
+    """One big language, a small one with 0.4 % of all words, one with a single document."""
+    def text(kind, i, n=60):
+        return " ".join(f"{kind}{w}" for w in cases.words(n, i, 40)) + "."
+
+    rows = [(i, text("big", i, 4000), "en") for i in range(220)] + [(1000 + i, text("ño", i, 90), "small") for i in range(40)]
+    rows += [(2000, text("xx", 1, 80), "rare"), (2001, text("ño", 99, 90), None), (2002, text("qq", 3, 80), None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+@pytest.mark.parametrize("together", [500, 1])
+def test_small_languages_have_references_and_rare_ones_the_base_rule(spark, monkeypatch, together):
+    monkeypatch.setattr(quality, "TOGETHER", together)
+    docs = small_language(spark)
+    assert set(quality.references(docs)) == {"en", "small"}
+    rows = quality.scored(docs).collect()
+    assert len(rows) == docs.count()
+    got = {r["doc_id"]: (r["reference"], r["kept"]) for r in rows}
+    assert all(got[1000 + i] == ("small", True) for i in range(40)) and all(got[i] == ("en", True) for i in range(220))
+    # a named language without a reference stays, what names none is compared with all
+    assert got[2000] == (None, True) and got[2001] == ("small", True) and not got[2002][1]
+
+
 def test_classifier_learns_and_keeps_its_hands_off_held_out_labels(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     scores = queries.op5_passage_classifier(spark, sf)
