@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from importlib import resources
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +26,7 @@ from caselog.llm.shingles import run_hashes, word_hashes
 LIMIT = 0.85
 
 # Names and texts of licences and of the notices by which files name them.
-TEMPLATES = (
+_SHORT = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -47,12 +48,69 @@ TEMPLATES = (
 )
 
 
+def _texts() -> Iterator[tuple[str, str]]:
+    """Full texts. The Affero one is that of GPL-3.0 with its name and its section 13."""
+    for file in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text()
+        yield name, text
+        if name == "GPL-3.0":
+            before, rest = text.split("  13. Use with the GNU Affero General Public License.")
+            before = before.replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC").replace("GNU General Public", "GNU Affero General Public")
+            after = rest[rest.index("  14. "):].replace("GNU General Public", "GNU Affero General Public")
+            yield "AGPL-3.0", before + _SECTION_13 + after
+
+
+_SECTION_13 = "13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph. Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a work licensed under version 3 of the GNU General Public License into a single combined work, and convey the resulting work. The terms of this License will continue to apply to the part which is the covered work, but the work with which it is combined will remain governed by version 3 of the GNU General Public License. "
+
+
+def _siblings() -> Iterator[tuple[str, str]]:
+    """Licences and notices that differ from others in a few words, for the best to win."""
+    plain = dict(reversed(_SHORT))  # the first text of each name
+    bsd = plain["BSD-2-Clause"]
+    conditions, disclaimer = bsd[:bsd.index("THIS SOFTWARE")], bsd[bsd.index("THIS SOFTWARE"):]
+    promote = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    yield "BSD-3-Clause", f"{conditions}3. {promote}{disclaimer}"
+    yield "BSD-4-Clause", f"{conditions}3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. {promote}{disclaimer}"
+    yield "BSD-2-Clause", "Licensed under the BSD 2-Clause License."
+    yield "MIT-0", plain["MIT"].replace(plain["MIT"][plain["MIT"].index(", subject to"):plain["MIT"].index("THE SOFTWARE IS")], ". ")
+    yield "0BSD", plain["ISC"].replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
+    for name, family, version in (
+            ("GPL-1.0", "", "1"), ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("AGPL-3.0", "Affero ", "3"),
+            ("LGPL-2.0", "Library ", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3")):
+        full = f"GNU {family}General Public License"
+        thing = "library" if name[0] == "L" else "program"
+        grant = f"This {thing} is free software; you can redistribute it and/or modify it under the terms of the {full} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+        doubt = f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {full} for more details."
+        copy = f"You should have received a copy of the {full} along with this {thing}."
+        yield name, grant
+        yield name, grant.replace("either ", "").replace(", or (at your option) any later version", "")
+        yield name, f"{grant} {doubt}"
+        yield name, f"{grant} {doubt} {copy} If not, see https://www.gnu.org/licenses/."
+        yield name, f"{grant} {doubt} {copy[:-1]}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+        yield name, f"This work is licensed under the {full}, version {version}."
+        yield name, f"Licensed under the {full}, version {version}."
+        yield name, f"Licensed under the {full} v{version}."
+    for code, words_of in (("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-ND", "-NoDerivatives"), ("BY-NC", "-NonCommercial"),
+                           ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives")):
+        long = f"a Creative Commons Attribution{words_of} 4.0 International License."
+        yield f"CC-{code}-4.0", f"This work is licensed under {long}"
+        yield f"CC-{code}-4.0", f"Licensed under {long}"
+        yield f"CC-{code}-4.0", f"Licensed under CC {code} 4.0."
+
+
+TEMPLATES = (_SHORT[0], *_texts(), *_siblings(), *_SHORT[1:])
+
+
 class Templates(NamedTuple):
     """Templates in the order of their sizes."""
 
     names: list[str]
     sizes: np.ndarray
     bigrams: list[np.ndarray]
+    every: np.ndarray
+    """The bigrams of all templates."""
+    holds: np.ndarray
+    """Whether a template (row) has a bigram of ``every`` (column)."""
 
 
 def bigrams(text: str | None) -> np.ndarray:
@@ -63,7 +121,17 @@ def bigrams(text: str | None) -> np.ndarray:
 
 def templates(texts: tuple[tuple[str, str], ...] = TEMPLATES) -> Templates:
     known = sorted(((bigrams(text), name) for name, text in texts), key=lambda x: (len(x[0]), x[1]))
-    return Templates([n for _, n in known], np.array([len(b) for b, _ in known]), [b for b, _ in known])
+    every = np.unique(np.concatenate([b for b, _ in known])) if known else np.zeros(0, np.uint64)
+    holds = np.array([np.isin(every, b, assume_unique=True) for b, _ in known]).reshape(len(known), len(every))
+    return Templates([n for _, n in known], np.array([len(b) for b, _ in known]), [b for b, _ in known], every, holds)
+
+
+def possible(own: np.ndarray, known: Templates, limit: float) -> np.ndarray:
+    """Templates that some part of a text with these bigrams may match: to reach a limit t a
+    part has to hold a share of ``t / (2 - t)`` of a template, and a part of two words or
+    more has no bigram that the text hasn't."""
+    common = known.holds[:, np.isin(known.every, own, assume_unique=True)].sum(axis=1)
+    return np.flatnonzero(common >= known.sizes * limit / (2 - limit) - 1e-9)
 
 
 _BLANK = re.compile(r"\n\s*\n")
@@ -84,10 +152,11 @@ def parts(text: str) -> list[tuple[str, int, str]]:
 def matches(text: str | None, known: Templates, limit: float) -> list[tuple[str, float, str, int]]:
     """Licence, coefficient, kind and number of every part that reaches the limit, each with
     its best template (the first name of equals)."""
-    out = []
+    out: list[tuple[str, float, str, int]] = []
+    # a part of one word only matches a template of one word, which has a size of one
+    if not len(known.sizes) or known.sizes[0] > 1 and not len(possible(bigrams(text), known, limit)):
+        return out
     for kind, number, part in parts(text or ""):
-        if not len(known.sizes):
-            continue
         own = bigrams(part)
         if not len(own):
             continue

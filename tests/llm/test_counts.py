@@ -150,6 +150,44 @@ def test_licences_by_brute_force(spark):
     assert licenses.scan(cases.empty(spark)).count() == 0
 
 
+GRANT = ("This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as "
+         "published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version. This program is "
+         "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+         "FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details. You should have received a copy of the GNU {1}General "
+         "Public License along with this program. If not, see <https://www.gnu.org/licenses/>.")
+BSD = max((x for n, x in licenses.TEMPLATES if n == "BSD-2-Clause"), key=len)
+THIRD = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+         "this software without specific prior written permission. THIS SOFTWARE IS")
+
+
+@pytest.mark.parametrize(("text", "name"), [
+    (BSD, "BSD-2-Clause"),
+    (BSD.replace("THIS SOFTWARE IS", THIRD), "BSD-3-Clause"),
+    (GRANT.format(":", "", ",", 3), "GPL-3.0"),
+    (GRANT.format(";", "", ";", 2), "GPL-2.0"),
+    (GRANT.format(":", "Affero ", ",", 3), "AGPL-3.0"),
+    (GRANT.split(" This program is dis")[0].replace("This program", "This library").format(";", "Lesser ", ";", "2.1"), "LGPL-2.1"),
+    (GRANT.split(" This program is dis")[0].replace("This program", "This library").format(";", "Lesser ", ";", "3"), "LGPL-3.0"),
+    (GRANT.split(" This program is dis")[0].format(":", "", ",", 3), "GPL-3.0"),
+    ("licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+])
+def test_siblings_are_not_taken_for_each_other(text, name):
+    assert {m[0] for m in licenses.matches(text, licenses.templates(), licenses.LIMIT)} == {name}
+
+
+def test_full_texts_are_found_as_themselves():
+    known = licenses.templates()
+    for name, text in licenses.TEMPLATES:
+        best = max(licenses.matches(text, known, licenses.LIMIT), key=lambda m: m[1])
+        assert best[:2] == (name, pytest.approx(1.0))
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= {n for n, x in licenses.TEMPLATES if len(x) > 5000}
+
+
 def test_curve_visits_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)
