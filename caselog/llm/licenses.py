@@ -1,6 +1,7 @@
 """Licence scans: parts of documents against licence templates by the Dice coefficient.
 
-Parts are the whole text, its paragraphs (between blank lines) and its lines. A part and a
+Parts are the whole text, its paragraphs (between blank lines), runs of paragraphs and its
+lines. Of runs that overlap the best counts. A part and a
 template are sets of word bigrams of the normalised text; the coefficient is twice the
 common ones over the sum of both sizes. It can reach a limit t only if the sizes differ by
 no more than a factor of ``(2 - t) / t``, so a part is compared with the templates of that
@@ -149,26 +150,74 @@ def parts(text: str) -> list[tuple[str, int, str]]:
     return out
 
 
+def _best(own: np.ndarray, known: Templates, among: np.ndarray, limit: float) -> tuple[float, str] | None:
+    """The negative coefficient and the name of the best template that reaches the limit."""
+    sizes = known.sizes[among]
+    lo, hi = np.searchsorted(sizes, len(own) * limit / (2 - limit) - 1e-9), np.searchsorted(sizes, len(own) * (2 - limit) / limit + 1e-9, "right")
+    best: tuple[float, str] | None = None
+    for i in among[lo:hi]:
+        dice = 2 * len(np.intersect1d(own, known.bigrams[i], assume_unique=True)) / (len(own) + known.sizes[i])
+        if dice >= limit and (best is None or (-dice, known.names[i]) < best):
+            best = (-dice, known.names[i])
+    return best
+
+
+def run_matches(text: str, known: Templates, among: np.ndarray, limit: float) -> list[tuple[str, float, str, int]]:
+    """Runs of two or more paragraphs, not all, that reach the limit, numbered by their first
+    paragraph. Of overlapping runs the best is given, the shorter of equals.
+
+    A run is compared if a share of ``t / (2 - t)`` of its bigrams is in the templates, which
+    the limit t asks for. Runs begin and end with paragraphs that hold such a bigram, as the
+    others only lower the coefficient; no longer run is tried when its other bigrams are more
+    than the largest template allows.
+    """
+    pieces = [(number, found) for number, p in enumerate(_BLANK.split(text)) if (found := words(p))]
+    if len(pieces) < 3 or not len(among):
+        return []
+    share = limit / (2 - limit)
+    ends = np.cumsum([len(found) for _, found in pieces])
+    begins = ends - [len(found) for _, found in pieces]
+    pairs = run_hashes(word_hashes([w for _, found in pieces for w in found]), 2)
+    inside = np.isin(pairs, np.concatenate([known.bigrams[i] for i in among]))
+    # a bigram across two paragraphs counts for both
+    touched = [k for k in range(len(pieces)) if inside[max(begins[k] - 1, 0):ends[k]].any()]
+    most = known.sizes[among].max() / share
+    found = []
+    for at, i in enumerate(touched):
+        for j in touched[at + 1:]:
+            if i == 0 and j == len(pieces) - 1:
+                continue
+            reach = slice(begins[i], ends[j] - 1)
+            own = np.unique(pairs[reach])
+            outside = len(np.unique(pairs[reach][~inside[reach]]))
+            if len(own) > most or outside > most * (1 - share):
+                break
+            if outside <= len(own) * (1 - share) + 1e-9 and (best := _best(own, known, among, limit)):
+                found.append((*best, j - i, i, j))
+    out, taken = [], np.zeros(len(pieces), bool)
+    for dice, name, _, i, j in sorted(found, key=lambda f: (f[0], f[2:4], f[1])):
+        if not taken[i:j + 1].any():
+            taken[i:j + 1] = True
+            out.append((name, -dice, "run", pieces[i][0]))
+    return sorted(out, key=lambda m: m[3])
+
+
 def matches(text: str | None, known: Templates, limit: float) -> list[tuple[str, float, str, int]]:
     """Licence, coefficient, kind and number of every part that reaches the limit, each with
     its best template (the first name of equals)."""
     out: list[tuple[str, float, str, int]] = []
-    # a part of one word only matches a template of one word, which has a size of one
-    if not len(known.sizes) or known.sizes[0] > 1 and not len(possible(bigrams(text), known, limit)):
+    if not len(known.sizes):
+        return out
+    among = possible(bigrams(text), known, limit)
+    # a part of one word has a bigram of its own, that only a template of one word has
+    among = np.union1d(np.flatnonzero(known.sizes == 1), among)
+    if not len(among):
         return out
     for kind, number, part in parts(text or ""):
         own = bigrams(part)
-        if not len(own):
-            continue
-        lo, hi = np.searchsorted(known.sizes, len(own) * limit / (2 - limit) - 1e-9), np.searchsorted(known.sizes, len(own) * (2 - limit) / limit + 1e-9, "right")
-        best: tuple[float, str] | None = None
-        for i in range(lo, hi):
-            dice = 2 * len(np.intersect1d(own, known.bigrams[i], assume_unique=True)) / (len(own) + known.sizes[i])
-            if dice >= limit and (best is None or (-dice, known.names[i]) < best):
-                best = (-dice, known.names[i])
-        if best:
+        if len(own) and (best := _best(own, known, among, limit)):
             out.append((best[1], -best[0], kind, number))
-    return out
+    return out + run_matches(text or "", known, among, limit)
 
 
 def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, limit: float = LIMIT) -> DataFrame:

@@ -188,6 +188,40 @@ def test_full_texts_are_found_as_themselves():
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= {n for n, x in licenses.TEMPLATES if len(x) > 5000}
 
 
+@pytest.mark.parametrize("where", ["start", "middle", "end"])
+@pytest.mark.parametrize("name", ["MIT", "BSD-3-Clause", "GPL-2.0"])
+def test_licence_of_several_paragraphs_inside_a_long_document(where, name):
+    if name == "MIT":
+        mit = licenses.TEMPLATES[0][1]
+        cuts = [0, mit.index("The above"), mit.index("THE SOFTWARE IS PROVIDED"), len(mit)]
+        body = "\n\n".join(mit[a:b].strip() for a, b in zip(cuts, cuts[1:]))
+    elif name == "BSD-3-Clause":
+        body = re.sub(r" (?=[123]\. |THIS SOFTWARE IS)", "\n\n", BSD.replace("THIS SOFTWARE IS", THIRD))
+    else:
+        body = GRANT.format(";", "", ";", 2).replace(". This program", ".\n\nThis program").replace(". You should", ".\n \nYou should")
+    other = [" ".join(cases.words(70, i)) for i in range(12)]
+    texts = {"start": [body, *other], "middle": [*other[:6], body, *other[6:]], "end": [*other, body]}[where]
+    found = licenses.matches("\n\n".join(texts), licenses.templates(), licenses.LIMIT)
+    number = {"start": 0, "middle": 6, "end": 12}[where]
+    assert [(m[0], m[3]) for m in found if m[2] == "run"] == [(name, number)]
+    assert {m[0] for m in found} == {name}
+
+
+def test_runs_equal_a_search_of_all_runs():
+    known = licenses.templates()
+    body = licenses.TEMPLATES[0][1].replace(". ", ".\n\n")
+    text = "\n\n".join(["a b c", body, "of the software", " ".join(cases.words(40)), "\n\n".join(GRANT.format(";", "Affero ", ";", 3).split(". "))])
+    pieces, best = text.split("\n\n"), {}
+    for i in range(len(pieces)):
+        for j in range(i + 1, len(pieces)):
+            own = set(licenses.bigrams("\n\n".join(pieces[i:j + 1])).tolist())
+            dice, name = max((2 * len(own & set(b.tolist())) / (len(own) + len(b)), n) for n, b in zip(known.names, known.bigrams, strict=True))
+            if dice >= licenses.LIMIT:
+                best[name] = max(best.get(name, 0), dice)
+    got = {m[0]: m[1] for m in licenses.matches(text, known, licenses.LIMIT) if m[2] == "run"}
+    assert got == {n: pytest.approx(best[n]) for n in ("MIT", "AGPL-3.0")}
+
+
 def test_curve_visits_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)
