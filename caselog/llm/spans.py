@@ -1,7 +1,8 @@
 """Substring dedup by sliding spans of sentences.
 
 A span begins at every sentence and is the shortest run of consecutive sentences that has at
-least two of them and twelve words. Equal spans are found over the whole table by a 128-bit
+least two of them and twelve words. A sentence of ``LONG`` words is a span by itself as well,
+so it meets its copies between other neighbours. Equal spans are found over the whole table by a 128-bit
 hash; the first, by doc_id and place, is kept, and sentences covered by any other go.
 """
 
@@ -18,7 +19,7 @@ from xxhash import xxh3_128_digest
 
 from caselog.llm.common import in_workers, stored
 
-SENTENCES, WORDS = 2, 12
+SENTENCES, WORDS, LONG = 2, 12, 25
 #: A sentence ends at a line feed, or after ``.``, ``!`` or ``?`` that white space follows.
 _END = re.compile(r"(?<=[.!?])[^\S\n]+|\n+")
 
@@ -46,12 +47,16 @@ def _ends(text: str) -> Iterator[int]:
 
 def runs(found: list[tuple[int, int, bytes, int]], least: int, words: int) -> Iterator[tuple[int, int, bytes]]:
     """First sentence, number of sentences and hash of every span. A text with too few
-    sentences or words for any span is one span as a whole."""
+    sentences or words for any span is one span as a whole. A long sentence begins a longer
+    span too, for a short one behind it repeats with it alone."""
     n = len(found)
     counts = [s[3] for s in found]
     if n and (n < least or sum(counts) < words):
         yield 0, n, xxh3_128_digest(b"\0".join(s[2] for s in found))
         return
+    for begin in range(n if least > 1 else 0):
+        if counts[begin] >= LONG:
+            yield begin, 1, xxh3_128_digest(found[begin][2])
     end = total = 0
     for begin in range(n):
         while end < n and (end - begin < least or total < words):

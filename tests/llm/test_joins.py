@@ -219,6 +219,20 @@ def test_spans_of_repeats_and_nothing(spark):
     assert spans.cleaned(cases.empty(spark)).count() == 0
 
 
+def test_a_long_sentence_repeats_between_other_neighbours(spark):
+    long = " ".join(f"d{i}" for i in range(60)).capitalize() + "."
+    least = " ".join(f"e{i}" for i in range(spans.LONG)) + "."
+    less = " ".join(f"f{i}" for i in range(spans.LONG - 1)) + "."
+    rows = [(i, f"Own start number {i} of it.\n{long}\nOwn end number {i} of it.") for i in range(1, 5)]
+    rows += [(5, long), (6, long.upper()), (7, f"Begins seven. {long}"), (8, f"{long} Tail here. Ends eight."), (9, f"{long} Tail here. Ends nine.")]
+    rows += [(10, f"Ten. {least} And ten."), (11, f"Eleven. {least} And eleven."), (12, f"Twelve. {less} And twelve."), (13, f"Thirteen. {less} And thirteen.")]
+    got = {r["doc_id"]: r["text"] for r in spans.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and all(got[i] == f"Own start number {i} of it.\nOwn end number {i} of it." for i in range(2, 5))
+    # the short sentence behind it still goes with the span of two
+    assert [got[i] for i in range(5, 10)] == ["", "", "Begins seven. ", "Tail here. Ends eight.", "Ends nine."]
+    assert got[10] == rows[9][1] and got[11] == "Eleven. And eleven." and (got[12], got[13]) == (rows[11][1], rows[12][1])
+
+
 MESSAGES = [
     (1, 0, "user", "How do I sort a list?\n\nIt is long and I am new here."),
     (1, 1, "assistant", "On Monday Ann wrote:\n> How do I sort a list?\n\nUse sorted on the list you have."),
