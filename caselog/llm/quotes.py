@@ -1,9 +1,10 @@
 """Quotation linking: reply-ordered conversations without quotes.
 
 Quoted passages of a message (lines behind ``>`` marks, nested to any level) are normalised
-and hashed, and so are the own words of every message: the whole, its paragraphs and its
-lines. A passage is joined to the message whose own words it repeats, the nearest earlier one
-of the same conversation if there is one, else the first of all. The message of the best
+and hashed, and so are the own words of every message: the whole, its paragraphs, its lines
+and its sentences. A passage is joined to the message whose own words it repeats, the nearest
+earlier one of the same conversation if there is one, else the first of all; a quote of one
+or two words stays within its conversation. The message of the best
 passage of the outermost level is the parent; messages and parents form threads.
 """
 
@@ -23,7 +24,10 @@ from caselog.llm.common import PART, PLACE, ROW, in_workers, ordered, running, s
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _INTRO = re.compile(r"^.{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$", re.I)
 _BLANK = re.compile(r"\n\s*\n")
-#: Words from which a passage may be linked; shorter ones ("thanks") say nothing.
+#: A sentence may go on over line feeds, as quotes are wrapped anew.
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: Words from which a passage may be linked to other conversations; shorter ones ("thanks")
+#: say nothing there.
 LEAST_WORDS = 3
 
 
@@ -60,23 +64,27 @@ def own_words(text: str | None) -> str | None:
     return "\n\n".join(k for k in kept if k.strip()).strip()
 
 
-def passages(body: str) -> Iterator[tuple[int, bytes]]:
-    """Rank (0 the whole, 1 a paragraph, 2 a line) and hash of the passages of a body."""
+def passages(body: str, quoted: bool = False) -> Iterator[tuple[int, bool, bytes]]:
+    """Rank (0 the whole, 1 a paragraph, 2 a line, 3 a sentence), whether it is short, and
+    hash of the passages of a body. Of a quote only the whole may be short."""
     seen = set()
-    for rank, pieces in enumerate(([body], _BLANK.split(body), body.split("\n"))):
+    paragraphs = _BLANK.split(body)
+    sentences = [piece for p in paragraphs for piece in _SENTENCE.split(p)]
+    for rank, pieces in enumerate(([body], paragraphs, body.split("\n"), sentences)):
         for piece in pieces:
             words = piece.lower().split()
-            if len(words) < LEAST_WORDS:
+            short = len(words) < LEAST_WORDS
+            if not words or short and quoted and rank:
                 continue
             digest = xxh3_128_digest(" ".join(words).encode(errors="replace"))
             if digest not in seen:
                 seen.add(digest)
-                yield rank, digest
+                yield rank, short, digest
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (own words), and hashes: quoted and own passages."""
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("rank", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())]))
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("rank", pa.int32()), ("short", pa.bool_()), ("hi", pa.int64()), ("lo", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -89,9 +97,9 @@ def _parsed(messages: DataFrame) -> DataFrame:
                     bodies = [(0, own or ""), *((level, body) for level, body in levels(text) if level)]
                     found = []
                     for level, body in bodies:
-                        for rank, digest in passages(body):
+                        for rank, short, digest in passages(body, level > 0):
                             hi, lo = np.frombuffer(digest, np.int64).tolist()
-                            found.append({"level": level, "rank": rank, "hi": hi, "lo": lo})
+                            found.append({"level": level, "rank": rank, "short": short, "hi": hi, "lo": lo})
                     hashes.append(found)
                 yield pa.record_batch({
                     "conv_id": batch.column("conv_id"), "turn": batch.column("turn"), "role": batch.column("role"),
@@ -100,7 +108,7 @@ def _parsed(messages: DataFrame) -> DataFrame:
     slim = in_workers(messages).select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return slim.mapInArrow(run, "conv_id long, turn long, role string, text string, "
-                                "hashes array<struct<level: int, rank: int, hi: long, lo: long>>")
+                                "hashes array<struct<level: int, rank: int, short: boolean, hi: long, lo: long>>")
 
 
 def reply_links(parsed: DataFrame) -> DataFrame:
@@ -111,11 +119,12 @@ def reply_links(parsed: DataFrame) -> DataFrame:
     keep what a quote can reach, as minimum or running maximum, so that a passage which many
     messages share is never paired with all of them.
     """
-    every = parsed.select("key", "conv_id", F.explode("hashes").alias("h")).select("key", "conv_id", "h.*")
+    every = parsed.select("key", "conv_id", F.explode("hashes").alias("h")).select("key", "conv_id", "h.*").withColumn("within", F.when(F.col("short"), F.col("conv_id")))
     quoted = every.filter("level > 0")
-    wanted = quoted.select("hi", "lo").distinct()
-    own = every.filter("level = 0").select("key", "conv_id", "hi", "lo").join(wanted, ["hi", "lo"], "left_semi")
-    first = own.groupBy("hi", "lo").agg(F.min("key").alias("first"))
+    wanted = quoted.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("within").alias("_within")).distinct()
+    same = (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")) & F.col("within").eqNullSafe(F.col("_within"))
+    own = every.filter("level = 0").select("key", "conv_id", "short", "hi", "lo", "within").join(wanted, same, "left_semi")
+    first = own.filter("not short").groupBy("hi", "lo").agg(F.min("key").alias("first"))
     both = own.withColumn("source", F.col("key")).select("hi", "lo", "conv_id", "key", "source", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("rank")).unionByName(
         quoted.select("hi", "lo", "conv_id", "key", F.lit(None).cast("long").alias("source"), "level", "rank"))
     before = Window.partitionBy("conv_id", "hi", "lo").orderBy("key").rangeBetween(Window.unboundedPreceding, -1)

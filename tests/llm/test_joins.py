@@ -267,6 +267,19 @@ def test_quotes_link_messages_and_conversations(spark):
     assert quotes.conversations(messages.limit(0)).count() == 0
 
 
+def test_partial_rewrapped_and_short_quotes_link(spark):
+    long = "The first point is about cost. The second point is about the time it takes to do it. Is there a third?"
+    rows = [
+        (1, 0, long), (1, 1, "Yes."), (1, 2, "> Yes.\nGood."), (1, 3, "> The second point is about\n> the time it takes to do it.\nFair."),
+        (1, 4, "> > The first point is about cost. The second point\n> > is about the time it takes to do it.\nBoth."),
+        (2, 0, "> Yes.\nOther talk here."), (2, 1, "OK\nIt is a plan."), (2, 2, "> ok\nFine."),
+        (3, 0, "> The first point is about cost.\nFrom elsewhere."), (3, 1, "> Yes.\n> and words that nobody wrote\nHm."),
+        (None, 0, "No way."), (None, 1, "> No way.\nWay.")]
+    messages = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"]) for r in quotes.conversations(messages).collect() if r["reply_turn"] is not None}
+    assert got == {(1, 2): (1, 1), (1, 3): (1, 0), (1, 4): (1, 0), (2, 2): (2, 1), (3, 0): (1, 0), (None, 1): (None, 0)}
+
+
 def test_conversations_without_quotes_keep_their_turns(spark, sf):
     given = spark.read.parquet(f"{sf}/conversations.parquet")
     rows = queries.op2_quotation_linking(spark, sf).collect()
