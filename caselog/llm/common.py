@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 PLACE, PART, ROW = "_place", "_part", "_row"
 
+#: Bytes of an Arrow batch handed to a Python worker, where the session sets no other limit.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+#: What a Python worker keeps from task to task, by name, and how to drop it. The dropping
+#: function says whether there was anything.
+_caches: dict[str, Callable[[], bool]] = {}
+
+
+def worker_cache(name: str, drop: Callable[[], bool]) -> None:
+    _caches[name] = drop
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256, uses: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of at most ``rows``. A Python worker serves one stage after the
+    other: the caches that stages before it left there, all but the one it ``uses``, are
+    dropped first and their memory is given back."""
+    if any([drop() for name, drop in _caches.items() if name != uses]):
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -22,11 +52,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def in_workers(df: DataFrame) -> DataFrame:
     """The same rows; Python workers started from here on find this package wherever the
-    session began. On a cluster the package is shipped with --py-files."""
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+    session began. On a cluster the package is shipped with --py-files. Batches of texts are
+    bounded by bytes as well as by rows."""
+    spark = df.sparkSession
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+    if _BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     return df
 
 
+def internal(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of ours that no column of the frame has, by any case."""
+    taken = {c.lower() for c in df.columns}
+    tail = next(i for i in range(len(taken) + 1) if not any(f"_{name}_{i}" in taken for name in names))
+    return [f"_{name}_{tail}" for name in names]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselog.llm.common import in_workers, stored
+from caselog.llm.common import in_workers, internal, sliced, stored
 from caselog.llm.shingles import run_hashes, word_hashes
 
 WINDOW, SHINGLE = 13, 5
@@ -49,7 +49,7 @@ def windows(items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> Dat
     An item of fewer words than a window is one window, an item without words none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, uses="word hashes"):
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = words(text)
                 n = min(size, len(found))
@@ -103,7 +103,7 @@ def _scan(docs: DataFrame, bitmap: np.ndarray, shortest: dict[int, int]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
+        for batch in sliced(batches, 1024, uses="word hashes"):
             counts, runs = [], []
             for text in batch.column("text"):
                 found = words(text.as_py())
@@ -167,8 +167,9 @@ def report(found: Found) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, all their columns."""
+    """The documents that are not contaminated, all their columns, whatever their names."""
+    found_id, found_hash = internal(docs, "doc_id", "text_hash")
     bad = report(find(docs, items)).filter("contaminated").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+        F.col("doc_id").alias(found_id), F.col("text_hash").alias(found_hash)).distinct()
+    same = (F.xxhash64("text") == F.col(found_hash)) & F.col("doc_id").eqNullSafe(F.col(found_id))
     return docs.join(bad, same, "left_anti")

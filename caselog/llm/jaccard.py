@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselog.llm.common import in_workers, stored
+from caselog.llm.common import in_workers, internal, sliced, stored
 from caselog.llm.components import components
 from caselog.llm.shingles import run_hashes, word_hashes
 
@@ -174,16 +174,14 @@ def describe(docs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("band", pa.int32()), ("segment", pa.int32()), ("kind", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                sets = [shingle_set(t.as_py()) for t in batch.column("text")]
-                profiles = [profile(s) for s in sets]
-                yield pa.record_batch({
-                    "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
-                    "n_shingles": pa.array(map(len, sets), pa.int64()), "node": pa.array(map(set_hash, sets), pa.int64()),
-                    "sketch": pa.array(map(sketch, sets), pa.binary()), "segments": pa.array([p[0] for p in profiles], pa.int64()),
-                    "wanted": pa.array([[dict(zip(("band", "segment", "kind"), w, strict=True)) for w in p[1]] for p in profiles], kind)})
+        for batch in sliced(batches, uses="word hashes"):
+            sets = [shingle_set(t.as_py()) for t in batch.column("text")]
+            profiles = [profile(s) for s in sets]
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
+                "n_shingles": pa.array(map(len, sets), pa.int64()), "node": pa.array(map(set_hash, sets), pa.int64()),
+                "sketch": pa.array(map(sketch, sets), pa.binary()), "segments": pa.array([p[0] for p in profiles], pa.int64()),
+                "wanted": pa.array([[dict(zip(("band", "segment", "kind"), w, strict=True)) for w in p[1]] for p in profiles], kind)})
 
     return keyed(docs).mapInArrow(
         run, "doc_id long, text_hash long, n_shingles long, node long, sketch binary, segments long, "
@@ -196,21 +194,28 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, asked: dict[int, dict[int, set[int]]]) -> DataFrame:
-    """key, node, hold: 17 bytes a signature."""
+    """key, node, hold: 17 bytes a signature. A task sends a set once, however many of its
+    rows have it, so a key has at most a row for each task and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                keys, nodes, holds = [], [], []
-                for text in whole.slice(at, 128).column("text"):
-                    elements = shingle_set(text.as_py())
-                    key, hold = signatures(elements, asked)
-                    keys.append(key)
-                    holds.append(hold)
-                    nodes.append(np.full(len(key), set_hash(elements), np.int64))
-                yield pa.record_batch({
-                    "key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(nodes)),
-                    "hold": pa.array(np.concatenate(holds))})
+        sent: set[int] = set()
+        for batch in sliced(batches, 128, uses="word hashes"):
+            keys, nodes, holds = [], [], []
+            for text in batch.column("text"):
+                elements = shingle_set(text.as_py())
+                node = set_hash(elements)
+                if node in sent:
+                    continue
+                sent.add(node)
+                key, hold = signatures(elements, asked)
+                keys.append(key)
+                holds.append(hold)
+                nodes.append(np.full(len(key), node, np.int64))
+            if not keys:
+                continue
+            yield pa.record_batch({
+                "key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(nodes)),
+                "hold": pa.array(np.concatenate(holds))})
 
     return keyed(docs).select("text").mapInArrow(run, "key long, node long, hold byte")
 
@@ -259,11 +264,9 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                sets = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
-                yield pa.record_batch({"node": batch.column("node"), "elements": pa.array(sets, pa.binary())})
+        for batch in sliced(batches, uses="word hashes"):
+            sets = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.record_batch({"node": batch.column("node"), "elements": pa.array(sets, pa.binary())})
 
     texts = keyed(docs).mapInArrow(run, "doc_id long, text_hash long, text string")
     key = chosen.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
@@ -376,11 +379,10 @@ def links(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("segments").alias("segments"),
         F.min(F.struct("doc_id", "text_hash")).alias("row"))
     per_key = Window.partitionBy("key")
-    keys = _signatures(docs, _asked(described)).select(
-        "key", "node", "hold", F.min("node").over(per_key).alias("lo"), F.max("node").over(per_key).alias("hi"),
-        F.count("*").over(per_key).alias("shared_by"))
-    keys = keys.filter("lo < hi").groupBy("key", "node").agg(
-        F.max("hold").alias("hold"), F.min("shared_by").alias("shared_by"))
+    # one row per key and set: the partitioning by key serves the aggregate and the window
+    distinct = _signatures(docs, _asked(described)).repartition("key").groupBy("key", "node").agg(F.max("hold").alias("hold"))
+    keys = distinct.select(
+        "key", "node", "hold", F.count("*").over(per_key).alias("shared_by")).filter("shared_by > 1")
     keys = stored(_allocated(stored(keys, "shared-keys"), nodes), "keys")
     chosen = keys.select("node").distinct()
     nodes = stored(nodes.join(chosen, "node"), "nodes")
@@ -394,6 +396,15 @@ def links(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, components(found, "components")
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, label (its component; null without words) of each row."""
+    described = stored(describe(docs), "shingle-sets")
+    _, labels = links(docs, described)
+    member = described.select("doc_id", "text_hash", "n_shingles", "node").join(labels, "node", "left")
+    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))
+    return member.select("doc_id", "text_hash", "n_shingles", own.alias("label"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
@@ -402,12 +413,7 @@ def groups(docs: DataFrame) -> DataFrame:
     smallest doc_id of all rows reachable by links; null where these have no id. Rows that
     repeat are members like others. An empty table gives no rows.
     """
-    described = stored(describe(docs), "shingle-sets")
-    _, labels = links(docs, described)
-    member = described.select("doc_id", "text_hash", "n_shingles", "node").join(labels, "node", "left")
-    # a document without words is a component of its own
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))
-    member = member.withColumn("label", own)
+    member = _labelled(docs)
     smallest = member.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
     out = member.join(smallest, "label", "left")
     return out.select(
@@ -416,10 +422,17 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the smallest doc_id, with all its columns;
-    documents without words stay. Rows that repeat id and text are one document."""
-    keep = groups(docs).filter("doc_id is not distinct from component_id or n_shingles = 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return hashed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    """One document of each component with all its columns, whatever their names.
+
+    That of the smallest doc_id stays, a null id only where no other is; of rows with one id
+    that of the smallest hash of the text. Documents without words stay. Rows that repeat id
+    and text are one document."""
+    kept_id, kept_hash, text_hash = internal(docs, "doc_id", "kept_hash", "text_hash")
+    member = _labelled(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    keep = member.filter("label is not null").groupBy("label").agg(first).select("first.doc_id", "first.text_hash").union(
+        member.filter("label is null").select("doc_id", "text_hash"))
+    keep = keep.select(F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)).distinct()
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    same = (F.col(text_hash) == F.col(kept_hash)) & F.col("doc_id").eqNullSafe(F.col(kept_id))
+    return hashed.join(keep, same, "left_semi").dropDuplicates(["doc_id", text_hash]).drop(text_hash)

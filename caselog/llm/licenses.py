@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselog.llm.common import in_workers
+from caselog.llm.common import in_workers, sliced
 from caselog.llm.decontaminate import words
 from caselog.llm.shingles import run_hashes, word_hashes
 
@@ -231,7 +231,7 @@ def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, limit:
     kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("part", pa.string()), ("number", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, uses="word hashes"):
             found = [matches(t.as_py(), known.value, limit) for t in batch.column("text")]
             best = [min(f, key=lambda m: (-m[1], m[0])) if f else (None, 0.0) for f in found]
             yield pa.record_batch({

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselog.llm.common import PLACE, WORD, ordered, running, stored
+from caselog.llm.common import PLACE, WORD, internal, ordered, running, stored
 
 #: The points: i * STEP mod PERIOD, STEP being the odd number next to PERIOD / golden ratio.
 PERIOD, STEP = 1 << 31, 1327217885
@@ -157,12 +157,15 @@ def applied(docs: DataFrame, mixed: Mix) -> DataFrame:
     Rows equal in id, source and text take their other columns from one of them.
     """
     taken_words = mixed.rows.groupBy("key", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_words"))
-    passes = taken_words.join(mixed.documents.select(
-        "key", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), F.col("size").alias("_size")), "key").select("_id", "_hash", "_source", "_size", "_words")
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash", "source"])
-    same = (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    found_id, found_hash, found_source, size, words, text_hash = internal(
+        docs, "doc_id", "found_hash", "source", "size", "words", "text_hash")
+    passes = taken_words.join(mixed.documents, "key").select(
+        F.col("doc_id").alias(found_id), F.col("text_hash").alias(found_hash), F.col("source").alias(found_source),
+        F.col("size").alias(size), F.col("_words").alias(words))
+    hashed = docs.withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash, "source"])
+    same = (F.col(text_hash) == F.col(found_hash)) & F.col("doc_id").eqNullSafe(F.col(found_id)) & F.col("source").eqNullSafe(F.col(found_source))
     head = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
     rest = F.split(F.substring("text", F.length(head) + 1, F.length("text")), _BEFORE_WORDS)
-    cut = F.concat(head, F.array_join(F.slice(rest, 1, F.col("_words")), ""))
-    out = hashed.join(passes, same).withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(cut))
+    cut = F.concat(head, F.array_join(F.slice(rest, 1, F.col(words)), ""))
+    out = hashed.join(passes, same).withColumn("text", F.when(F.col(words) == F.col(size), F.col("text")).otherwise(cut))
     return out.select(*docs.columns)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselog.llm.common import in_workers
+from caselog.llm.common import in_workers, sliced
 from caselog.llm.shingles import word_hashes
 
 PASSAGE = 128
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> Mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for batch in batches:
+        for batch in sliced(batches, uses="word hashes"):
             rows = [b.ravel() for b in describe(batch.column("text").to_pylist(), words)]
             yield pa.record_batch({"id": batch.column("id"), "quality": batch.column("quality"), "rows": pa.array(rows, pa.list_(pa.float32()))})
 
@@ -206,22 +206,20 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                if len(words.numbers) > CACHE_WORDS:
-                    words = _Words()
-                bags = describe(batch.column("text").to_pylist(), words)
-                sizes = np.array([len(b) for b in bags])
-                starts = np.cumsum(sizes) - sizes
-                if shared.value is None:
-                    score, top = np.full(len(bags), 0.5), np.zeros(len(bags), np.int64)
-                else:
-                    f = _forward(shared.value, np.concatenate(bags), starts)
-                    score, top = f["score"], np.array([f["weight"][s:s + n].argmax() for s, n in zip(starts, sizes, strict=True)])
-                yield pa.record_batch({
-                    "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(score),
-                    "n_passages": pa.array(sizes), "top_passage": pa.array(top)})
+        for batch in sliced(batches, uses="word hashes"):
+            if len(words.numbers) > CACHE_WORDS:
+                words = _Words()
+            bags = describe(batch.column("text").to_pylist(), words)
+            sizes = np.array([len(b) for b in bags])
+            starts = np.cumsum(sizes) - sizes
+            if shared.value is None:
+                score, top = np.full(len(bags), 0.5), np.zeros(len(bags), np.int64)
+            else:
+                f = _forward(shared.value, np.concatenate(bags), starts)
+                score, top = f["score"], np.array([f["weight"][s:s + n].argmax() for s, n in zip(starts, sizes, strict=True)])
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(score),
+                "n_passages": pa.array(sizes), "top_passage": pa.array(top)})
 
     slim = in_workers(docs).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselog.llm.common import in_workers, partitions, stored
+from caselog.llm.common import in_workers, partitions, sliced, stored
 from caselog.llm.decontaminate import words as letter_words
 
 #: Words from which a language's histograms are stable: references of this many words of
@@ -139,7 +139,7 @@ def _gather(docs: DataFrame, per_batch, schema: str) -> DataFrame:
     """Rows of ``per_batch(language, texts)``, if any, for the languages of every batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             by_language: dict[str, list[str]] = {}
             for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if language is not None and text:
@@ -300,20 +300,18 @@ def _scored(docs: DataFrame, known: dict[str, Reference], prefix: str, again: bo
     kinds = list(SCORES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                rows = []
-                for t, language in zip(batch.column(text).to_pylist(), batch.column(lang).to_pylist(), strict=True):
-                    base = base_counts(t)
-                    name, by_class, by_word, near = divergence(t, language, shared.value)
-                    rows.append((*base, base.failed, near and not base.failed, name, by_class, by_word))
-                if again:
-                    before = zip(*(batch.column(name).to_pylist() for name in added_names), strict=True)
-                    rows = [_nearer(old, new) for old, new in zip(before, rows, strict=True)]
-                columns = zip(*rows, strict=True) if rows else [()] * len(SCORES)
-                added = [pa.array(c, kind) for c, kind in zip(columns, SCORES.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *added], names=[*own, *added_names])
+        for batch in sliced(batches):
+            rows = []
+            for t, language in zip(batch.column(text).to_pylist(), batch.column(lang).to_pylist(), strict=True):
+                base = base_counts(t)
+                name, by_class, by_word, near = divergence(t, language, shared.value)
+                rows.append((*base, base.failed, near and not base.failed, name, by_class, by_word))
+            if again:
+                before = zip(*(batch.column(name).to_pylist() for name in added_names), strict=True)
+                rows = [_nearer(old, new) for old, new in zip(before, rows, strict=True)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(SCORES)
+            added = [pa.array(c, kind) for c, kind in zip(columns, SCORES.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *added], names=[*own, *added_names])
 
     def _nearer(old: tuple, new: tuple) -> tuple:
         name, by_class, by_word = (kinds.index(k) for k in ("reference", "character_distance", "word_distance"))

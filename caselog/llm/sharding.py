@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselog.llm.common import PART, ROW, in_workers, ordered, running
+from caselog.llm.common import PART, ROW, in_workers, internal, ordered, running, stored
 
 
 def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -106,17 +106,22 @@ def shards(
 
 def document_shards(docs: DataFrame, n_shards: int = 24) -> DataFrame:
     """Documents sharded by source, language, length and id; texts are read once for their
-    size and checksum. Null texts have 8 bytes and the checksum of the empty text."""
+    size and checksum, which are stored before the cuts and ends are taken from them. Null texts have 8 bytes and the checksum of the empty text."""
     slim = docs.select(
         "doc_id", "source", "lang", F.coalesce(F.octet_length("text").cast("long"), F.lit(0)).alias("_n"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     ).withColumn("size", F.col("_n") + 8)
-    return shards(slim, F.col("size"), magnitudes=("_n",), n_shards=n_shards)
+    return shards(stored(slim, "shard-metadata"), F.col("size"), magnitudes=("_n",), n_shards=n_shards)
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 24) -> None:
-    """Writes whole documents, one folder a shard and rows in curve order, as Parquet."""
+def write_shards(docs: DataFrame, path: str, n_shards: int = 24) -> str:
+    """Writes whole documents, one folder a shard and rows in curve order, as Parquet. Returns
+    the name of the shard in the folders: ``shard``, or another if documents have such a
+    column. A document travels as one value, so its own columns may have any names."""
     size = F.coalesce(F.octet_length("text").cast("long"), F.lit(0)) + 8
-    placed = shards(docs, size, n_shards=n_shards)
+    whole = docs.select(F.struct("*").alias("document"), "doc_id", "source", "lang", size.alias("size"))
+    placed = shards(whole, F.col("size"), n_shards=n_shards)
+    folder = "shard" if "shard" not in {c.lower() for c in docs.columns} else internal(docs, "shard")[0]
     (placed.repartitionByRange(n_shards, "shard", "slot").sortWithinPartitions("shard", "slot")
-     .drop("curve").write.partitionBy("shard").parquet(path))
+     .select("document.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path))
+    return folder

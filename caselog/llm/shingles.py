@@ -7,8 +7,10 @@ from functools import lru_cache
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
-#: Words whose hash a worker keeps before it starts anew (about 50 MB).
-CACHE_WORDS = 300_000
+from caselog.llm.common import worker_cache
+
+#: Words whose hash a worker keeps before it starts anew (about 17 MB).
+CACHE_WORDS = 100_000
 
 
 class _Hashes(dict):
@@ -20,6 +22,15 @@ class _Hashes(dict):
 _known = _Hashes()
 
 
+def _drop() -> bool:
+    some = bool(_known)
+    _known.clear()
+    return some
+
+
+worker_cache("word hashes", _drop)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_known) > CACHE_WORDS:
         _known.clear()

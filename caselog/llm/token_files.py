@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caselog.llm.common import in_workers, partitions
+from caselog.llm.common import in_workers, partitions, sliced, worker_cache
 from caselog.session import scratch_path
 
-#: Pieces whose ids a worker keeps before it starts anew (about 200 MB).
-CACHE_WORDS = 700_000
+#: Pieces whose ids a worker keeps before it starts anew (about 60 MB).
+CACHE_WORDS = 200_000
 _LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*\"()-]*)")
 #: Byte-level tokenizers write a byte as the character of its number if that is printable in
 #: Latin-1, and as the next free one from 256 on otherwise.
@@ -132,6 +132,15 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def _drop() -> bool:
+    some = bool(_encoders)
+    _encoders.clear()
+    return some
+
+
+worker_cache("token pieces", _drop)
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder, kept from task to task."""
     if path not in _encoders:
@@ -145,20 +154,18 @@ def _records(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, seen = encoder(tokenizer), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                size = batch.num_rows
-                ids = [x.tobytes() for x in code.batch(batch.column("text").to_pylist())]
-                index = np.zeros(size, np.dtype([("doc_id", "<i8"), ("n", "<i8")]))
-                index["doc_id"] = batch.column("doc_id").fill_null(0)
-                n = np.array([len(x) // code.width + 1 for x in ids], np.int64)
-                index["n"] = np.where(batch.column("doc_id").is_null(), -n, n)
-                raw, place = index.tobytes(), pa.array(np.arange(seen, seen + size))
-                seen += size
-                for kind, values in (("index", [raw[i * 16:i * 16 + 16] for i in range(size)]), ("tokens", ids)):
-                    yield pa.record_batch({
-                        "kind": pa.array([kind] * size), "place": place, "value": pa.array(values, pa.binary())})
+        for batch in sliced(batches, uses="token pieces"):
+            size = batch.num_rows
+            ids = [x.tobytes() for x in code.batch(batch.column("text").to_pylist())]
+            index = np.zeros(size, np.dtype([("doc_id", "<i8"), ("n", "<i8")]))
+            index["doc_id"] = batch.column("doc_id").fill_null(0)
+            n = np.array([len(x) // code.width + 1 for x in ids], np.int64)
+            index["n"] = np.where(batch.column("doc_id").is_null(), -n, n)
+            raw, place = index.tobytes(), pa.array(np.arange(seen, seen + size))
+            seen += size
+            for kind, values in (("index", [raw[i * 16:i * 16 + 16] for i in range(size)]), ("tokens", ids)):
+                yield pa.record_batch({
+                    "kind": pa.array([kind] * size), "place": place, "value": pa.array(values, pa.binary())})
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind string, place long, value binary")
 

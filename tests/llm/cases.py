@@ -12,7 +12,8 @@ WS = r"[^\x20\x09-\x0D]+"
 LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, to clash with.
-CLASHES = ("key", "node", "size", "slot", "shard", "kept", "n_words", "text_hash", "_text_hash", "words", "score", "start", "ids")
+CLASHES = ("key", "node", "size", "slot", "shard", "kept", "n_words", "text_hash", "_text_hash", "words", "score", "start", "ids", "_id",
+           "_hash", "_source", "_size", "_words", "curve", "_text_hash_0", "document", "label", "first", "component", "_bytes")
 
 
 def words(n: int, seed: int = 0, kinds: int = 400) -> list[str]:
