@@ -76,6 +76,46 @@ taken AS (
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM streams LEFT JOIN taken USING (doc_id)
 """
 
+#: Remainders of the CRC-32 polynomial for each byte, by eight halvings.
+_HALF = "n"
+for _ in range(8):
+    _HALF = f"CASE WHEN ({_HALF}) & 1 = 1 THEN xor(3988292384, ({_HALF}) >> 1) ELSE ({_HALF}) >> 1 END" if _HALF == "n" else (
+        f"list_transform([{_HALF}], m -> CASE WHEN m & 1 = 1 THEN xor(3988292384, m >> 1) ELSE m >> 1 END)[1]")
+
+#: Rebuilt conversations as lists of turns; nodes are distinct list prefixes; a subtree's sum
+#: is taken over the prefixes of each node's smallest member.
+OP11 = f"""
+WITH byte_sums AS (SELECT list_transform(range(256), n -> {_HALF}) AS remainders),
+t AS (
+  SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(0) || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS first_id, xor(list_reduce(
+    list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), d -> CAST(ascii(d) AS BIGINT))),
+    (s, b) -> xor(s >> 8, remainders[(xor(s, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), byte_sums),
+r AS (
+  SELECT c.conv_id, 0 AS part, t.pos, t.x FROM c JOIN t ON t.conv_id = c.first_id AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.pos, t.x FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+seqs AS (
+  SELECT c.conv_id, coalesce(list(r.x ORDER BY r.part, r.pos) FILTER (r.x IS NOT NULL), []) AS seq FROM c LEFT JOIN r USING (conv_id) GROUP BY ALL),
+occ AS (SELECT conv_id, d AS depth, list_slice(seq, 1, d) AS k, len(seq) AS n FROM seqs, range(len(seq) + 1) g(d)),
+nodes AS (
+  SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256
+  FROM occ GROUP BY k, depth),
+kids AS (SELECT list_slice(k, 1, depth - 1) AS k, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+own AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(k[-1].t) END AS saved
+  FROM nodes LEFT JOIN kids USING (k, depth)),
+sums AS (
+  SELECT o.k, o.depth, count(*) FILTER (own.n_children = 0) AS n_leaves, sum(own.saved) AS saved
+  FROM own JOIN occ o ON o.conv_id = own.conv_id AND o.depth <= own.depth GROUP BY ALL)
+SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, CAST(own.n_children AS BIGINT) AS n_children, sums.n_leaves,
+  CAST(sums.saved AS BIGINT) AS saved_tokens, own.ends_sha256
+FROM own JOIN sums USING (k, depth) LEFT JOIN nodes up ON up.depth = own.depth - 1 AND up.k = list_slice(own.k, 1, own.depth - 1)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7, "op9_mixing": OP9}
+    return {"op7_decontamination": OP7, "op9_mixing": OP9, "op11_conversation_trie": OP11}

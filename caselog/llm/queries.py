@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselog.llm import decontaminate, jaccard, licenses, mixing, passages, quality, quotes, sharding, spans, token_files
-from caselog.llm.common import documents
+from caselog.llm import alignment, decontaminate, jaccard, licenses, mixing, passages, quality, quotes, sharding, spans, suffixes, token_files, tries
+from caselog.llm.common import documents, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,5 +65,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(tries.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "conversation-turns")
+    return tries.trie(*tries.spliced(turns))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cleaned(documents(spark, sf_dir)).drop("kept")
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
