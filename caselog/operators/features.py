@@ -11,6 +11,7 @@ from caselog.functions import expressions as E
 from caselog.functions import validation as check
 from caselog.operators import ordered, quantiles
 from caselog.plans import views
+from caselog.session import staged
 
 # Feature columns, by origin and kind.
 REAL_NUMERIC = ("requested_amount", "submission_hour", "submission_day_of_week", "submission_month")
@@ -126,12 +127,22 @@ def dataset_mean_days(df: DataFrame) -> float | None:
     return row[0]
 
 
+def _mean_days(spans: DataFrame) -> float | None:
+    n = F.when(F.col("micros").isNotNull(), F.col("n"))
+    total = F.sum(F.col("micros").cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)"))
+    return spans.agg(E.mean(total, F.sum(n)) / E.MICROS_PER_DAY).first()[0]
+
+
 def prepare(df: DataFrame, threshold: float | None = None) -> DataFrame:
     """Id, features and targets of a training set. A comparison with a missing duration
     is not a breach; the threshold defaults to the mean of the dataset."""
+    # one pass over the rows: distinct spans with their numbers, which are counted from then on
+    spans = staged(
+        df.groupBy("processing_days", E.elapsed_micros(F.col("first_event_time"), F.col("last_event_time")).alias("micros"))
+        .agg(F.count(F.lit(1)).alias("n")), "durations")
     if threshold is None:
-        threshold = dataset_mean_days(df)
-    median = quantiles.exact_quantile(df, "processing_days")
+        threshold = _mean_days(spans)
+    median = quantiles.exact_quantiles(spans, "processing_days", [0.5], weight="n")[0]
     days = F.col("processing_days")
     breach = lambda test: F.coalesce(test, F.lit(False)).cast("int")
     typed = _typed(df.withColumns(submission_parts(F.col("first_event_time"))))
@@ -147,11 +158,15 @@ def prepare(df: DataFrame, threshold: float | None = None) -> DataFrame:
     return result
 
 
+def _seeded_hash(key: str, seed: int) -> Column:
+    """60 bits that order the rows of a label at random, the same for any partitioning."""
+    return E.hash_slice(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256), 1, 15)
+
+
 def _shuffled_rank(df: DataFrame, label: str, key: str, seed: int, hot_rows: int | None) -> DataFrame:
     """Position of each row within its label in the order of a seeded hash. Labels are two
     groups holding everything, so positions come from the skew-aware operator."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key)), 256)
-    hashed = df.withColumn("_h", E.hash_slice(digest, 1, 15))
+    hashed = df.withColumn("_h", _seeded_hash(key, seed))
     return ordered.neighbours(hashed, [label], ["_h", key], position="_nth", hot_rows=hot_rows).drop("_h")
 
 
@@ -160,14 +175,28 @@ def stratified_split(
     hot_rows: int | None = ordered.HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Train and test parts with the same label shares; the same seed gives the same parts
-    for any partitioning."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = _shuffled_rank(df, label, key, seed, hot_rows).alias("r").join(
-        F.broadcast(sizes.alias("s")), F.col(f"r.{label}").eqNullSafe(F.col(f"s.{label}"))
-    ).select("r.*", "_size")
-    is_test = F.col("_nth") <= F.round(F.col("_size") * test_share)
-    part = lambda test: ranked.where(test).select(*df.columns)
-    return part(~is_test), part(is_test)
+    for any partitioning.
+
+    The test part of a label are the rows up to a threshold of their seeded hash, which a
+    selection over label and hash finds, so that the rows themselves are filtered where they
+    are. Only where rows tie at the threshold and not all of them belong to the test part are
+    they ranked by key, in slices if there are more than ``hot_rows``."""
+    hashes = staged(df.select(F.col(label).alias("_label"), _seeded_hash(key, seed).alias("key")), "split-hashes")
+    wanted = hashes.groupBy("_label").agg(F.round(F.count(F.lit(1)) * test_share).cast("long").alias("rank"))
+    limits = quantiles.select_per_group(hashes, "_label", wanted.where("rank > 0")).select(
+        "_label", F.col("key").alias("_limit"), (F.col("rank") - F.col("below")).alias("_take"), (F.col("ties") > F.col("rank") - F.col("below")).alias("_split"))
+    limits = staged(limits, "split-limits")
+    hashed = df.withColumn("_h", _seeded_hash(key, seed))
+    below = (F.col("_h") < F.col("_limit")) | (~F.col("_split") & (F.col("_h") == F.col("_limit")))
+    met = hashed.join(limits, hashed[label].eqNullSafe(limits["_label"]), "left").withColumn(
+        "_test", F.coalesce(below, F.lit(False)))  # a label without a limit has no test rows
+    part = lambda test: met.where(test).select(*df.columns)
+    if limits.where("_split").isEmpty():
+        return part(~F.col("_test")), part(F.col("_test"))
+    at_limit = F.coalesce(F.col("_split") & (F.col("_h") == F.col("_limit")), F.lit(False))
+    ranked = ordered.neighbours(met.where(at_limit), [label], ["_h", key], position="_nth", hot_rows=hot_rows)
+    chosen = lambda first: ranked.where(F.col("_nth") <= F.col("_take") if first else F.col("_nth") > F.col("_take")).select(*df.columns)
+    return (part(~F.col("_test") & ~at_limit).unionByName(chosen(False)), part(F.col("_test")).unionByName(chosen(True)))
 
 
 def with_folds(

@@ -6,6 +6,7 @@ last-wins choices between traces need a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,9 +112,10 @@ def case_rollup(events: DataFrame) -> DataFrame:
     )
 
 
-def new_events(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming events whose id is not stored yet (a repeated load adds nothing)."""
-    return incoming.join(existing.select("event_id"), "event_id", "left_anti")
+def new_events(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("event_id",)) -> DataFrame:
+    """Incoming events whose id is not stored yet (a repeated load adds nothing). Of the
+    stored ones only the keys are read; a bucket among them prunes what is read."""
+    return incoming.join(existing.select(*keys), list(keys), "left_anti")
 
 
 def merge_cases(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselog.operators import ordered
-from caselog.session import scratch_path
+from caselog.session import scratch_path, staged
 from caselog.sources import xes
 from caselog.sources.paths import delete
 
 EXAMPLES_PER_RULE = 20
+#: Rows of a key that one task may meet, and the number of keys above it that may be broadcast.
+HEAVY_ROWS, HEAVY_KEYS = 1_000_000, 100_000
 MISSING = "<missing>"
 
 # Rule, severity, whether it quarantines the trace (fixed values), and what it asks for.
@@ -45,6 +47,9 @@ DATASET_RULES = tuple(rule for rule, severity, _, _ in CATALOG if severity == "i
 #: The rules that look at one event alone, in the order in which they are tested.
 ROW_RULES = ("orphan_event", "missing_event_id", "missing_activity", "missing_timestamp", "invalid_timestamp")
 
+#: All rules that read events.
+EVENT_RULES = (*ROW_RULES, "duplicate_event_id", "non_monotonic_event_time")
+
 TRACE = ("source_file", "trace_pos")
 EVENT = ("source_file", "trace_pos", "event_pos")
 ISSUE_COLUMNS = ("rule", "severity", "document_id", "detail", "source_file", "trace_pos", "event_pos")
@@ -70,20 +75,31 @@ def _exploded(rows: DataFrame, tests: list[tuple[Column, Column]]) -> DataFrame:
     ).select("document_id", "source_file", "trace_pos", "event_pos", "i.rule", "i.detail")
 
 
-def _repeats(rows: DataFrame, key: str, position: tuple[str, ...]) -> DataFrame:
+def _repeats(rows: DataFrame, key: str, position: tuple[str, ...], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Rows whose key occurs at an earlier position.
 
-    One aggregate finds the keys that repeat and their first position; it merges map-side,
-    so a key that fills the log is a row per task. One join meets them with the rows again;
-    one side has a row per key and nothing above needs a key's rows together, so adaptive
-    execution splits a key that is too large for a task, whatever the number of keys."""
+    One aggregate finds the keys that repeat, how often, and their first position; it merges
+    map-side, so a key that fills the log is a row per task. It is stored, and tells heavy keys
+    from the others. Rows of the others meet their key's first position by a join on the key.
+    A heavy key has more than ``heavy_rows`` rows and more than a ``HEAVY_KEYS``-th of all, so
+    there are fewer than ``HEAVY_KEYS``: their rows get a salt, the first position is
+    replicated to each salt of its key, and they meet on both."""
     rows = rows.where(F.col(key) != "")
     at = F.struct(*position)
-    firsts = (
-        rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first")).where(F.col("_n") > 1)
-        .select(key, "_first")
-    )
-    return rows.join(firsts, key).where(at > F.col("_first")).drop("_first")
+    firsts = staged(
+        rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first")).where(F.col("_n") > 1), "repeated-keys")
+    repeated = firsts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.max("_n"), F.lit(0)).alias("most")).first()
+    later = lambda met: met.where(at > F.col("_first")).select(*rows.columns)
+    limit = max(heavy_rows, repeated.rows // HEAVY_KEYS)
+    if repeated.most <= limit:
+        return later(rows.join(firsts, key))
+    is_heavy = F.col("_n") > limit
+    heavy = firsts.where(is_heavy).withColumn("_salts", F.ceil(F.col("_n") / limit).cast("int"))
+    salted = rows.join(F.broadcast(heavy.select(key, "_salts")), key).withColumn(
+        "_salt", F.pmod(F.xxhash64(*position), F.col("_salts")).cast("int"))
+    replicated = heavy.select(key, "_first", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return later(others.join(firsts.where(~is_heavy), key)).unionByName(later(salted.join(replicated, [key, "_salt"])))
 
 
 def _backwards(events: DataFrame, hot_rows: int | None) -> DataFrame:
@@ -98,10 +114,11 @@ def _backwards(events: DataFrame, hot_rows: int | None) -> DataFrame:
 
 def audit(
     traces: DataFrame, events: DataFrame, hot_rows: int | None = ordered.HOT_ROWS,
-    rules: Sequence[str] | None = None,
+    rules: Sequence[str] | None = None, heavy_rows: int = HEAVY_ROWS, stored: bool = False,
 ) -> DataFrame:
     """Every issue as a row; of ``rules`` only, if given, and then nothing is computed for
-    the others.
+    the others. The rules read the events several times: they are stored as narrow rows
+    first, unless the caller says that they come from storage.
 
     ``traces`` needs source_file, trace_pos, document_id; ``events`` adds event_pos,
     event_id, activity, raw_time.
@@ -116,6 +133,8 @@ def audit(
         xes.strip(F.col("event_id")).alias("event_id"), "activity",
         xes.strip(F.col("raw_time")).alias("raw_time"),
     ).withColumn("_time", xes.parse_time(F.col("raw_time")))
+    if asked(*EVENT_RULES) and not stored:
+        e = staged(e, "audited-events")
     no_name = F.col("document_id") == ""
     tests = [
         (no_name, _issue("orphan_event", "Event belongs to a trace without an identifier.")),
@@ -130,13 +149,13 @@ def audit(
     if asked("missing_document_id"):
         parts.append(_exploded(t, [(no_name, _issue("missing_document_id", "Trace concept:name is blank."))]))
     if asked("duplicate_document"):
-        parts.append(_repeats(t, "document_id", TRACE).select(
+        parts.append(_repeats(t, "document_id", TRACE, heavy_rows).select(
             "document_id", *EVENT, F.lit("duplicate_document").alias("rule"),
             F.lit("Trace concept:name repeats.").alias("detail")))
     if on_rows:
         parts.append(_exploded(e, on_rows))
     if asked("duplicate_event_id"):
-        parts.append(_repeats(e, "event_id", EVENT).select(
+        parts.append(_repeats(e, "event_id", EVENT, heavy_rows).select(
             "document_id", *EVENT, F.lit("duplicate_event_id").alias("rule"),
             F.concat(F.lit("Repeated EventID: "), F.col("event_id")).alias("detail")))
     if asked("non_monotonic_event_time"):
@@ -250,7 +269,7 @@ def run(
         traces.select(*TRACE, "document_id").write.parquet(f"{staged}/traces")
         events.select(*EVENT, "document_id", "event_id", "activity", "raw_time").write.parquet(f"{staged}/events")
         t, e = spark.read.parquet(f"{staged}/traces"), spark.read.parquet(f"{staged}/events")
-        audit(t, e, hot_rows).write.mode("overwrite").parquet(f"{path}/issues")
+        audit(t, e, hot_rows, stored=True).write.mode("overwrite").parquet(f"{path}/issues")
         totals(t, e).write.mode("overwrite").json(f"{path}/totals")
     finally:
         delete(spark, staged)

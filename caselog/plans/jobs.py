@@ -48,7 +48,8 @@ def load_log(traces: DataFrame, root: str, fail_on_bad_time: bool = False) -> Lo
 
     Known events are left alone and known cases keep their attributes, so loading a log
     twice changes nothing but for ``rejected``, to which each load adds its events with an
-    unreadable time under its load_id. Rows bear the time they were first stored at, cases
+    unreadable time under its load_id. Events lie in buckets by a hash of their id, and only
+    the ids in the buckets of the incoming events are read to find the known ones. Rows bear the time they were first stored at, cases
     also that of the last load that changed their span. ``loads`` gets a row for the load.
     The traces are stored first and parsed from files once."""
     spark, started = traces.sparkSession, _now()
@@ -58,10 +59,12 @@ def load_log(traces: DataFrame, root: str, fail_on_bad_time: bool = False) -> Lo
     try:
         traces.write.parquet(staged)
         loaded = loading.load(spark.read.parquet(staged), fail_on_bad_time)
-        new = loaded.events
-        if exists(spark, events):
-            new = loading.new_events(spark.read.parquet(events), new)
-        new.withColumn("created_at", now).write.mode("append").parquet(events)
+        loaded.events.write.parquet(f"{staged}-events")
+        new, touched = snapshots.in_buckets(spark.read.parquet(f"{staged}-events"), events, ["event_id"])
+        if exists(spark, f"{events}/_SUCCESS"):
+            new = loading.new_events(snapshots.read_buckets(spark, events, schemas.EVENTS, touched), new, [snapshots.BUCKET, "event_id"])
+        (new.withColumn("created_at", now).repartition(snapshots.BUCKET).write.mode("append")
+         .partitionBy(snapshots.BUCKET).parquet(events))
         incoming = loaded.cases.withColumns({"created_at": now, "updated_at": now})
         known = snapshots.current(spark, cases)
         snapshots.write(loading.merge_cases(spark.read.parquet(known), incoming) if known else incoming, cases)
@@ -69,6 +72,7 @@ def load_log(traces: DataFrame, root: str, fail_on_bad_time: bool = False) -> Lo
         bad.write.mode("append").parquet(rejected)
     finally:
         delete(spark, staged)
+        delete(spark, f"{staged}-events")
     of_load = spark.read.parquet(rejected).where(F.col("load_id") == load_id).count()
     stored = [spark.read.parquet(p).count() for p in (snapshots.current(spark, cases), events)]
     record_load(spark, f"{root}/loads", "traces", "log", stored[1], "SUCCESS", started)

@@ -9,6 +9,7 @@ from caselog.functions import expressions as E
 from caselog.functions import validation as check
 from caselog.operators import quantiles
 from caselog.plans import views
+from caselog.session import staged
 
 
 def _with_cases(cases: DataFrame, events: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -144,11 +145,11 @@ def predicted_processing_time_summary(
     cases: DataFrame, predictions: DataFrame, model_version: str | None = None
 ) -> DataFrame:
     """One row of statistics. Predictions have two decimals, so they are first reduced to
-    one row per distinct value; the exact median comes from the bracketing operator."""
+    one row per distinct value and stored; the exact median is selected from these."""
     days = F.col("predicted_processing_days")
     scored = _scored(cases, predictions, model_version)
-    median = quantiles.exact_quantile(scored, "predicted_processing_days")
-    values = scored.groupBy(days).agg(F.count(F.lit(1)).alias("n"))
+    values = staged(scored.groupBy(days).agg(F.count(F.lit(1)).alias("n")), "predicted-days")
+    median = quantiles.exact_quantiles(values, "predicted_processing_days", [0.5], weight="n")[0]
     n = F.col("n")
     zero = lambda c: F.bround(F.coalesce(c.cast("double"), F.lit(0.0)), 2)
     known = F.when(days.isNotNull(), n)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from caselog.sources.paths import delete
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -48,9 +51,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate results that operators store inside the block are deleted at its end, so
+    what is computed from them has to be written or collected inside it."""
+    first = len(_scratch)
+    try:
+        yield
+    finally:
+        for path in _scratch[first:]:
+            delete(spark, path)
+        del _scratch[first:]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again, for plans that read them several
+    times: a lost executor re-reads them, and nothing before them runs again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def together(spark: SparkSession, jobs: list[Callable], parallelism: int) -> list:

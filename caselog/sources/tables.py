@@ -12,12 +12,12 @@ from caselog.sources.paths import directories
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Scan one model table with its declared schema: no inference pass over the files. Of a
-    table kept as snapshots the newest finished one is read, of one that is split by model
-    version the newest of every version."""
+    table kept as snapshots the newest finished one is read; tables in buckets, split by model
+    version or not, are read without the bucket."""
     path, schema = f"{root.rstrip('/')}/{name}", schemas.TABLES[name]
     if directories(spark, path, "model_version="):
         return snapshots.read_parts(spark, path, "model_version", schema)
-    if directories(spark, path, snapshots.PREFIX):
+    if snapshots.buckets_of(spark, path) is not None or directories(spark, path, snapshots.PREFIX):
         return snapshots.read(spark, path, schema)
     return configure(spark).read.schema(schema).parquet(path)
 
