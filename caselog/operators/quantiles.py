@@ -13,27 +13,12 @@ from caselog.session import staged
 
 #: Counters of a pass, which is also the most rows that it sends to the driver per wanted rank.
 COUNTERS = 1 << 16
-_EXPONENTS = (-1022, 1023)
 
 
 def order_key(x: Column) -> Column:
-    """The bits of a double as a long that sorts like it; both zeros are 0, NaN comes last.
-
-    Splitting off the power of two is exact, so the 52 bits behind it are as well."""
-    size = F.abs(x)
-    special = F.isnan(x) | (size == float("inf"))
-    plain = F.when(special | (size == 0), F.lit(1.0)).otherwise(size)
-    guess = F.greatest(F.lit(_EXPONENTS[0]), F.least(F.lit(_EXPONENTS[1]), F.floor(F.log2(plain)).cast("int")))
-    # the logarithm may miss by one next to a power of two
-    near = plain / F.pow(F.lit(2.0), guess)
-    power = F.when((near < 1) & (guess > _EXPONENTS[0]), guess - 1).when((near >= 2) & (guess < _EXPONENTS[1]), guess + 1).otherwise(guess)
-    scaled = plain / F.pow(F.lit(2.0), power)
-    normal = scaled >= 1
-    biased = F.when(normal, power + 1023).otherwise(0).cast("long")
-    fraction = ((scaled - F.when(normal, 1.0).otherwise(0.0)) * F.lit(float(1 << 52))).cast("long")
-    bits = F.shiftleft(biased, 52) + fraction
-    bits = F.when(size == 0, F.lit(0).cast("long")).when(special, F.lit(2047 << 52) + F.isnan(x).cast("long")).otherwise(bits)
-    return F.when((x < 0) & ~F.isnan(x), -bits).otherwise(bits)
+    """The bits of a double as a long that sorts like it; both zeros are 0, NaN comes last."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.abs(x)).cast("long")
+    return F.when(x == 0, F.lit(0).cast("long")).when((x < 0) & ~F.isnan(x), -bits).otherwise(bits)
 
 
 def of_key(key: int) -> float:
@@ -91,8 +76,8 @@ def exact_quantiles(
     value. ``weight`` names a column that says how many rows a row stands for. The frame is
     read once a pass, so a costly plan should be stored, or reduced to values and weights."""
     x = F.col(column).cast("double")
-    rows = df.where(x.isNotNull()).select(
-        order_key(x).alias("key"), (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("n"))
+    slim = df.where(x.isNotNull()).select(x.alias("x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
+    rows = slim.select(order_key(F.col("x")).alias("key"), "n")
     ends = lambda total: [f(q * (total - 1)) for q in qs for f in (math.floor, math.ceil)]
     sizes: list[int] = []
 

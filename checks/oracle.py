@@ -400,8 +400,8 @@ def oracle_sql() -> dict[str, str]:
         "b14_calendar": sql("""SELECT application_id, CAST(first_event_time AS DATE) AS first_date,
           CAST(year(first_event_time) AS INTEGER) AS first_year, CAST(month(first_event_time) AS INTEGER) AS first_month,
           CAST(week(first_event_time) AS INTEGER) AS first_week FROM log_cases""", "log_cases"),
-        "c07_orphans": sql("""SELECT count(*) AS orphans FROM log_events e
-          WHERE NOT EXISTS (SELECT 1 FROM log_cases c WHERE c.application_id = e.application_id)""", "log_events", "log_cases"),
+        "c07_orphans": sql("""SELECT activity, count(*) AS orphans FROM log_events e WHERE NOT EXISTS (
+          SELECT 1 FROM log_cases c WHERE c.application_id = e.application_id AND c.application_type = 'New credit') GROUP BY activity""", "log_events", "log_cases"),
         "d01_application_metrics": sql("""SELECT application_id, application_type, loan_goal, requested_amount, event_count,
           first_event_time, last_event_time, processing_hours, processing_days, complete_count, suspend_count,
           withdraw_count, workflow_activity_count, offer_activity_count, application_activity_count,
@@ -532,7 +532,10 @@ def oracle_sql() -> dict[str, str]:
         "k06_high_risk_applications_v1": sql(_high_risk("predictions", 0.8, 200, "AND model_version = 'v1.0'"), "predictions", "log_cases"),
         "k07_version_comparison": sql("SELECT model_version, count(*) AS predictions FROM predictions GROUP BY 1", "predictions"),
         "l01_generate_extensions": sql("SELECT * FROM extensions", "extensions"),
-        "l06_extension_violations": sql("SELECT count(*) AS violations FROM extensions WHERE page_count < 1 OR quality_score NOT BETWEEN 65 AND 100", "extensions"),
+        "l06_extension_violations": sql("""SELECT rule, count(*) AS violations FROM (
+          SELECT 'page_count below 1' AS rule FROM extensions WHERE page_count - 2 < 1
+          UNION ALL SELECT 'quality_score out of bounds' FROM extensions WHERE quality_score + 8 NOT BETWEEN 65 AND 100
+          UNION ALL SELECT 'sla target mismatch' FROM extensions WHERE page_count = 5) GROUP BY rule""", "extensions"),
         "a01_trace_scan": sql("SELECT application_id, event_count AS events FROM log_cases", "log_cases"),
         "a02_attribute_map": sql("""SELECT application_id, 'concept:name' AS key, application_id AS value FROM log_cases
           UNION ALL SELECT application_id, 'ApplicationType', application_type FROM log_cases
@@ -578,7 +581,9 @@ def oracle_sql() -> dict[str, str]:
         "i13_rule_report": sql(f"""SELECT rule, severity, CASE WHEN severity = 'info' THEN 1 ELSE coalesce(n, 0) END AS issue_count
           FROM {CATALOG} LEFT JOIN (SELECT rule AS r, count(*) AS n FROM issues GROUP BY 1) ON r = rule""", "issues"),
         "i13_examples": sql("""SELECT rule, document_id, detail, severity FROM (SELECT *, row_number() OVER (
-          PARTITION BY rule ORDER BY trace_pos, event_pos NULLS FIRST, detail) AS nth FROM issues) WHERE nth <= 20""", "issues"),
+          PARTITION BY rule ORDER BY trace_pos, event_pos NULLS FIRST, detail) AS nth FROM issues) WHERE nth <= 20
+          UNION ALL SELECT rule, '<dataset>', 'The source carries no such attributes; they are generated separately.', 'info'
+          FROM (VALUES ('unavailable_document_extension_fields'), ('sla_consistency_not_evaluable')) AS r(rule)""", "issues"),
         "i14_quarantine": sql("SELECT * FROM quarantine", "quarantine"),
         "i15_totals": sql("""SELECT (SELECT count(*) FROM rough_traces) AS traces,
           (SELECT count(*) FROM rough_events) AS events""", "rough_traces", "rough_events"),
@@ -604,8 +609,7 @@ def oracle_sql() -> dict[str, str]:
         "a14_lifecycle_outcomes": q["j10_lifecycle_outcome_summary"],
         "a14_loan_goal_summary": q["j11_loan_goal_summary"],
         "a14_processing_time_distribution": sql("SELECT * FROM v_buckets", "v_buckets"),
-        "a16_export_listing": f"""SELECT dataset, format, true AS stored FROM (VALUES {listed}) AS d(dataset),
-          (VALUES ('csv'), ('parquet')) AS f(format)""",
+        "a16_export_listing": q["a15_export_all"].replace("SELECT dataset, format, rows FROM", "SELECT dataset, format, rows, true AS stored FROM", 1),
         "r01_features_of_case": sql(f"""SELECT {feature_list} FROM log_cases JOIN extensions USING (application_id)
           WHERE application_id = '1'""", "log_cases", "extensions"),
         "m08_preprocessing": sql(f"""SELECT application_id, {scaled}, 8 AS flags FROM (

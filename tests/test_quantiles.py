@@ -17,13 +17,13 @@ def test_keys_are_the_bits_of_doubles(spark):
     rng = random.Random(3)
     values = ODD + [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(3000)] + [2.0 ** k for k in range(-1074, 1024, 7)]
     values = [v for v in values if v == v]
-    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", quantiles.order_key(F.col("x")).alias("k")).collect()
+    keyed = lambda xs: spark.createDataFrame([(v,) for v in xs], "x double").select("x", quantiles.order_key(F.col("x")).alias("k"))
+    rows = keyed(values).collect()
     for r in rows:
         bits = struct.unpack("<q", struct.pack("<d", abs(r.x)))[0]
         assert r.k == (-bits if r.x < 0 else bits) and quantiles.of_key(r.k) == r.x
     assert [r.x for r in sorted(rows, key=lambda r: r.k)] == sorted(values)
-    nan = spark.createDataFrame([(float("nan"),)], "x double").select(quantiles.order_key(F.col("x"))).first()[0]
-    assert nan > max(r.k for r in rows)
+    assert keyed([float("nan")]).first().k > max(r.k for r in rows)
 
 
 @pytest.mark.parametrize("counters", [256, 1 << 16])
