@@ -5,7 +5,8 @@ have to be compared is found first: of the ``GRAM``-byte strings in each window
 bytes, the one with the least hash is its anchor, so equal windows have equal anchors at equal
 places. Neighbouring windows with one anchor are one stretch of at most ``2 * size - GRAM``
 bytes. Only stretches whose anchor occurs twice can hold a repeat; equal stretches are one
-with the place of the first, and all anchors with several stretches are dealt to buckets.
+with the place of the first, and anchors are dealt to buckets with their stretches, cut down
+to the windows that have a part in common with another stretch.
 
 In a bucket, the stretches are cut into shards. Each shard's suffixes are sorted once, by
 ``size`` symbols, which gives its transform. Shards are then merged in pairs by refining the
@@ -25,13 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from caselog.llm.common import in_workers, sliced, stored
 
 SIZE, GRAM = 100, 32
-#: Bytes of a shard and of a bucket of shards; distinct stretches with which an anchor is hot.
-SHARD, BUCKET, HOT = 1 << 18, 1 << 20, 20_000
+#: Bytes of a shard and of a bucket of shards (mostly two, so one merge); distinct stretches
+#: with which an anchor is hot.
+SHARD, BUCKET, HOT = 160_000, 200_000, 20_000
+#: Places of the anchor in its window that are looked at together.
+PLACES = 17
 #: Symbols by which an interleave grows in one step, if there are few enough of them, or else.
 STEPS = (4, 2)
 #: Least and most bits of the filter of repeated anchors: 16 a repeated anchor, at most 64 MB.
@@ -43,7 +47,7 @@ SENT = 200_000
 _FACTOR = 0x9E3779B97F4A7C15
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _powers(factor: int, n: int) -> np.ndarray:
     out = np.full(n, factor, np.uint64)
     out[0] = 1
@@ -298,12 +302,46 @@ def _runs(string: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return string[begin], offset[begin], np.diff(np.r_[begin, len(string)])
 
 
-def _merged_buckets(distinct: DataFrame, size: int, buckets: int) -> DataFrame:
+def candidates(texts: list[bytes], anchors: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String, first window and number of windows of the parts of stretches that may hold a
+    repeat. Equal windows have equal anchors at equal places; windows whose places lie in one
+    group of ``PLACES`` have a part in common, so if no other stretch of the anchor has this
+    part (by a 64-bit hash), none of them repeats."""
+    lengths, places = np.array([len(t) for t in texts], np.int64), min(PLACES, size - gram + 1)
+    starts = np.cumsum(lengths) - lengths
+    whole = np.frombuffer(b"".join(texts), np.uint8)
+    equal = np.flatnonzero(gram_hashes(whole, gram) == np.repeat(anchors.view(np.uint64), lengths)[:len(whole) - gram + 1])
+    place = equal[np.searchsorted(equal, starts)] - starts
+    rows = []
+    for i, (text, p, n) in enumerate(zip(texts, place.tolist(), (lengths - size + 1).tolist(), strict=True)):
+        for k in range(max(p - n + 1, 0) // places, p // places + 1):  # the anchor of window j is at p - j
+            begin = p - places * k
+            rows.append((i, k, xxh3_64_intdigest(text[max(begin, 0):begin + size - places + 1], k)))
+    string, group, part = (np.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (np.int64, np.int64, np.uint64), strict=True))
+    key = part ^ (anchors.view(np.uint64)[string] * np.uint64(_FACTOR))
+    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+    live = count[back] > 1
+    string, group = string[live], group[live]
+    if not len(string):
+        return (np.zeros(0, np.int64),) * 3
+    first = np.flatnonzero(np.r_[True, string[1:] != string[:-1]])
+    least_group, most_group = np.minimum.reduceat(group, first), np.maximum.reduceat(group, first)
+    string = string[first]
+    begin = np.maximum(place[string] - places * (most_group + 1) + 1, 0)
+    end = np.minimum(place[string] - places * least_group + 1, lengths[string] - size + 1)
+    return string, begin, end - begin
+
+
+def _merged_buckets(distinct: DataFrame, size: int, gram: int, buckets: int) -> DataFrame:
     """hi, lo, offset, n: windows of stretches that are not the first of their kind."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("anchor", "ascending"), ("hi", "ascending"), ("lo", "ascending")])
+        texts = table.column("text").to_pylist()
+        string, begin, n = candidates(texts, np.asarray(table.column("anchor")), size, gram)
+        table = table.take(string)
         columns = {c: np.asarray(table.column(c)) for c in ("none", "doc_id", "text_hash", "at", "hi", "lo")}
+        parts = [texts[i][b:b + k + size - 1] for i, b, k in zip(string.tolist(), begin.tolist(), n.tolist(), strict=True)]
         keys = [columns[c] for c in ("text_hash", "doc_id", "none")]
         order = np.lexsort(keys)
         changed = np.zeros(len(order), bool)
@@ -311,9 +349,9 @@ def _merged_buckets(distinct: DataFrame, size: int, buckets: int) -> DataFrame:
             changed[1:] |= key[order][1:] != key[order][:-1]
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(changed)
-        string, offset, n = _runs(*repeats(table.column("text").to_pylist(), number, columns["at"], size))
+        string, offset, n = _runs(*repeats(parts, number, columns["at"] + begin, size)) if parts else (string, begin, n)
         return pa.table({"hi": pa.array(columns["hi"][string]), "lo": pa.array(columns["lo"][string]),
-                         "offset": pa.array(offset.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+                         "offset": pa.array((offset + begin[string]).astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
     dealt = distinct.select("anchor", "hi", "lo", "place.*", "text", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"))
     return in_workers(dealt).groupBy("bucket").applyInArrow(run, "hi long, lo long, offset long, n long")
@@ -355,11 +393,14 @@ def repeated(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT
     place = F.struct("none", "doc_id", "text_hash", "at")
     distinct = stored(sent.groupBy("anchor", "hi", "lo").agg(
         F.min(place).alias("place"), F.max("text").alias("text")), "stretches")
-    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    several = stored(distinct.join(kinds, "anchor"), "several-stretches")
-    usual = several.filter(F.col("kinds") <= hot)
-    buckets = max(1, (usual.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET)
-    late = _merged_buckets(usual, size, buckets).union(_hot_windows(several.filter(F.col("kinds") > hot), size))
+    kinds = stored(distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.octet_length("text")).alias("bytes")).filter("kinds > 1"), "anchors")
+    buckets = max(1, (kinds.agg(F.sum("bytes")).first()[0] or 0) // BUCKET)
+    crowded = kinds.filter(F.col("kinds") > hot).select("anchor")
+    if crowded.isEmpty():
+        late = _merged_buckets(distinct, size, gram, buckets)
+    else:
+        late = _merged_buckets(distinct.join(crowded, "anchor", "left_anti"), size, gram, buckets).union(
+            _hot_windows(distinct.join(crowded, "anchor"), size))
     late = late.groupBy("hi", "lo").agg(F.collect_list(F.struct("offset", "n")).alias("late"))
     firsts = stored(distinct.select("hi", "lo", F.col("place").alias("first")).join(late, ["hi", "lo"], "left"), "first-stretches")
     every = _occurrences(docs, shared, size, gram, False).select("hi", "lo", place.alias("place"), F.col("n").alias("windows"))

@@ -106,3 +106,27 @@ def test_stretches_cover_all_windows_and_depend_on_them_alone():
     inside = lambda at: {(b - at, k) for b, k in zip(begin.tolist(), n.tolist(), strict=True) if at <= b and b + k + 99 <= at + len(base)}
     first = len(raw) - 2 * len(base)
     assert len(inside(first) & inside(first + len(base))) > 0.9 * len(inside(first)) - 2
+
+
+def test_no_candidate_is_lost():
+    """Stretches of one anchor, cut down to what may repeat, give the same late windows."""
+    rng = random.Random(11)
+    anchor = passage(rng, 20).encode()[:32]
+    lefts, rights = [passage(rng, 20).encode()[:60] for _ in range(4)], [passage(rng, 20).encode()[:60] for _ in range(4)]
+    strings = []
+    for _ in range(60):
+        left, right = (bytearray(rng.choice(x)) for x in (lefts, rights))
+        if rng.random() < 0.5:
+            left[rng.randrange(60)] = 35
+        if rng.random() < 0.5:
+            right[rng.randrange(60)] = 35
+        strings.append(bytes(left[rng.randrange(0, 20):]) + anchor + bytes(right[:rng.randrange(45, 60)]))
+    strings = sorted(set(s for s in strings if len(s) >= 100))
+    hash_ = suffixes.gram_hashes(np.frombuffer(anchor, np.uint8), 32).view(np.int64)
+    numbers, zero = np.arange(len(strings)), np.zeros(len(strings), np.int64)
+    want = set(zip(*(x.tolist() for x in suffixes.repeats(strings, numbers, zero, 100)), strict=True))
+    string, begin, n = suffixes.candidates(strings, np.repeat(hash_, len(strings)), 100, 32)
+    parts = [strings[i][b:b + k + 99] for i, b, k in zip(string.tolist(), begin.tolist(), n.tolist(), strict=True)]
+    row, offset = suffixes.repeats(parts, string, begin, 100)
+    assert want and set(zip(string[row].tolist(), (offset + begin[row]).tolist(), strict=True)) == want
+    assert len(parts) < len(strings)
