@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,8 +31,9 @@ from caselog.llm import perfect_hash
 from caselog.llm.common import in_workers, sliced, stored, worker_cache
 from caselog.llm.token_files import _BYTE_LETTERS, _Grown
 
-#: Pieces whose alignment a worker keeps before it starts anew, and their characters at most.
-CACHE_PIECES, CACHE_CHARACTERS = 250_000, 20_000_000
+#: Pieces whose alignment a worker keeps before it starts anew (about 300 MB), and their
+#: characters at most.
+CACHE_PIECES, CACHE_CHARACTERS = 1_000_000, 20_000_000
 #: Pairs counted at a time. All pairs of two vocabularies could be 1.6e9; texts link few of
 #: them. More are counted and looked up in rounds, by a hash of the pair.
 PAIRS_AT_ONCE = 8_000_000
@@ -41,6 +43,8 @@ BLOCK, FAN, VECTORS = 1 << 14, 128, 1 << 14
 JOINED = 512
 #: Pairs that a task remembers to have sent.
 SENT = 2_000_000
+#: Fixed pattern: where byte-level tokenizers split a text before the merges.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LETTERS = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*\"()-]*)")
 _MIXED = re.compile(r"[^▁]▁|\n|[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?|#$%&*\"()-]")
 
@@ -58,6 +62,7 @@ class Aligned(NamedTuple):
 class Aligner:
     def __init__(self, path_a: str, path_b: str, groups: bool = False):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -67,11 +72,21 @@ class Aligner:
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(letter_bytes[c] for c in token) if all(c in letter_bytes for c in token) else token.encode()
+        with open(path_a, encoding="utf-8") as file:
+            about = json.load(file)
+        split = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        byte_level = about["normalizer"] is None and split.items() <= (about["pre_tokenizer"] or {}).items()
+        vocab, merges = about["model"]["vocab"], (m if isinstance(m, str) else " ".join(m) for m in about["model"]["merges"])
+        self.encode_a = lambda text: self.a.encode(text, add_special_tokens=False).ids
+        if byte_level and all(vocab[m.replace(" ", "")] == 256 + i for i, m in enumerate(merges)):
+            # ids in the order of the merges are ranks: the same ids by the faster library
+            ranks = {self.a_bytes[i]: i for i in vocab.values()}
+            self.encode_a = tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         # no piece may reach over a place where runs are cut; else whole texts are runs
-        self.cuts = not any(_MIXED.search(p) for p in pieces)
+        self.cuts = byte_level and not any(_MIXED.search(p) for p in pieces)
         self.want_groups = groups
         kinds = ((len(self.a_bytes), b","), (len(self.a_bytes), b"|"), (len(pieces), b","), (len(pieces), b";"))
         self.marked = [b"%d%s" % (i, mark) for n, mark in kinds for i in range(n)] if groups else []
@@ -131,7 +146,7 @@ class Aligner:
         other character, which a line feed shields from it."""
         text = "".join(runs)
         shield = "" if text[0] in " \n" else "\n"
-        a = self.a.encode(text, add_special_tokens=False).ids
+        a = self.encode_a(text)
         b = self.b.encode(text[1:] if text[0] == " " else shield + text)
         b = b if text[0] == " " else b[1 + len(shield):]
         raw = text.encode()
