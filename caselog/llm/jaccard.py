@@ -399,7 +399,8 @@ def links(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _labelled(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, label (its component; null without words) of each row."""
     described = stored(describe(docs), "shingle-sets")
-    _, labels = links(docs, described)
+    # stored, so that the join on the set may be split where copies of one text are many
+    labels = stored(links(docs, described)[1], "labels")
     member = described.select("doc_id", "text_hash", "n_shingles", "node").join(labels, "node", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))
     return member.select("doc_id", "text_hash", "n_shingles", own.alias("label"))
@@ -414,7 +415,8 @@ def groups(docs: DataFrame) -> DataFrame:
     repeat are members like others. An empty table gives no rows.
     """
     member = _labelled(docs)
-    smallest = member.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
+    # stored, so that the join may be split where a component is a large share of all rows
+    smallest = stored(member.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest")), "smallest-members")
     out = member.join(smallest, "label", "left")
     return out.select(
         "doc_id", "text_hash", "n_shingles",

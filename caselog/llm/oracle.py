@@ -80,20 +80,20 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 _HALF = "n"
 for _ in range(8):
     _HALF = f"CASE WHEN ({_HALF}) & 1 = 1 THEN xor(3988292384, ({_HALF}) >> 1) ELSE ({_HALF}) >> 1 END" if _HALF == "n" else (
-        f"list_transform([{_HALF}], m -> CASE WHEN m & 1 = 1 THEN xor(3988292384, m >> 1) ELSE m >> 1 END)[1]")
+        f"list_transform([{_HALF}], lambda m: CASE WHEN m & 1 = 1 THEN xor(3988292384, m >> 1) ELSE m >> 1 END)[1]")
 
 #: Rebuilt conversations as lists of turns; nodes are distinct list prefixes; a subtree's sum
 #: is taken over the prefixes of each node's smallest member.
 OP11 = f"""
-WITH byte_sums AS (SELECT list_transform(range(256), n -> {_HALF}) AS remainders),
+WITH byte_sums AS (SELECT list_transform(range(256), lambda n: {_HALF}) AS remainders),
 t AS (
   SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(0) || coalesce(text, ''))) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
 c AS (
   SELECT conv_id, conv_id - conv_id % 5 AS first_id, xor(list_reduce(
-    list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), d -> CAST(ascii(d) AS BIGINT))),
-    (s, b) -> xor(s >> 8, remainders[(xor(s, b) & 255) + 1])), 4294967295) % 9 AS h
+    list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda s, b: xor(s >> 8, remainders[(xor(s, b) & 255) + 1])), 4294967295) % 9 AS h
   FROM (SELECT DISTINCT conv_id FROM t), byte_sums),
 r AS (
   SELECT c.conv_id, 0 AS part, t.pos, t.x FROM c JOIN t ON t.conv_id = c.first_id AND t.pos <= c.h

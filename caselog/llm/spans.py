@@ -98,13 +98,15 @@ def repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> Dat
     """doc_id, text_hash and ``gone``: the places of the spans that aren't the first.
 
     The first of equal spans is the minimum of an aggregate, so a span that a third of all
-    documents share is one row before it is moved; its other copies are found by a join that
-    Spark may split.
+    documents share is one row a task before it is moved. The firsts are stored: both sides of
+    the join that finds the other copies are then plain shuffles, of which adaptive execution
+    splits a key that is too large for a task.
     """
     every = spans(docs, least, words)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "at")
     first = every.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select(
         F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "first")
+    first = stored(first, "first-spans")
     other = every.join(first, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))).filter(place != F.col("first"))
     return other.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
 
