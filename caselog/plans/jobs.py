@@ -16,6 +16,7 @@ from caselog.operators.model import ROUNDS, RiskModel
 from caselog.plans import views
 from caselog.session import scratch_path
 from caselog.sinks import snapshots
+from caselog.sources import tables
 from caselog.sources.paths import delete, exists
 
 
@@ -37,6 +38,9 @@ def record_load(
     row.write.mode("append").parquet(path)
 
 
+PARTIALS = "activity string, resource string, application_id string, n bigint"
+
+
 class LoadResult(NamedTuple):
     cases: int
     events: int
@@ -49,9 +53,10 @@ def load_log(traces: DataFrame, root: str, fail_on_bad_time: bool = False) -> Lo
     Known events are left alone and known cases keep their attributes, so loading a log
     twice changes nothing but for ``rejected``, to which each load adds its events with an
     unreadable time under its load_id. Events lie in buckets by a hash of their id, and only
-    the ids in the buckets of the incoming events are read to find the known ones. Rows bear the time they were first stored at, cases
-    also that of the last load that changed their span. ``loads`` gets a row for the load.
-    The traces are stored first and parsed from files once."""
+    the ids in the buckets of the incoming events are read to find the known ones. Rows bear
+    the time they were first stored at, cases also that of the last load that changed their
+    span. ``loads`` gets a row for the load, ``partials`` what the event views need of it. The
+    traces are stored first and parsed from files once."""
     spark, started = traces.sparkSession, _now()
     staged, load_id = scratch_path(spark, "traces"), uuid.uuid4().hex
     cases, events, rejected = f"{root}/cases", f"{root}/events", f"{root}/rejected"
@@ -63,8 +68,11 @@ def load_log(traces: DataFrame, root: str, fail_on_bad_time: bool = False) -> Lo
         new, touched = snapshots.in_buckets(spark.read.parquet(f"{staged}-events"), events, ["event_id"])
         if exists(spark, f"{events}/_SUCCESS"):
             new = loading.new_events(snapshots.read_buckets(spark, events, schemas.EVENTS, touched), new, [snapshots.BUCKET, "event_id"])
+        new.write.parquet(f"{staged}-new")
+        new = spark.read.schema(new.schema).parquet(f"{staged}-new")
         (new.withColumn("created_at", now).repartition(snapshots.BUCKET).write.mode("append")
          .partitionBy(snapshots.BUCKET).parquet(events))
+        views.event_partials(new).write.parquet(f"{root}/partials/load={load_id}")
         incoming = loaded.cases.withColumns({"created_at": now, "updated_at": now})
         known = snapshots.current(spark, cases)
         snapshots.write(loading.merge_cases(spark.read.parquet(known), incoming) if known else incoming, cases)
@@ -73,8 +81,9 @@ def load_log(traces: DataFrame, root: str, fail_on_bad_time: bool = False) -> Lo
     finally:
         delete(spark, staged)
         delete(spark, f"{staged}-events")
+        delete(spark, f"{staged}-new")
     of_load = spark.read.parquet(rejected).where(F.col("load_id") == load_id).count()
-    stored = [spark.read.parquet(p).count() for p in (snapshots.current(spark, cases), events)]
+    stored = [tables.stored_rows(spark, p) for p in (snapshots.current(spark, cases), events)]
     record_load(spark, f"{root}/loads", "traces", "log", stored[1], "SUCCESS", started)
     return LoadResult(*stored, of_load)
 
@@ -110,12 +119,13 @@ def train(
 
 
 def store_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "application_id") -> None:
-    """Store a table clustered by case. Tables with the same number of buckets are counted
+    """Store a table clustered by case, with a Bloom filter of the case ids in each row group:
+    the look-up of an id skips the row groups that don't hold it. Tables with the same number of buckets are counted
     per case, ordered per case and joined on the case without a shuffle. Rows are first
     gathered by bucket, so that a bucket is one file and not one per task."""
     (
         df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
-        .option("path", path).saveAsTable(table)
+        .option("parquet.bloom.filter.enabled#" + key, "true").option("path", path).saveAsTable(table)
     )
 
 
@@ -127,6 +137,23 @@ def refresh_materialized_views(tables: dict[str, DataFrame], root: str) -> list[
     return list(views.MATERIALIZED)
 
 
+def refresh_loaded_views(spark: SparkSession, root: str, target: str) -> list[str]:
+    """The four materialized views of the tables that ``load_log`` keeps below ``root``.
+
+    The event views are put together from the partials that each load left, so a refresh reads
+    a row per activity, resource and case and load, and no event again. Cases change with
+    loads, so their two views read the case table."""
+    partials = spark.read.schema(PARTIALS).parquet(f"{root}/partials")
+    cases = tables.read_table(spark, root, "cases")
+    built = {
+        "mv_activity_summary": views.mv_activity_of_partials(partials), "mv_resource_workload": views.mv_resource_of_partials(partials),
+        **{name: views.build(name, {"cases": cases}) for name in ("mv_monthly_summary", "mv_application_type_summary")},
+    }
+    for name, df in built.items():
+        snapshots.write(df, f"{target.rstrip('/')}/{name}")
+    return list(built)
+
+
 def read_materialized_view(spark: SparkSession, root: str, name: str) -> DataFrame:
     found = snapshots.current(spark, f"{root.rstrip('/')}/{name}")
     if found is None:
