@@ -174,15 +174,14 @@ def plain_spans(rows: list[tuple[int, str | None]]) -> list[str | None]:
     for doc, text in sorted(rows, key=lambda r: r[0]):
         found = spans.sentences(text)
         n = len(found)
+        short = n < 2 or sum(s[3] for s in found) < 12
         for i in range(n):
-            end = next((e for e in range(i + 2, n + 1) if sum(s[3] for s in found[i:e]) >= 12), None)
-            if end is None and i == 0 and (n < 2 or sum(s[3] for s in found) < 12):
-                end = n
-            if end is None:
-                break
-            key = tuple(s[2] for s in found[i:end])
-            if first.setdefault(key, (doc, i)) != (doc, i):
-                gone[doc] |= set(range(i, end))
+            end = n if short else next((e for e in range(i + 2, n + 1) if sum(s[3] for s in found[i:e]) >= 12), None)
+            alone = [i + 1] if not short and found[i][3] >= spans.LONG else []
+            for stop in alone + ([end] if end and not (short and i) else []):
+                key = tuple(s[2] for s in found[i:stop])
+                if first.setdefault(key, (doc, i)) != (doc, i):
+                    gone[doc] |= set(range(i, stop))
     out = []
     for doc, text in rows:
         found = spans.sentences(text)
@@ -194,6 +193,7 @@ def plain_spans(rows: list[tuple[int, str | None]]) -> list[str | None]:
 def test_spans_equal_a_plain_search(spark):
     rng = random.Random(4)
     pool = [" ".join(f"s{rng.randrange(500)}" for _ in range(rng.randrange(1, 11))).capitalize() + rng.choice((".", "!", "?")) for _ in range(400)]
+    pool += [" ".join(f"l{rng.randrange(9000)}" for _ in range(n)) + "." for n in (24, 25, 26, 60, 70)] * 6
     shared = [pool[i:i + 7] for i in range(0, 70, 7)]
     texts: list[str | None] = list(cases.odd_texts())
     for i in range(80):
