@@ -33,7 +33,7 @@ from caselog.llm.common import in_workers, sliced, stored
 SIZE, GRAM = 100, 32
 #: Bytes of a shard and of a bucket of shards (mostly two, so one merge); distinct stretches
 #: with which an anchor is hot.
-SHARD, BUCKET, HOT = 160_000, 200_000, 20_000
+SHARD, BUCKET, HOT = 160_000, 200_000, 3_000
 #: Places of the anchor in its window that are looked at together.
 PLACES = 17
 #: Symbols by which an interleave grows in one step, if there are few enough of them, or else.
@@ -41,13 +41,13 @@ STEPS = (4, 2)
 #: Least and most bits of the filter of repeated anchors: 16 a repeated anchor, at most 64 MB.
 #: Beyond that it lets more anchors pass, which costs work and changes nothing.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
-#: Stretches that a task remembers to have sent.
-SENT = 200_000
+#: Stretches that a task remembers to have sent; hot anchors that may be broadcast.
+SENT, BROADCAST = 100_000, 100_000
 
 _FACTOR = 0x9E3779B97F4A7C15
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(factor: int, n: int) -> np.ndarray:
     out = np.full(n, factor, np.uint64)
     out[0] = 1
@@ -396,7 +396,9 @@ def repeated(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT
     kinds = stored(distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.octet_length("text")).alias("bytes")).filter("kinds > 1"), "anchors")
     buckets = max(1, (kinds.agg(F.sum("bytes")).first()[0] or 0) // BUCKET)
     crowded = kinds.filter(F.col("kinds") > hot).select("anchor")
-    if crowded.isEmpty():
+    n_crowded = crowded.count()
+    crowded = F.broadcast(crowded) if n_crowded <= BROADCAST else crowded
+    if not n_crowded:
         late = _merged_buckets(distinct, size, gram, buckets)
     else:
         late = _merged_buckets(distinct.join(crowded, "anchor", "left_anti"), size, gram, buckets).union(
