@@ -112,8 +112,12 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return snapshots.read_parts(spark, path, "model_version", schemas.PREDICTIONS)
 
 
+# Fixed value: the answer for an unknown id, around the id.
+NOT_FOUND = ("Application ID ", " not found in database.")
+
+
 def _not_found(case_id: str) -> str:
-    return f"Application ID {case_id!r} not found in database."
+    return repr(case_id).join(NOT_FOUND)
 
 
 def features_of_case(cases: DataFrame, extensions: DataFrame, case_id: str) -> DataFrame:
@@ -175,7 +179,7 @@ def predict_batch(
     lost = asked.join(known.select(F.col("application_id").alias("_key")), "_key", "left_anti").select(
         "position", "application_id", F.lit("ERROR").alias("status"),
         F.when(invalid, F.concat(F.lit("Invalid application_id: "), F.col("shown")))
-        .otherwise(F.concat(F.lit("Application ID "), F.col("shown"), F.lit(" not found in database.")))
+        .otherwise(F.concat(F.lit(NOT_FOUND[0]), F.col("shown"), F.lit(NOT_FOUND[1])))
         .alias("error"),
     )
     return good.unionByName(lost, allowMissingColumns=True).orderBy("position")
