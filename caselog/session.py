@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
+from pathlib import Path
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,11 @@ def build(app_name: str = "caselog", master: str | None = None, **conf) -> Spark
     return configure(builder.getOrCreate())
 
 
+def in_workers(spark: SparkSession) -> None:
+    """Lets the Python workers of a local or shared installation import this package."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[1]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in spark.checkpoint.dir.
 
