@@ -1,8 +1,13 @@
 """Risk classifier and duration regressor on Spark ML.
 
-Both are boosted trees over one shared preprocessing: scaled numbers and one-hot
-categories. The classifier predicts whether a case breaches, the regressor the logarithm
+Both are boosted trees over one shared preprocessing: scaled numbers, cut into bins, and
+one-hot categories. The classifier predicts whether a case breaches, the regressor the logarithm
 of its days. Everything fitted is one PipelineModel, so scoring is one pass.
+
+Rows that share all bins, categories and the class take the same way through every tree, so
+boosting sees each such combination once, weighted by its rows. The real features have
+a bounded number of combinations however many rows there are; where combinations
+hardly repeat, the rows stay as they are.
 """
 
 from __future__ import annotations
@@ -11,14 +16,14 @@ import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselog.operators import features, metrics
-from caselog.session import shared_dir, together
+from caselog.session import shared_dir, staged, together
 from caselog.sources.paths import exists
 
 MODEL_TYPE = "GradientBoostedTrees"
@@ -30,6 +35,8 @@ MISSING_CATEGORY = "<none>"
 # hold at least 20 rows.
 ROUNDS, RATE, DEPTH, LEAF_ROWS, BINS = 100, 0.1, 5, 20, 255
 ROWS_PER_TASK = 50_000
+#: Tasks per core beyond which a task takes more rows than that, up to the second number.
+TASKS_PER_CORE, MOST_ROWS_PER_TASK = 4, 500_000
 RESULTS = ("risk_class", "risk_probability", "predicted_processing_days")
 
 
@@ -50,7 +57,7 @@ def _scaling(df: DataFrame, subset: str) -> SQLTransformer:
 def fit_preprocessing(df: DataFrame, subset: str) -> PipelineModel:
     """From feature columns (see :func:`inputs`) to one vector: scaled numbers, then
     one-hot categories. A category not seen in training does not fail: its part is all
-    zero; a missing number is NaN, which the trees send to one side."""
+    zero; a missing number is NaN."""
     names = list(features.categorical(subset))
     indexed, hot = [f"_i_{c}" for c in names], [f"_v_{c}" for c in names]
     return Pipeline(stages=[
@@ -63,6 +70,47 @@ def fit_preprocessing(df: DataFrame, subset: str) -> PipelineModel:
     ]).fit(df)
 
 
+def fit_bins(scaled: DataFrame, subset: str) -> PipelineModel:
+    """Cuts of the scaled numbers into at most ``BINS`` bins, the last one of missing numbers:
+    between all values of a number that has few, at quantiles of the others."""
+    names = [f"_s_{c}" for c in features.numeric(subset)]
+    most = BINS - 1
+    sizes = scaled.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in names]).first()
+    values = {}
+    for c in names:
+        found = []
+        if sizes[c] <= 2 * most:
+            found = [r[0] for r in scaled.where(F.col(c).isNotNull()).select(c).distinct().limit(most + 1).collect()]
+        values[c] = sorted(found) if len(found) <= most else []
+    several = [c for c in names if not values[c] and sizes[c]]
+    cuts = {c: [(a + b) / 2 for a, b in zip(v, v[1:])] for c, v in values.items()}
+    if several:
+        shares = [i / most for i in range(1, most)]
+        cuts.update(zip(several, scaled.approxQuantile(several, shares, 0.1 / most)))
+    ends = float("inf")
+    names_of = lambda kind: [f"_{kind}_{c}" for c in features.numeric(subset)]
+    known = ", ".join(f"COALESCE(_s_{c}, DOUBLE('NaN')) AS _d_{c}" for c in features.numeric(subset))
+    return PipelineModel(stages=[
+        SQLTransformer(statement=f"SELECT *, {known} FROM __THIS__"),
+        Bucketizer(
+            splitsArray=[[-ends, *(sorted(set(cuts[c])) or [0.0]), ends] for c in names],
+            inputCols=names_of("d"), outputCols=names_of("k"), handleInvalid="keep"),
+        # a sum has no attributes: trees take the bins as numbers in order, not as categories
+        SQLTransformer(statement="SELECT *, " + ", ".join(
+            f"{k} + 0.0D AS {b}" for k, b in zip(names_of("k"), names_of("b"))) + " FROM __THIS__"),
+    ])
+
+
+def combined(binned: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``columns``, _y_class and _y_log with a weight _n: one row per combination of
+    columns and class, with the mean of _y_log; or all rows if combinations hardly repeat."""
+    keys = [*columns, "_y_class"]
+    size = binned.agg(F.approx_count_distinct(F.xxhash64(*keys)).alias("groups"), F.count(F.lit(1)).alias("rows")).first()
+    if size["groups"] * 2 > size["rows"]:
+        return binned.withColumn("_n", F.lit(1.0))
+    return binned.groupBy(*keys).agg(F.avg("_y_log").alias("_y_log"), F.count(F.lit(1)).cast("double").alias("_n"))
+
+
 def inputs(df: DataFrame, subset: str) -> DataFrame:
     """Feature columns in the types and names the preprocessing reads."""
     return df.withColumns({
@@ -84,10 +132,13 @@ class RiskModel:
     def is_fitted(self) -> bool:
         return self._model is not None
 
-    def _trees(self) -> list:
+    def _trees(self, rows: float) -> list:
+        """A leaf holds at least ``LEAF_ROWS`` rows, counted by weight; fewer than two leaves' rows
+        are not split."""
         shape = dict(
-            featuresCol="_features", maxIter=self.rounds, stepSize=RATE, maxDepth=DEPTH,
-            minInstancesPerNode=LEAF_ROWS, maxBins=BINS, seed=self.seed, checkpointInterval=10,
+            featuresCol="_binned", weightCol="_n", maxIter=self.rounds, stepSize=RATE, maxDepth=DEPTH if rows >= 2 * LEAF_ROWS else 0,
+            minInstancesPerNode=1, minWeightFractionPerNode=(LEAF_ROWS - 0.5) / max(rows, 2 * LEAF_ROWS),
+            maxBins=BINS, seed=self.seed, checkpointInterval=10,
         )
         return [
             GBTClassifier(labelCol="_y_class", predictionCol="_class", **shape)
@@ -96,21 +147,31 @@ class RiskModel:
         ]
 
     def fit(self, df: DataFrame, breach: str, log_days: str) -> RiskModel:
-        """Train on rows that have both targets. The preprocessed vectors are stored in the
-        shared folder, so that the many passes of boosting read them and not the plan."""
+        """Train on rows that have both targets. The binned rows are stored in the shared folder
+        and the combinations that boosting reads are checkpointed, so that its many passes
+        read them and not the plan."""
         features.require(df.columns, self.subset)
-        shared_dir(df.sparkSession)
+        spark = df.sparkSession
+        shared_dir(spark)
         rows = inputs(df, self.subset).where(F.col(breach).isNotNull() & F.col(log_days).isNotNull())
-        prepared = fit_preprocessing(rows, self.subset)
-        vectors = prepared.transform(rows).select(
-            "_features", F.col(breach).cast("double").alias("_y_class"), F.col(log_days).alias("_y_log")
-        ).checkpoint()
+        scaling, indexing, hot, _ = fit_preprocessing(rows, self.subset).stages
+        scaled, binned, indexed = ([f"_{kind}_{c}" for c in names] for kind, names in (
+            ("s", features.numeric(self.subset)), ("b", features.numeric(self.subset)), ("i", features.categorical(self.subset))))
+        slim = staged(indexing.transform(scaling.transform(rows)).select(
+            *scaled, *indexed, F.col(breach).cast("double").alias("_y_class"), F.col(log_days).alias("_y_log")), "scaled")
+        bins = fit_bins(slim, self.subset)
+        assembler = VectorAssembler(inputCols=[*binned, *hot.getOutputCols()], outputCol="_binned", handleInvalid="keep")
+        combinations = combined(bins.transform(slim), [*binned, *indexed])
+        vectors = assembler.transform(hot.transform(combinations)).select("_binned", "_y_class", "_y_log", "_n").checkpoint()
         # Boosting runs hundreds of short jobs: as many tasks as the rows are worth, no more.
-        vectors = vectors.coalesce(max(1, -(-vectors.count() // ROWS_PER_TASK)))
+        found = vectors.agg(F.count(F.lit(1)).alias("vectors"), F.coalesce(F.sum("_n"), F.lit(0.0)).alias("rows")).first()
+        tasks = lambda size: max(1, -(-found["vectors"] // size))
+        most = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, tasks(MOST_ROWS_PER_TASK))
+        vectors = vectors.coalesce(min(tasks(ROWS_PER_TASK), most))
         trees = together(
-            df.sparkSession, [lambda stage=stage: stage.fit(vectors) for stage in self._trees()], 2
+            spark, [lambda stage=stage: stage.fit(vectors) for stage in self._trees(found["rows"])], 2
         )
-        self._model = PipelineModel(stages=[*prepared.stages, *trees])
+        self._model = PipelineModel(stages=[scaling, indexing, bins, hot, assembler, *trees])
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
