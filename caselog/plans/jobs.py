@@ -14,7 +14,7 @@ from caselog.operators import extensions as ext
 from caselog.operators import features, loading
 from caselog.operators.model import ROUNDS, RiskModel
 from caselog.plans import views
-from caselog.session import scratch_path
+from caselog.session import scratch_path, staged
 from caselog.sinks import snapshots
 from caselog.sources import tables
 from caselog.sources.paths import delete, exists
@@ -175,6 +175,8 @@ def populate_extensions(
     """Generate the extensions of all cases and upsert them by case id. A row that breaks
     a table rule fails the write, which then never becomes the current snapshot."""
     spark, started = cases.sparkSession, _now()
+    # the ids are all that is read of cases: stored, so that counting them is no second pass
+    cases = staged(cases.select("application_id"), "case-ids")
     total = cases.count()
     if total == 0:
         raise ValueError("no cases found")

@@ -9,6 +9,7 @@ its keys and replaces those it has rows for. One writer per table is assumed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,6 +115,22 @@ def merge(
     return joined.select(*[F.col(c) if c in keys else value(c).alias(c) for c in existing.columns])
 
 
+def greatest(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of a stored batch; of those with the same keys the greatest by their other
+    columns. Counting finds the keys that repeat, so that whole rows are only sorted for these."""
+    same = lambda a, b: reduce(Column.__and__, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+    repeated = staged(
+        batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*keys), "repeated-keys")
+    if repeated.isEmpty():
+        return batch
+    others = [c for c in batch.columns if c not in keys]
+    of_repeated = lambda kind: batch.alias("b").join(repeated.alias("r"), same("b", "r"), kind)
+    chosen = of_repeated("left_semi").groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row")).select(
+        *[F.col("_row")[c].alias(c) if c in others else F.col(c) for c in batch.columns]
+    )
+    return staged(of_repeated("left_anti").unionByName(chosen), "upserted-once")
+
+
 def upsert(
     incoming: DataFrame, path: str, keys: Sequence[str], schema: T.StructType,
     keep: Sequence[str] = ("created_at",),
@@ -131,15 +148,12 @@ def upsert(
         F.col(f.name).cast(f.dataType) if f.name in incoming.columns else F.lit(None).cast(f.dataType).alias(f.name)
         for f in schema
     ])
-    others = [c for c in rows.columns if c not in keys]
-    rows = rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row")).select(
-        *[F.col("_row")[c].alias(c) if c in others else F.col(c) for c in rows.columns]
-    )
-    rows, touched = in_buckets(staged(rows, "upserted"), path, keys)
+    # a table without a layout holds no rows: there is nothing to merge with
+    is_new = buckets_of(spark, path) is None
+    rows, touched = in_buckets(greatest(staged(rows, "upserted"), keys), path, keys)
     if not touched:
         return path
-    stored = read_buckets(spark, path, schema, touched)
-    merged = merge(stored, rows, [*keys, BUCKET], keep)
+    merged = rows if is_new else merge(read_buckets(spark, path, schema, touched), rows, [*keys, BUCKET], keep)
     # a bucket is one file; Spark writes beside the table and swaps the touched folders at the end
     (merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(BUCKET).parquet(path))
