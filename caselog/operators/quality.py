@@ -104,35 +104,47 @@ def _repeats(rows: DataFrame, key: str, position: tuple[str, ...], heavy_rows: i
 
 def _backwards(events: DataFrame, hot_rows: int | None) -> DataFrame:
     """Events earlier than the last readable time before them in their trace. Unreadable
-    times are left out first, so the previous row is the previous readable time."""
+    times are left out first, so the previous row is the previous readable time. The place
+    leads the keys: sorting compares numbers first, not the file that most rows share."""
     timed = events.where(F.col("_time").isNotNull()).select("document_id", *EVENT, "_time")
     return ordered.neighbours(
-        timed, list(TRACE), ["event_pos"], lags={"_previous": "_time"}, hot_rows=hot_rows,
+        timed, list(TRACE[::-1]), ["event_pos"], lags={"_previous": "_time"}, hot_rows=hot_rows,
         sizes_of=events.select(*TRACE),
     ).where(F.col("_time") < F.col("_previous"))
 
 
+def audited_traces(traces: DataFrame) -> DataFrame:
+    """What the rules read of traces."""
+    return traces.select(*TRACE, xes.strip(F.col("document_id")).alias("document_id"))
+
+
+def audited_events(events: DataFrame) -> DataFrame:
+    """What the rules read of events: stripped texts, the time in microseconds, and the text of
+    a time that is none. To be stored, for a rule's filter and projection would each parse again."""
+    text = xes.strip(F.col("raw_time"))
+    stripped = events.select(
+        *EVENT, xes.strip(F.col("document_id")).alias("document_id"),
+        xes.strip(F.col("event_id")).alias("event_id"), "activity", text.alias("raw_time"),
+        F.unix_micros(xes.parse_time(text)).alias("_time"),
+    )
+    return stripped.withColumn("raw_time", F.when(F.col("_time").isNull(), F.col("raw_time")))
+
+
 def audit(
     traces: DataFrame, events: DataFrame, hot_rows: int | None = ordered.HOT_ROWS,
     rules: Sequence[str] | None = None, heavy_rows: int = HEAVY_ROWS, stored: bool = False,
 ) -> DataFrame:
     """Every issue as a row; of ``rules`` only, if given, and then nothing is computed for
     the others. The rules read the events several times: they are stored as narrow rows
-    first, unless the caller says that they come from storage.
+    first, unless the caller has ``stored`` what ``audited_traces`` and ``audited_events`` give.
 
     ``traces`` needs source_file, trace_pos, document_id; ``events`` adds event_pos,
     event_id, activity, raw_time.
     """
     asked = lambda *names: rules is None or any(n in rules for n in names)
     blank = lambda c: xes.strip(F.col(c)) == ""
-    t = traces.select(*TRACE, xes.strip(F.col("document_id")).alias("document_id")).withColumn(
-        "event_pos", F.lit(None).cast("int")
-    )
-    e = events.select(
-        *EVENT, xes.strip(F.col("document_id")).alias("document_id"),
-        xes.strip(F.col("event_id")).alias("event_id"), "activity",
-        xes.strip(F.col("raw_time")).alias("raw_time"),
-    ).withColumn("_time", xes.parse_time(F.col("raw_time")))
+    t = (traces if stored else audited_traces(traces)).withColumn("event_pos", F.lit(None).cast("int"))
+    e = events if stored else audited_events(events)
     if asked(*EVENT_RULES) and not stored:
         e = staged(e, "audited-events")
     no_name = F.col("document_id") == ""
@@ -261,13 +273,14 @@ def run(
 ) -> QualityTables:
     """Audit a log and write issues, rule report, quarantine list and totals below ``path``.
 
-    The columns the rules read are stored first, so a log parsed from files is parsed
-    once; the issues are stored as well, and report and quarantine read those."""
+    What the rules read is stored first, so a log parsed from files is parsed once, and so are
+    its times; the issues are stored as well, and report and quarantine read those. The head
+    counts the quarantine list that was written."""
     spark = traces.sparkSession
     staged = scratch_path(spark, "audit")
     try:
-        traces.select(*TRACE, "document_id").write.parquet(f"{staged}/traces")
-        events.select(*EVENT, "document_id", "event_id", "activity", "raw_time").write.parquet(f"{staged}/events")
+        audited_traces(traces).write.parquet(f"{staged}/traces")
+        audited_events(events).write.parquet(f"{staged}/events")
         t, e = spark.read.parquet(f"{staged}/traces"), spark.read.parquet(f"{staged}/events")
         audit(t, e, hot_rows, stored=True).write.mode("overwrite").parquet(f"{path}/issues")
         totals(t, e).write.mode("overwrite").json(f"{path}/totals")
@@ -278,5 +291,5 @@ def run(
     held = quarantine(issues)
     held.write.mode("overwrite").json(f"{path}/quarantine")
     counted = spark.read.json(f"{path}/totals")
-    report_head(counted, held).write.mode("overwrite").json(f"{path}/report_head")
+    report_head(counted, spark.read.text(f"{path}/quarantine")).write.mode("overwrite").json(f"{path}/report_head")
     return QualityTables(issues, rule_report(issues), held, counted, spark.read.json(f"{path}/report_head"))
