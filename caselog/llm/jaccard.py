@@ -52,7 +52,8 @@ def shingle_set(text: str | None) -> np.ndarray:
     found = (text or "").encode().lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    return np.unique(run_hashes(word_hashes(found), min(SHINGLE, len(found))))
+    runs = np.sort(run_hashes(word_hashes(found), min(SHINGLE, len(found))))  # faster than np.unique
+    return runs[np.concatenate(([True], runs[1:] != runs[:-1]))]
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -99,13 +100,18 @@ def n_segments(band: int) -> int:
     return largest // 4 + 1 + 4 + largest // 32
 
 
+def _segment(elements: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segment number of each element, and the hashes that decide it."""
+    mixed = _mixed(elements, 0x9D8A7F31 + band)
+    return ((mixed >> np.uint64(40)) * np.uint64(n_segments(band)) >> np.uint64(24)).astype(np.int64), mixed
+
+
 def _subsets(elements: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segment numbers, subset sums and sizes of the non-empty segments, and the elements'
     segment numbers and hashes in segment order."""
-    count = n_segments(band)
-    mixed = _mixed(elements, 0x9D8A7F31 + band)
-    segment = ((mixed >> np.uint64(40)) * np.uint64(count) >> np.uint64(24)).astype(np.int64)
-    order = np.argsort(segment, kind="stable")
+    segment, mixed = _segment(elements, band)
+    # numbers of 16 bits are sorted by radix
+    order = np.argsort(segment.astype(np.uint16) if n_segments(band) <= 1 << 16 else segment, kind="stable")
     segment, mixed = segment[order], mixed[order]
     starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
     return segment[starts], np.add.reduceat(mixed, starts), np.diff(np.append(starts, len(segment))), segment, mixed
@@ -133,7 +139,9 @@ def profile(elements: np.ndarray) -> tuple[int, list[tuple[int, int, int]]]:
     if n < 4:  # a set so small is similar to none but itself
         return 0, []
     band = band_of(n)
-    segments, _, sizes, _, _ = _subsets(elements, band)
+    counts = np.bincount(_segment(elements, band)[0])
+    segments = np.flatnonzero(counts)
+    sizes = counts[segments]
     deleted, void = bought(n, segments, sizes, band)
     return len(segments), [(band, int(i), DELETED) for i in deleted] + [(band, int(i), VOID) for i in void]
 
