@@ -7,7 +7,7 @@ of its days. Everything fitted is one PipelineModel, so scoring is one pass.
 Rows that share all bins, categories and the class take the same way through every tree, so
 boosting sees each such combination once, weighted by its rows. The real features have
 a bounded number of combinations however many rows there are; where combinations
-hardly repeat, the rows stay as they are.
+hardly repeat, the rows stay as they are. Both models are boosted in the same passes.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselog.operators import features, metrics
+from caselog.operators import boosting, features, metrics
 from caselog.session import shared_dir, staged, together
 from caselog.sources.paths import exists
 
@@ -36,7 +36,7 @@ MISSING_CATEGORY = "<none>"
 ROUNDS, RATE, DEPTH, LEAF_ROWS, BINS = 100, 0.1, 5, 20, 255
 ROWS_PER_TASK = 50_000
 #: Tasks per core beyond which a task takes more rows than that, up to the second number.
-TASKS_PER_CORE, MOST_ROWS_PER_TASK = 4, 500_000
+TASKS_PER_CORE, MOST_ROWS_PER_TASK = 2, 2_000_000
 RESULTS = ("risk_class", "risk_probability", "predicted_processing_days")
 
 
@@ -147,8 +147,8 @@ class RiskModel:
         ]
 
     def fit(self, df: DataFrame, breach: str, log_days: str) -> RiskModel:
-        """Train on rows that have both targets. The binned rows are stored in the shared folder
-        and the combinations that boosting reads are checkpointed, so that its many passes
+        """Train on rows that have both targets. The scaled rows are stored in the shared folder
+        and the blocks that boosting reads are checkpointed, so that its many passes
         read them and not the plan."""
         features.require(df.columns, self.subset)
         spark = df.sparkSession
@@ -161,16 +161,20 @@ class RiskModel:
             *scaled, *indexed, F.col(breach).cast("double").alias("_y_class"), F.col(log_days).alias("_y_log")), "scaled")
         bins = fit_bins(slim, self.subset)
         assembler = VectorAssembler(inputCols=[*binned, *hot.getOutputCols()], outputCol="_binned", handleInvalid="keep")
-        combinations = combined(bins.transform(slim), [*binned, *indexed])
-        vectors = assembler.transform(hot.transform(combinations)).select("_binned", "_y_class", "_y_log", "_n").checkpoint()
+        cuts = bins.stages[1].getSplitsArray()
+        plan = boosting.layout(
+            [*map(len, cuts), *hot.categorySizes], [False] * len(binned) + [True] * len(indexed))
+        blocks = boosting.pack(combined(bins.transform(slim), [*binned, *indexed]), [*binned, *indexed], plan).checkpoint()
         # Boosting runs hundreds of short jobs: as many tasks as the rows are worth, no more.
-        found = vectors.agg(F.count(F.lit(1)).alias("vectors"), F.coalesce(F.sum("_n"), F.lit(0.0)).alias("rows")).first()
-        tasks = lambda size: max(1, -(-found["vectors"] // size))
+        found = blocks.agg(F.sum("rows").alias("rows"), F.sum("total").alias("total")).first()
+        tasks = lambda size: max(1, -(-found["rows"] // size))
         most = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, tasks(MOST_ROWS_PER_TASK))
-        vectors = vectors.coalesce(min(tasks(ROWS_PER_TASK), most))
-        trees = together(
-            spark, [lambda stage=stage: stage.fit(vectors) for stage in self._trees(found["rows"])], 2
-        )
+        estimators = self._trees(found["total"])
+        shape = estimators[0]
+        models = boosting.boost(
+            blocks, plan, self.rounds, RATE, shape.getMaxDepth(), shape.getMinWeightFractionPerNode() * found["total"],
+            min(tasks(ROWS_PER_TASK), most))
+        trees = [boosting.as_model(e, spark, m, plan, RATE) for e, m in zip(estimators, models)]
         self._model = PipelineModel(stages=[scaling, indexing, bins, hot, assembler, *trees])
         return self
 
