@@ -206,7 +206,7 @@ def _histograms(
         found = np.zeros((2, len(nodes), plan.starts[-1] + 1))
         for f, start in enumerate(plan.starts[:-1]):
             size, stride = plan.sizes[f], plan.stride[f]
-            part = parts[plan.code[f]].reshape(2, len(nodes), -1, size, stride)
+            part = parts[plan.code[f]].reshape(2, len(nodes), plan.widths[plan.code[f]] // (size * stride), size, stride)
             found[:, :, start:start + size] = part.sum(axis=(2, 4))
         found[1, :, -1] = square
         out.append(found)

@@ -1,5 +1,6 @@
 """Boosting both models in the same passes gives the trees of Spark's own trainers."""
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -81,3 +82,11 @@ def test_codes_hold_all_features():
 def test_other_classes_are_refused(rows):
     with pytest.raises(Exception, match="0 or 1"):
         ml.RiskModel("full", rounds=1).fit(rows.withColumn("breach", F.lit(2)), "breach", "log_days")
+
+
+def test_one_models_tree_may_end_before_the_other():
+    plan = boosting.layout([3, 4], [False, True])
+    block = boosting.Block(np.array([[0, 5, 11]], np.uint16), None, np.array([1, -1, 1], np.int8), np.zeros(3), np.arange(3.0))
+    tree = boosting._compiled([boosting.Node((3.0, 3.0, None))], plan)
+    ended, going = boosting._histograms([block], plan, [tree, tree], [np.array([], int), np.array([0])], False)
+    assert ended.shape == (2, 0, 8) and going[0, 0, :7].sum() == 6 and going[1, 0, -1] == 5
