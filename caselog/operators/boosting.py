@@ -16,10 +16,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import RDD, StorageLevel
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from caselog import session
 from caselog.sources.paths import delete
@@ -121,15 +123,43 @@ class Node(NamedTuple):
     left: int = -1
 
 
-def pack(df: DataFrame, names: list[str], plan: Layout) -> DataFrame:
-    """Blocks of the rows of feature ``names`` (whole numbers), _y_class, _y_log and _n, with
-    their number of rows and their weight."""
+def coded(
+    df: DataFrame, cuts: dict[str, list[float]], labels: dict[str, list[str]], plan: Layout, others: list[str]
+) -> DataFrame:
+    """The codes of each row (``code_columns``) and ``others``. The features of the layout are the
+    numbers of ``cuts``, whose bins are Bucketizer's, the last one of missing numbers, and the
+    texts of ``labels`` by their place, the last one for texts that are none of them."""
+    kind = df.select(*others).schema
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((len(plan.widths), batch.num_rows), np.int32)
+            for f, name in enumerate([*cuts, *labels]):
+                if name in cuts:
+                    x = batch.column(name).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+                    value = np.where(np.isnan(x), len(cuts[name]) + 1, np.searchsorted(cuts[name], x, side="right"))
+                else:
+                    text = batch.column(name)
+                    value = pc.fill_null(pc.index_in(text, pa.array(labels[name], text.type)), len(labels[name])).to_numpy()
+                found[plan.code[f]] += (value * plan.stride[f]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, found), *(batch.column(c) for c in others)], [*code_columns(plan), *others])
+
+    session.in_workers(df.sparkSession)
+    schema = StructType([*(StructField(c, IntegerType()) for c in code_columns(plan)), *kind])
+    return df.select(*cuts, *labels, *others).mapInArrow(codes, schema)
+
+
+def code_columns(plan: Layout) -> list[str]:
+    return [f"_code_{i}" for i in range(len(plan.widths))]
+
+
+def pack(df: DataFrame, plan: Layout) -> DataFrame:
+    """Blocks of the rows of ``code_columns``, _y_class, _y_log and _n, with their number of rows
+    and their weight."""
     def block(held: list[pa.RecordBatch], rows: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
         column = lambda name: table.column(name).to_numpy()
-        codes = np.zeros((len(plan.widths), rows), plan.kind)
-        for f, name in enumerate(names):
-            codes[plan.code[f]] += (column(name) * plan.stride[f]).astype(plan.kind)
+        codes = np.stack([column(c).astype(plan.kind) for c in code_columns(plan)])
         sign, target, weight = (column(c).astype(np.float64) for c in ("_y_class", "_y_log", "_n"))
         if not np.isin(sign, (0, 1)).all():
             raise ValueError("a class must be 0 or 1")
@@ -152,7 +182,7 @@ def pack(df: DataFrame, names: list[str], plan: Layout) -> DataFrame:
             yield block(held, rows)
 
     session.in_workers(df.sparkSession)
-    return df.select(*names, "_y_class", "_y_log", "_n").mapInArrow(
+    return df.select(*code_columns(plan), "_y_class", "_y_log", "_n").mapInArrow(
         blocks, "codes binary, sign binary, target binary, weight binary, rows bigint, total double")
 
 

@@ -13,17 +13,21 @@ hardly repeat, the rows stay as they are. Both models are boosted in the same pa
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Bucketizer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from caselog.operators import boosting, features, metrics
-from caselog.session import shared_dir, staged, together
+from caselog.session import in_workers, shared_dir, staged, together
 from caselog.sources.paths import exists
 
 MODEL_TYPE = "GradientBoostedTrees"
@@ -40,34 +44,51 @@ TASKS_PER_CORE, MOST_ROWS_PER_TASK = 2, 2_000_000
 RESULTS = ("risk_class", "risk_probability", "predicted_processing_days")
 
 
-def _scaling(df: DataFrame, subset: str) -> SQLTransformer:
-    """Numbers to mean 0 and (population) deviation 1, from one aggregate. Missing numbers
-    do not enter the statistics and stay missing; a constant column becomes 0."""
-    names = features.numeric(subset)
+def fit_preprocessing(df: DataFrame, subset: str) -> PipelineModel:
+    """From feature columns (see :func:`inputs`) to one vector: scaled numbers, then
+    one-hot categories, fitted by one aggregate. Numbers get mean 0 and (population) deviation 1;
+    missing ones do not enter the statistics and stay missing (NaN), a constant column becomes
+    0. A category not seen in training does not fail: its part is all zero."""
+    numbers, names = features.numeric(subset), list(features.categorical(subset))
     found = df.agg(
-        *[F.avg(f"_n_{c}").alias(f"m_{c}") for c in names], *[F.stddev_pop(f"_n_{c}").alias(f"s_{c}") for c in names]
+        *[F.avg(f"_n_{c}").alias(f"m_{c}") for c in numbers], *[F.stddev_pop(f"_n_{c}").alias(f"s_{c}") for c in numbers],
+        *[F.collect_set(f"_c_{c}").alias(f"l_{c}") for c in names],
     ).first()
     number = lambda x: f"CAST('{x!r}' AS DOUBLE)"
     scaled = ", ".join(
-        f"(_n_{c} - {number(found[f'm_{c}'] or 0.0)}) / {number(found[f's_{c}'] or 1.0)} AS _s_{c}" for c in names
+        f"(_n_{c} - {number(found[f'm_{c}'] or 0.0)}) / {number(found[f's_{c}'] or 1.0)} AS _s_{c}" for c in numbers
     )
-    return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
+    indexed, hot = [f"_i_{c}" for c in names], [f"_v_{c}" for c in names]
+    # a row for each place in the longest list; shorter ones repeat their first label
+    labels = [found[f"l_{c}"] for c in names]
+    rows = [tuple(x[i] if i < len(x) else x[0] for x in labels) for i in range(max(map(len, labels)))]
+    indexing = StringIndexer(
+        inputCols=[f"_c_{c}" for c in names], outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc",
+    ).fit(df.sparkSession.createDataFrame(rows, StructType([StructField(f"_c_{c}", StringType()) for c in names])))
+    return PipelineModel(stages=[
+        SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
+        indexing,
+        OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True).fit(indexing.transform(df)),
+        VectorAssembler(inputCols=[*(f"_s_{c}" for c in numbers), *hot], outputCol="_features", handleInvalid="keep"),
+    ])
 
 
-def fit_preprocessing(df: DataFrame, subset: str) -> PipelineModel:
-    """From feature columns (see :func:`inputs`) to one vector: scaled numbers, then
-    one-hot categories. A category not seen in training does not fail: its part is all
-    zero; a missing number is NaN."""
-    names = list(features.categorical(subset))
-    indexed, hot = [f"_i_{c}" for c in names], [f"_v_{c}" for c in names]
-    return Pipeline(stages=[
-        _scaling(df, subset),
-        StringIndexer(inputCols=[f"_c_{c}" for c in names], outputCols=indexed, handleInvalid="keep",
-                      stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
-        VectorAssembler(inputCols=[*(f"_s_{c}" for c in features.numeric(subset)), *hot], outputCol="_features",
-                        handleInvalid="keep"),
-    ]).fit(df)
+def _few_values(df: DataFrame, names: list[str], most: int) -> dict[str, list[float] | None]:
+    """The values of each column, sorted; None for a column of more than ``most``."""
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: np.empty(0) for c in names}
+        for batch in batches:
+            for c in [c for c in names if len(held[c]) <= most]:
+                x = batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+                held[c] = np.union1d(held[c], x[~np.isnan(x)] + 0.0)[:most + 1]
+        for c, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(x), pa.string()), pa.array(x, pa.float64())], ["name", "value"])
+
+    in_workers(df.sparkSession)
+    found = df.select(*names).mapInArrow(values, "name string, value double").groupBy("name").agg(
+        F.slice(F.array_sort(F.collect_set("value")), 1, most + 1).alias("listed"))
+    listed = {r["name"]: r["listed"] for r in found.collect()}
+    return {c: v if len(v := listed.get(c, [])) <= most else None for c in names}
 
 
 def fit_bins(scaled: DataFrame, subset: str) -> PipelineModel:
@@ -75,15 +96,9 @@ def fit_bins(scaled: DataFrame, subset: str) -> PipelineModel:
     between all values of a number that has few, at quantiles of the others."""
     names = [f"_s_{c}" for c in features.numeric(subset)]
     most = BINS - 1
-    sizes = scaled.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in names]).first()
-    values = {}
-    for c in names:
-        found = []
-        if sizes[c] <= 2 * most:
-            found = [r[0] for r in scaled.where(F.col(c).isNotNull()).select(c).distinct().limit(most + 1).collect()]
-        values[c] = sorted(found) if len(found) <= most else []
-    several = [c for c in names if not values[c] and sizes[c]]
-    cuts = {c: [(a + b) / 2 for a, b in zip(v, v[1:])] for c, v in values.items()}
+    values = _few_values(scaled, names, most)
+    several = [c for c in names if values[c] is None]
+    cuts = {c: [(a + b) / 2 for a, b in zip(v, v[1:])] for c, v in values.items() if v is not None}
     if several:
         shares = [i / most for i in range(1, most)]
         cuts.update(zip(several, scaled.approxQuantile(several, shares, 0.1 / most)))
@@ -147,24 +162,27 @@ class RiskModel:
         ]
 
     def fit(self, df: DataFrame, breach: str, log_days: str) -> RiskModel:
-        """Train on rows that have both targets. The scaled rows are stored in the shared folder
-        and the blocks that boosting reads are checkpointed, so that its many passes
-        read them and not the plan."""
+        """Train on rows that have both targets. These rows and their codes are stored in the shared
+        folder and the blocks that boosting reads are checkpointed, so that the plan of the
+        rows runs once and the many passes read them."""
         features.require(df.columns, self.subset)
         spark = df.sparkSession
         shared_dir(spark)
         rows = inputs(df, self.subset).where(F.col(breach).isNotNull() & F.col(log_days).isNotNull())
-        scaling, indexing, hot, _ = fit_preprocessing(rows, self.subset).stages
-        scaled, binned, indexed = ([f"_{kind}_{c}" for c in names] for kind, names in (
-            ("s", features.numeric(self.subset)), ("b", features.numeric(self.subset)), ("i", features.categorical(self.subset))))
-        slim = staged(indexing.transform(scaling.transform(rows)).select(
-            *scaled, *indexed, F.col(breach).cast("double").alias("_y_class"), F.col(log_days).alias("_y_log")), "scaled")
-        bins = fit_bins(slim, self.subset)
+        scaled, binned, texts, numbers = ([f"_{kind}_{c}" for c in names(self.subset)] for kind, names in (
+            ("s", features.numeric), ("b", features.numeric), ("c", features.categorical), ("n", features.numeric)))
+        slim = staged(rows.select(
+            *numbers, *texts, F.col(breach).cast("double").alias("_y_class"), F.col(log_days).alias("_y_log")), "training")
+        scaling, indexing, hot, _ = fit_preprocessing(slim, self.subset).stages
+        bins = fit_bins(scaling.transform(slim), self.subset)
         assembler = VectorAssembler(inputCols=[*binned, *hot.getOutputCols()], outputCol="_binned", handleInvalid="keep")
         cuts = bins.stages[1].getSplitsArray()
         plan = boosting.layout(
-            [*map(len, cuts), *hot.categorySizes], [False] * len(binned) + [True] * len(indexed))
-        blocks = boosting.pack(combined(bins.transform(slim), [*binned, *indexed]), [*binned, *indexed], plan).checkpoint()
+            [*map(len, cuts), *hot.categorySizes], [False] * len(binned) + [True] * len(texts))
+        coded = staged(boosting.coded(
+            scaling.transform(slim), {c: s[1:-1] for c, s in zip(scaled, cuts)}, dict(zip(texts, indexing.labelsArray)),
+            plan, ["_y_class", "_y_log"]), "coded")
+        blocks = boosting.pack(combined(coded, boosting.code_columns(plan)), plan).checkpoint()
         # Boosting runs hundreds of short jobs: as many tasks as the rows are worth, no more.
         found = blocks.agg(F.sum("rows").alias("rows"), F.sum("total").alias("total")).first()
         tasks = lambda size: max(1, -(-found["rows"] // size))
