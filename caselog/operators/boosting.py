@@ -33,6 +33,8 @@ DIRECT_TASKS = 64
 #: Share of a node's sum of squares below which a gain is rounding.
 ROUNDING = 1e-12
 CHECKPOINT_ROUNDS = 10
+#: Levels of trees that passes go through again before rows are stored with what they add.
+KEPT_LEVELS = 8
 
 
 class Layout(NamedTuple):
@@ -209,11 +211,12 @@ def _after(block: Block, trees: list[Tree], rate: float, first: bool) -> Block:
 
 
 def _histograms(
-    blocks: Iterable[Block], plan: Layout, trees: list[Tree], opened: list[np.ndarray], first: bool
+    blocks: Iterable[Block], plan: Layout, trees: list[Tree], opened: list[np.ndarray], first: bool, parts: tuple = (0, 1)
 ) -> list[np.ndarray]:
-    """Per model, weight and sum of each value of each feature in its open nodes, and after
-    them the sum of squares of each node."""
-    total = [[np.zeros((2, len(nodes), w)) for w in plan.widths] for nodes in opened]
+    """Per model, the ``parts`` (0 weight, 1 sum, 2 sum of squares, others stay 0) of each value of
+    each feature in its open nodes, and after them the sum of squares of each node."""
+    depth = max(parts) + 1
+    total = [[np.zeros((depth, len(nodes), w)) for w in plan.widths] for nodes in opened]
     squares = [np.zeros(len(nodes)) for nodes in opened]
     for block in blocks:
         index = np.empty(len(block.sign), np.int64)
@@ -225,18 +228,19 @@ def _histograms(
             place[nodes] = np.arange(k)
             at = place[tree.leaf(block.codes)]
             sums = target if block.weight is None else target * block.weight
-            squares[m] += np.bincount(at, sums * target, k + 1)[:k]
+            weights = (block.weight, sums, sums * target)
+            squares[m] += np.bincount(at, weights[2], k + 1)[:k]
             for c, width in enumerate(plan.widths):
                 np.multiply(at, width, out=index)
                 index += block.codes[c]
-                for i, weights in enumerate((block.weight, sums)):
-                    total[m][c][i] += np.bincount(index, weights, (k + 1) * width)[:k * width].reshape(k, width)
+                for i in parts:
+                    total[m][c][i] += np.bincount(index, weights[i], (k + 1) * width)[:k * width].reshape(k, width)
     out = []
-    for parts, square, nodes in zip(total, squares, opened):
-        found = np.zeros((2, len(nodes), plan.starts[-1] + 1))
+    for summed, square, nodes in zip(total, squares, opened):
+        found = np.zeros((depth, len(nodes), plan.starts[-1] + 1))
         for f, start in enumerate(plan.starts[:-1]):
             size, stride = plan.sizes[f], plan.stride[f]
-            part = parts[plan.code[f]].reshape(2, len(nodes), plan.widths[plan.code[f]] // (size * stride), size, stride)
+            part = summed[plan.code[f]].reshape(depth, len(nodes), plan.widths[plan.code[f]] // (size * stride), size, stride)
             found[:, :, start:start + size] = part.sum(axis=(2, 4))
         found[1, :, -1] = square
         out.append(found)
@@ -255,7 +259,7 @@ def _added(rows: RDD, measure: Callable) -> list[np.ndarray]:
 
 
 def _best(found: np.ndarray, plan: Layout, least: float) -> tuple[Node, tuple | None]:
-    """A node from its histogram, and the weight and sum left and right of its split if it has one."""
+    """A node from its histogram, and the ``sums`` left and right of its split if it has one."""
     weights, sums, square = found[0, :-1], found[1, :-1], found[1, -1]
     first = slice(0, plan.sizes[0])
     weight, total = weights[first].sum(), sums[first].sum()
@@ -270,8 +274,13 @@ def _best(found: np.ndarray, plan: Layout, least: float) -> tuple[Node, tuple |
             gains = np.where(fits, ls * ls / np.where(fits, lw, 1) + rs * rs / np.where(fits, rw, 1) - base, -1.0)
             i = int(gains.argmax())
             if gains[i] > best[0]:
-                best = (gains[i], f, i, ((lw[i], ls[i]), (rw[i], rs[i])))
+                best = (gains[i], f, i, ((lw[i], ls[i], None), (rw[i], rs[i], None)))
     gain, feature, at, sides = best
+    if sides and len(found) > 2:
+        squares = found[2, plan.starts[feature]:plan.starts[feature + 1]]
+        value = np.arange(len(squares))
+        right = value == at if plan.flags[feature] else value > at
+        sides = tuple((*side[:2], squares[there].sum()) for side, there in zip(sides, (~right, right)))
     return Node((weight, total, square), feature, at, gain / weight if sides else -1.0), sides
 
 
@@ -288,13 +297,29 @@ def _compiled(nodes: list[Node], plan: Layout) -> Tree:
     return Tree(code, after.astype(np.min_scalar_type(len(nodes))), value, max(deep))
 
 
-def _grown(rows: RDD, plan: Layout, models: int, depth: int, least: float, first: bool) -> Iterator[list[list[Node]]]:
-    """The models' next trees after each pass over the rows, a level a pass."""
+def _ends(sums: tuple[float, float, float | None], least: float) -> bool:
+    """Whether no split of a node can be found: too few rows, or they don't differ."""
+    weight, total, square = sums
+    return weight < 2 * least or square is not None and square - total * total / weight <= ROUNDING * square
+
+
+def _grown(
+    rows: RDD, plan: Layout, models: int, depth: int, least: float, first: bool, root: list[np.ndarray]
+) -> Iterator[list[list[Node]]]:
+    """The models' next trees after each pass over the rows, a level a pass. ``root`` holds the
+    weights of all rows, the same for every tree, once a pass has found them. Nodes that
+    end by their parent's histogram are in no later pass."""
     grown = [[Node((0.0, 0.0, None))] for _ in range(models)]
     opened = [np.array([0]) for _ in grown]
     for level in range(max(depth, 1)):
         trees = [_compiled(nodes, plan) for nodes in grown]
-        found = _added(rows, lambda blocks, o=opened: _histograms(blocks, plan, trees, o, first))
+        # the last level's children end anyway
+        parts = (*(() if root and not level else (0,)), 1, *((2,) if level + 1 < depth else ()))
+        found = _added(rows, lambda blocks, o=opened: _histograms(blocks, plan, trees, o, first, parts))
+        if not level:
+            root[:] = root or [found[0][0].copy()]
+            for part in found:
+                part[0] = root[0]
         for m, nodes in enumerate(grown):
             children = []
             for k, at in enumerate(opened[m].tolist()):
@@ -303,8 +328,8 @@ def _grown(rows: RDD, plan: Layout, models: int, depth: int, least: float, first
                     nodes[at] = node._replace(feature=None, gain=-1.0)
                     continue
                 nodes[at] = node._replace(left=len(nodes))
-                children += [len(nodes), len(nodes) + 1]
-                nodes += [Node((w, s, None)) for w, s in sides]
+                children += [len(nodes) + i for i, sums in enumerate(sides) if not _ends(sums, least)]
+                nodes += map(Node, sides)
             opened[m] = np.array(children, np.int64)
         yield grown
         if not any(map(len, opened)):
@@ -316,15 +341,18 @@ def boost(
 ) -> list[list[list[Node]]]:
     """The trees of both models: of the class and of _y_log. Leaves hold at least ``least`` weight.
 
-    The rows of a round are kept with what the models have learned so far, as Spark's
-    trainers do, and checkpointed every few rounds. A round's first pass also makes its rows; those
-    of the round before go when it is over."""
+    Rows are kept with what the models have learned, as Spark's trainers do, whenever the trees
+    that are not in them yet have more than ``KEPT_LEVELS`` levels, and checkpointed every few
+    rounds; until then each pass goes through those trees. The first pass after that also makes the
+    rows; those before go when it is over."""
     spark, kept = blocks.sparkSession, StorageLevel.MEMORY_AND_DISK
     rows = blocks.rdd.map(lambda row: _opened(row, plan)).coalesce(tasks).persist(kept)
     models: list[list[list[Node]]] = [[], []]
-    before, files = None, []
+    before, files, root = None, [], []
+    pending: list[tuple[list[Tree], bool]] = []
     for i in range(rounds):
-        for grown in _grown(rows, plan, len(models), depth, least, i == 0):
+        learned = rows if not pending else _learned(rows, pending, rate)
+        for grown in _grown(learned, plan, len(models), depth, least, i == 0, root):
             if before is not None:
                 before.unpersist()
                 before = None
@@ -334,16 +362,29 @@ def boost(
                     files = [rows.getCheckpointFile()]
         for trees, nodes in zip(models, grown):
             trees.append(nodes)
-        trees = [_compiled(nodes, plan) for nodes in grown]
-        before, rows = rows, rows.map(lambda b, t=trees, first=i == 0: _after(b, t, rate, first)).persist(kept)
-        if (i + 1) % CHECKPOINT_ROUNDS == 0:
-            rows.checkpoint()
-    before.unpersist()
+        pending = [*pending, ([_compiled(nodes, plan) for nodes in grown], i == 0)]
+        checkpoint = (i + 1) % CHECKPOINT_ROUNDS == 0
+        if checkpoint or sum(t.depth for trees, _ in pending for t in trees) > KEPT_LEVELS:
+            before, rows, pending = rows, _learned(rows, pending, rate).persist(kept), []
+            if checkpoint:
+                rows.checkpoint()
+    for kept_rows in (before, rows):
+        if kept_rows is not None:
+            kept_rows.unpersist()
     for path in files:
         delete(spark, path)
     return models
 
 
+def _learned(rows: RDD, pending: list[tuple[list[Tree], bool]], rate: float) -> RDD:
+    def after(block: Block) -> Block:
+        for trees, first in pending:
+            block = _after(block, trees, rate, first)
+        return block
+
+    return rows.map(after)
+
+
 def as_model(estimator, spark: SparkSession, trees: list[list[Node]], plan: Layout, rate: float):
     """A model of Spark's with these trees, which stores, loads and scores as any: the estimator
     is fitted to a single row, and the stored form of its model is given the trees."""

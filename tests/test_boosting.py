@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import functions as F
 
 from caselog.operators import boosting, features
@@ -90,3 +91,50 @@ def test_one_models_tree_may_end_before_the_other():
     tree = boosting._compiled([boosting.Node((3.0, 3.0, None))], plan)
     ended, going = boosting._histograms([block], plan, [tree, tree], [np.array([], int), np.array([0])], False)
     assert ended.shape == (2, 0, 8) and going[0, 0, :7].sum() == 6 and going[1, 0, -1] == 5
+
+
+@pytest.fixture(scope="module")
+def decided(spark):
+    """Blocks of rows whose targets one category decides, and their layout."""
+    plan = boosting.layout([3, 4], [False, True])
+    rows = spark.range(600).selectExpr(
+        "cast(id % 12 as int) as _code_0", "cast(id % 4 = 0 as double) as _y_class", "if(id % 4 = 0, 2.5D, 1.25D) as _y_log", "1.0D as _n")
+    return boosting.pack(rows, plan).checkpoint(), plan
+
+
+def test_nodes_of_equal_targets_take_no_pass(spark, decided):
+    def jobs(rounds):
+        spark.sparkContext.setJobGroup(f"decided-{rounds}", "")
+        boosting.boost(*decided, rounds, 0.1, 5, 19.5, 2)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"decided-{rounds}"))
+
+    try:
+        assert jobs(12) - jobs(4) <= 8 + 1  # and a checkpoint
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_trees_do_not_depend_on_what_is_kept(decided, monkeypatch):
+    shape = lambda models: [[(n.feature, n.at, n.left) for n in t] for m in models for t in m]
+    sums = lambda models: [x for m in models for t in m for n in t for x in n.sums[:2]]
+    few = boosting.boost(*decided, 12, 0.1, 5, 19.5, 2)
+    monkeypatch.setattr(boosting, "KEPT_LEVELS", 0)
+    monkeypatch.setattr(boosting, "_ends", lambda sums, least: False)
+    every = boosting.boost(*decided, 12, 0.1, 5, 19.5, 2)
+    assert shape(few) == shape(every) and sums(few) == pytest.approx(sums(every), abs=1e-9)
+
+
+def test_codes_are_those_of_the_models_stages(spark):
+    df = spark.createDataFrame(
+        [(float(i % 40), "cba"[i % 3]) for i in range(300)] + [(None, "a"), (float("nan"), "b"), (float("inf"), "c"), (-0.0, "d")],
+        "_s_submission_hour double, _c_channel string").selectExpr("*", "coalesce(_s_submission_hour, double('NaN')) as x", "_c_channel as text")
+    cuts = [0.0, 1.0, 7.5, 39.0]
+    plan = boosting.layout([6, 4], [False, True])
+    both = boosting.coded(df, {"_s_submission_hour": cuts}, {"_c_channel": ["a", "b", "c"]}, plan, ["x", "text"])
+    bins = Bucketizer(
+        splits=[-float("inf"), *cuts, float("inf")], inputCol="x", outputCol="bin", handleInvalid="keep")
+    wanted = bins.transform(both).collect()
+    for r in wanted:
+        assert plan.values(0)[r["_code_0"]] == r["bin"]
+        assert plan.values(1)[r["_code_0"]] == "abcd".index(r["text"])
+    assert len(wanted) == 304
