@@ -104,11 +104,12 @@ def fit_bins(scaled: DataFrame, subset: str) -> PipelineModel:
         cuts.update(zip(several, scaled.approxQuantile(several, shares, 0.1 / most)))
     ends = float("inf")
     names_of = lambda kind: [f"_{kind}_{c}" for c in features.numeric(subset)]
-    known = ", ".join(f"COALESCE(_s_{c}, DOUBLE('NaN')) AS _d_{c}" for c in features.numeric(subset))
+    # a sum is never -0.0, which Bucketizer puts below 0.0
+    known = ", ".join(f"COALESCE(_s_{c}, DOUBLE('NaN')) + 0.0D AS _d_{c}" for c in features.numeric(subset))
     return PipelineModel(stages=[
         SQLTransformer(statement=f"SELECT *, {known} FROM __THIS__"),
         Bucketizer(
-            splitsArray=[[-ends, *(sorted(set(cuts[c])) or [0.0]), ends] for c in names],
+            splitsArray=[[-ends, *(sorted({x + 0.0 for x in cuts[c]}) or [0.0]), ends] for c in names],
             inputCols=names_of("d"), outputCols=names_of("k"), handleInvalid="keep"),
         # a sum has no attributes: trees take the bins as numbers in order, not as categories
         SQLTransformer(statement="SELECT *, " + ", ".join(

@@ -127,7 +127,7 @@ def test_trees_do_not_depend_on_what_is_kept(decided, monkeypatch):
 def test_codes_are_those_of_the_models_stages(spark):
     df = spark.createDataFrame(
         [(float(i % 40), "cba"[i % 3]) for i in range(300)] + [(None, "a"), (float("nan"), "b"), (float("inf"), "c"), (-0.0, "d")],
-        "_s_submission_hour double, _c_channel string").selectExpr("*", "coalesce(_s_submission_hour, double('NaN')) as x", "_c_channel as text")
+        "_s_submission_hour double, _c_channel string").selectExpr("*", "coalesce(_s_submission_hour, double('NaN')) + 0.0D as x", "_c_channel as text")
     cuts = [0.0, 1.0, 7.5, 39.0]
     plan = boosting.layout([6, 4], [False, True])
     both = boosting.coded(df, {"_s_submission_hour": cuts}, {"_c_channel": ["a", "b", "c"]}, plan, ["x", "text"])
